@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .features import attach_by_term, document_frequency, term_table
+from .tables import union_rows
 
 
 def cluster_names(classes: DataFrame, class_col: str) -> DataFrame:
@@ -18,7 +19,7 @@ def cluster_names(classes: DataFrame, class_col: str) -> DataFrame:
 def centroid_idf(doc_terms: DataFrame, class_terms: DataFrame, n_docs: DataFrame, n_classes: DataFrame) -> DataFrame:
     """``(term, df, idf)`` over the documents and the class documents together."""
     n = n_docs.scalar() + n_classes.scalar()
-    both = doc_terms.select("term").unionByName(class_terms.select("term"))
+    both = union_rows(doc_terms.select("term"), class_terms.select("term"))
     return document_frequency(both).withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import term_counts
+from ..session import stored
+from .tables import union_rows
 
 
 def term_table(df: DataFrame, id_col: str, terms: str) -> DataFrame:
@@ -30,7 +32,7 @@ def attach_by_term(tf: DataFrame, terms: DataFrame, max_hot: int = 10_000) -> Da
     hot = F.broadcast(terms.filter(is_hot))
     common = tf.join(hot, "term")
     rare = tf.join(hot.select("term"), "term", "left_anti").join(terms.filter(~is_hot), "term")
-    return common.unionByName(rare)
+    return union_rows(common, rare)
 
 
 def idf_table(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -40,8 +42,12 @@ def idf_table(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 
 def tfidf(df: DataFrame, id_col: str, terms: str) -> DataFrame:
-    """``(id, term, tf, tfidf)``, rows scaled to length one."""
-    tf = term_table(df, id_col, terms)
+    """``(id, term, tf, tfidf)``, rows scaled to length one.
+
+    The counts feed the idf table and both parts of the join, so they are
+    written once instead of counting the texts again.
+    """
+    tf = stored(term_table(df, id_col, terms), "tf")
     return weigh(tf, idf_table(tf, df.agg(F.count(F.lit(1)))), id_col)
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
+from ..functions.text import let
 from ..schemas import ABSTAIN, CARDINALITY
 from ..session import checkpointed
 from .metrics import confusion, metrics
@@ -73,41 +74,32 @@ class LabelModel:
     mu: dict[str, dict[int, tuple[float, ...]]] = field(hash=False)
     use_abstain: bool = False
 
-    def _logits(self, outcome) -> list[Column]:
-        cols = []
-        for c in range(CARDINALITY):
-            total = F.lit(-math.log(CARDINALITY))
-            for s in self.sources:
-                case = F.lit(0.0) if ABSTAIN in s.outcomes and not self.use_abstain else None
-                branch = None
-                for o in s.outcomes:
-                    if o == ABSTAIN and not self.use_abstain:
-                        continue
-                    value = F.lit(math.log(max(self.mu[s.name][o][c], FLOOR)))
-                    branch = F.when(outcome(s) == o, value) if branch is None else branch.when(outcome(s) == o, value)
-                total = total + branch.otherwise(F.lit(0.0) if case is None else case)
-            cols.append(total)
-        return cols
-
-    def with_posterior(self, df: DataFrame, outcome=Source.outcome) -> DataFrame:
-        """Add ``p_0 .. p_6``, computed inside the row from literal parameters."""
-        logits = {f"_l{c}": x for c, x in enumerate(self._logits(outcome))}
-        names = list(logits)
-        exps = {f"_e{c}": F.exp(F.col(n) - F.col("_m")) for c, n in enumerate(names)}
-        return (
-            df.withColumns(logits)
-            .withColumn("_m", F.greatest(*names))
-            .withColumns(exps)
-            .withColumn("_z", sum((F.col(e) for e in exps), F.lit(0.0)))
-            .withColumns({f"p_{c}": F.col(f"_e{c}") / F.col("_z") for c in range(CARDINALITY)})
-            .drop(*names, *exps, "_m", "_z")
-        )
+    def posterior(self, outcome=Source.outcome) -> Column:
+        """Class probabilities of a row as an array, from literal parameters."""
+        total = F.array(*[F.lit(-math.log(CARDINALITY))] * CARDINALITY)
+        zero = F.array(*[F.lit(0.0)] * CARDINALITY)
+        for s in self.sources:
+            cases = None
+            for o in s.outcomes:
+                if o != ABSTAIN or self.use_abstain:
+                    row = F.array(*[F.lit(math.log(max(p, FLOOR))) for p in self.mu[s.name][o]])
+                    cases = (F if cases is None else cases).when(outcome(s) == o, row)
+            total = F.zip_with(total, cases.otherwise(zero), lambda a, b: a + b)
+
+        def softmax(logits: Column) -> Column:
+            exps = let(F.array_max(logits), lambda m: F.transform(logits, lambda x: F.exp(x - m)))
+            return let(
+                exps, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda z: F.transform(e, lambda x: x / z))
+            )
+
+        return let(total, softmax)
+
+    def with_posterior(self, df: DataFrame, outcome=Source.outcome, out: str = "posterior") -> DataFrame:
+        return df.withColumn(out, self.posterior(outcome))
 
     def predict(self, df: DataFrame, tie: str = "abstain", key: Column | None = None, out: str = "label") -> DataFrame:
         """Add the most probable class; a tie (no votes at all, for one) is -1 or drawn from a hash of ``key``."""
-        probs = [F.col(f"p_{c}") for c in range(CARDINALITY)]
-        scored = self.with_posterior(df).withColumn(out, pick(probs, tie, key, TIE_TOLERANCE).cast("int"))
-        return scored.drop(*[f"p_{c}" for c in range(CARDINALITY)])
+        return df.withColumn(out, pick(self.posterior(), tie, key, TIE_TOLERANCE).cast("int"))
 
     def to_table(self, spark: SparkSession) -> DataFrame:
         """``(source, outcome, label, p)``: the model as a table that can be stored."""
@@ -180,7 +172,7 @@ def lm_fit(
     for _ in range(max_iter):
         model = LabelModel(sources, mu, use_abstain=True)
         post = model.with_posterior(table, lambda s: F.col(s.name))
-        weights = [F.col("n") * F.col(f"p_{c}") for c in range(CARDINALITY)]
+        weights = [F.col("n") * F.get("posterior", F.lit(c)) for c in range(CARDINALITY)]
         sums = {(r["source"], r["outcome"]): r for r in _outcome_sums(post, sources, weights)}
         new, change = {}, 0.0
         for s in sources:

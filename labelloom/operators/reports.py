@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import CLASSES
-from .tables import first_per_key
+from .tables import first_per_key, union_rows
 
 # Titles of the search codes.
 SEARCH_TITLES = {"BayesSearch": "Bayesian Optimization", "RandomSearch": "Random Search", "GridSearch": "Grid Search"}
@@ -97,6 +97,6 @@ def log_events(events: DataFrame) -> DataFrame:
     )
     first = lagged.filter(F.col("prev").isNull()).join(F.broadcast(earlier), ["logger", "day"], "left")
     rest = lagged.filter(F.col("prev").isNotNull()).withColumn("before", F.col("prev"))
-    both = rest.unionByName(first)
+    both = union_rows(rest, first)
     micros = F.unix_micros("ts") - F.unix_micros("before")
     return both.select("ts", "level", "logger", "message", (micros / 1e6).alias("seconds"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import hash_int
 from ..schemas import ABSTAIN, CARDINALITY
+from .tables import union_rows
 from .labelmodel import FLOOR, TIE_TOLERANCE, initial_parameters, sources_of
 
 # Values of the label-model grid: 4 * 3 * 3 * 3 * 3 = 324 configurations.
@@ -179,7 +180,7 @@ def search_halving(configs: list[dict], fit_and_score: Callable[[dict, int], flo
 
 def trial_results(stored: DataFrame, new: DataFrame, trial: Column) -> DataFrame:
     """Stored results and the new ones with their trial number."""
-    return stored.unionByName(new.withColumn("Trial", trial).select(*stored.columns))
+    return union_rows(stored, new.withColumn("Trial", trial).select(*stored.columns))
 
 
 def best_config(results: DataFrame, score: str, tie: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import RESULT_BLACKLIST
+from .tables import union_rows
 
 
 def url_seeds(sheet: DataFrame, lang: str) -> DataFrame:
@@ -34,7 +35,7 @@ def class_keywords(sheet: DataFrame, classes) -> DataFrame:
 
 def seed_union(seeds: DataFrame, hits: DataFrame) -> DataFrame:
     """URL seeds and keyword hits; rows with any null are dropped."""
-    return seeds.unionByName(hits.select(*seeds.columns)).na.drop()
+    return union_rows(seeds, hits.select(*seeds.columns)).na.drop()
 
 
 def is_result_link(link: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import hash_int, hash_order
 from ..schemas import UNANNOTATED
+from .tables import union_rows
 
 
 def hash_at_rank(df: DataFrame, hashed: str, rank: int, digits: int = 4) -> str:
@@ -56,7 +57,7 @@ def annotation_sheet(split: DataFrame) -> DataFrame:
 
 def train_test_union(train: DataFrame, test: DataFrame, label: str = "LABEL") -> DataFrame:
     """Training rows without labels and the annotated test rows."""
-    return train.withColumn(label, F.lit(UNANNOTATED)).unionByName(test)
+    return union_rows(train.withColumn(label, F.lit(UNANNOTATED)), test)
 
 
 def kfold(df: DataFrame, key: str, ks=range(2, 10), seed: int = 12) -> DataFrame:

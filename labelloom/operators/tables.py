@@ -7,6 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..schemas import ABSTAIN, CARDINALITY, UNANNOTATED
 
 
+def union_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Union by column name.
+
+    Spark 4.1 may treat a union as partitioned by a key if its branches are, and
+    pair their partitions by number. Adaptive execution can coalesce the branches
+    differently afterwards, and groups then come out twice; so this is switched off.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key by a total order.
 
@@ -46,7 +59,7 @@ def join_hot_aware(
     hot_right = F.broadcast(right.join(hot, key, "left_semi"))
     is_hot = left.join(hot, key, "left_semi").join(hot_right, key, how)
     rest = left.join(hot, key, "left_anti").join(right, key, how)
-    return is_hot.unionByName(rest)
+    return union_rows(is_hot, rest)
 
 
 def drop_empty_text(df: DataFrame, text: str) -> DataFrame:

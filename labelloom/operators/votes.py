@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import any_literal
-from ..functions.text import hash_int
+from ..functions.text import hash_int, let
 from ..schemas import ABSTAIN, CARDINALITY
 
 
@@ -121,21 +121,27 @@ def lf_empirical_accuracy(votes: DataFrame, names: Sequence[str], label: str) ->
     return rows.groupBy("lf").agg(F.sum("n").alias("n_votes"), (right / F.sum("n")).alias("accuracy"))
 
 
-def pick(scores: Sequence[Column], tie: str, key: Column | None, tolerance: float = 0.0, seed: int = 123) -> Column:
-    """Index of the largest score. A tie abstains, or draws from a hash of ``key``."""
-    best = F.greatest(*scores)
-    tied = F.filter(
-        F.array(*[F.when(best - s <= tolerance, F.lit(i)).otherwise(F.lit(ABSTAIN)) for i, s in enumerate(scores)]),
-        lambda v: v != ABSTAIN,
-    )
+def pick(scores: Column, tie: str, key: Column | None, tolerance: float = 0.0, seed: int = 123) -> Column:
+    """Index of the largest entry of an array. A tie abstains, or draws from a hash of ``key``.
+
+    The array is bound once, so the expression stays small when Catalyst copies
+    it, as it does when it moves a filter on the label below the projection.
+    """
+
+    def tied(s: Column) -> Column:
+        return let(
+            F.array_max(s),
+            lambda m: F.filter(F.transform(s, lambda x, i: F.when(m - x <= tolerance, i).otherwise(ABSTAIN)), lambda v: v != ABSTAIN),
+        )
+
     if tie == "abstain":
-        return F.when(F.size(tied) == 1, F.get(tied, F.lit(0))).otherwise(ABSTAIN)
+        return let(let(scores, tied), lambda t: F.when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise(ABSTAIN))
     if tie == "hash":
-        return F.get(tied, F.pmod(hash_int(key, seed), F.size(tied)).cast("int"))
+        return let(let(scores, tied), lambda t: F.get(t, F.pmod(hash_int(key, seed), F.size(t)).cast("int")))
     raise ValueError(f"unknown tie policy {tie}")
 
 
 def majority_vote(names: Sequence[str], tie: str = "abstain", key: Column | None = None) -> Column:
     """Most frequent vote of a row, -1 without votes."""
-    counts = [sum((F.when(F.col(n) == k, 1).otherwise(0) for n in names), F.lit(0)) for k in range(CARDINALITY)]
-    return F.when(F.greatest(*counts) == 0, ABSTAIN).otherwise(pick(counts, tie, key)).cast("int")
+    counts = F.array(*[sum((F.when(F.col(n) == k, 1).otherwise(0) for n in names), F.lit(0)) for k in range(CARDINALITY)])
+    return let(counts, lambda c: F.when(F.array_max(c) == 0, ABSTAIN).otherwise(pick(c, tie, key))).cast("int")

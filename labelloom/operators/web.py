@@ -8,7 +8,7 @@ from ..functions.patterns import any_literal
 from ..functions.rules import BLOCKED_MARKERS, JOURNALS, JOURNAL_TOPICS, LINK_BLACKLIST
 from ..functions.text import let, unescape
 from ..session import checkpointed
-from .tables import first_per_key, join_hot_aware, key_counts
+from .tables import first_per_key, join_hot_aware, key_counts, union_rows
 
 # File endings that a link extractor skips by default.
 SKIPPED_ENDINGS = (
@@ -194,17 +194,17 @@ def crawl_frontier_bfs(seeds: DataFrame, edges: DataFrame, depth: int = 1) -> Da
         level = checkpointed(found.join(reached.select("url"), "url", "left_anti"))
         if level.isEmpty():
             break
-        reached = reached.unionByName(level)
+        reached = union_rows(reached, level)
     return reached
 
 
 def merge_crawl(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Old and new items, the first row per URL, old before new."""
-    both = old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)))
+    both = union_rows(old.withColumn("_src", F.lit(0)), new.withColumn("_src", F.lit(1)))
     return first_per_key(both, [key], [F.col("_src"), F.col(order)]).drop("_src")
 
 
 def count_duplicates(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of the union beyond the first of each URL."""
-    per_key = old.select(key).unionByName(new.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    per_key = union_rows(old.select(key), new.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return per_key.agg((F.sum("n") - F.count(F.lit(1))).alias("duplicates"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("catalog_tables", "catalog_clean", "catalog_text")
+MODULES = ("catalog_tables", "catalog_clean", "catalog_text", "catalog_votes")
 
 
 def _merged(attribute: str) -> dict:

@@ -88,10 +88,10 @@ def _(spark, d):
 def _(spark, d):
     sheet = seed_sheet(spark, d)
     none = F.lit(None).cast("string")
-    return (
-        S.url_seeds(sheet, "en").select(F.lit("url").alias("kind"), "CLASS", "KEYWORD", "URL")
-        .unionByName(S.keyword_seeds(sheet, "en").select(F.lit("keyword").alias("kind"), "CLASS", "KEYWORD", none.alias("URL")))
-        .unionByName(S.centroid_seeds(sheet, "en").select(F.lit("centroid").alias("kind"), "CLASS", none.alias("KEYWORD"), "URL"))
+    return T.union_rows(
+        S.url_seeds(sheet, "en").select(F.lit("url").alias("kind"), "CLASS", "KEYWORD", "URL"),
+        S.keyword_seeds(sheet, "en").select(F.lit("keyword").alias("kind"), "CLASS", "KEYWORD", none.alias("URL")),
+        S.centroid_seeds(sheet, "en").select(F.lit("centroid").alias("kind"), "CLASS", none.alias("KEYWORD"), "URL"),
     )
 
 

@@ -8,7 +8,7 @@ from ..functions.text import ngrams_1_2, remove_stopwords, tokenize, top_terms
 from ..operators import centroids as N, features as X, topics as P
 from ..operators.votes import LFRegistry, apply_lfs
 from ..schemas import CARDINALITY
-from ..session import checkpointed
+from ..session import stored
 from .inputs import KEYWORDS, KEYWORD_NAMES, VOTES_SQL, documents, stopword_filter, table
 
 QUERIES: dict = {}
@@ -159,8 +159,8 @@ def centroid_parts(spark, d):
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda e: e.term).alias("topic")
     )
     # a few dozen rows: at most 14 terms per class
-    class_tf = checkpointed(X.term_table(class_docs.select("cluster", ngrams_1_2(F.col("topic")).alias("g")), "cluster", "g"))
-    docs = checkpointed(stage.select("doc_id", ngrams_1_2(F.col("topic")).alias("g"), *KEYWORD_NAMES))
+    class_tf = stored(X.term_table(class_docs.select("cluster", ngrams_1_2(F.col("topic")).alias("g")), "cluster", "g"))
+    docs = stored(stage.select("doc_id", ngrams_1_2(F.col("topic")).alias("g"), *KEYWORD_NAMES))
     n_classes = class_tf.agg(F.count_distinct("cluster"))
     idf = N.centroid_idf(X.term_table(docs, "doc_id", "g"), class_tf, docs.agg(F.count(F.lit(1))), n_classes)
     return docs, idf, N.fixed_centroids(class_tf, idf)

@@ -10,6 +10,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from ..operators.tables import union_rows
 from ..schemas import RAW_TEXTS
 
 
@@ -96,9 +97,7 @@ def dataset_profile(stages: dict[str, DataFrame], class_col: str, url_col: str)
     Rows are counted per URL first, which combines copies before the shuffle.
     """
     parts = [d.select(F.lit(name).alias("stage"), F.col(class_col).alias("c"), F.col(url_col).alias("u")) for name, d in stages.items()]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    union = union_rows(*parts)
     per_url = union.groupBy("stage", "u").agg(F.count(F.lit(1)).alias("n"), F.collect_set("c").alias("cs"))
     classes = F.array_sort(F.array_distinct(F.flatten(F.collect_set("cs"))))
     return (
