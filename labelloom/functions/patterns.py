@@ -51,13 +51,38 @@ _LEAD = re.compile(r"^(?:\\w\*|\\s\?)+")
 _TRAIL = re.compile(r"(?:\\w\*|\\s\*|\\s\?|\\d\*)+$")
 
 
+def core(rule: str) -> str:
+    """The part of a rule that decides whether it is found: optional material at its ends cannot."""
+    return _TRAIL.sub("", _LEAD.sub("", rule))
+
+
+def literal_core(rule: str) -> str:
+    """A text that every match of the rule contains, empty if there is no such plain text."""
+    plain = re.sub(r"\\([^\w\s])", r"\1", core(rule)) if not re.search(r"\\\w", core(rule)) else ""
+    return "" if re.search(r"[\\.\[\](){}^$|?+]|(?<!\\)\*", core(rule).replace("\\*", "")) else plain
+
+
+def _trie(words: list[str]) -> str:
+    """Alternation of literal words that shares their first characters."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    parts = []
+    for head, tails in heads.items():
+        rest = "" if "" in tails else _trie(tails)
+        parts.append(re.sub(r"([.\\+*?()\[\]{}|^$])", r"\\\1", head) + rest)
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def any_of(rules) -> str:
     """One pattern that is found in a text exactly if some rule is found in it.
 
-    Optional material at the ends of a rule cannot decide whether it is found.
+    Plain rules become a trie, and a plain rule that contains another adds nothing.
     """
-    cores = dict.fromkeys(portable(_TRAIL.sub("", _LEAD.sub("", r))) for r in rules)
-    return "|".join(f"(?:{c})" for c in cores)
+    plain = sorted({literal_core(r) for r in rules} - {""}, key=len)
+    plain = [w for i, w in enumerate(plain) if not any(v in w for v in plain[:i])]
+    others = dict.fromkeys(portable(core(r)) for r in rules if not literal_core(r))
+    return "|".join([_trie(sorted(plain))] * bool(plain) + [f"(?:{c})" for c in others])
 
 
 def any_literal(words) -> str:

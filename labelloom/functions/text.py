@@ -9,7 +9,7 @@ import zipfile
 from functools import lru_cache
 
 import pyspark
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .patterns import WORD
 
@@ -21,6 +21,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unnest(df: DataFrame, keep: list, array: Column, out: str) -> DataFrame:
+    """``keep`` columns and one row per array element.
+
+    A plain ``explode`` makes Catalyst add a filter on the array's size, which
+    computes an expensive array again, and as early as in the scan. The outer
+    form adds none; its null rows are dropped afterwards.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(out)).filter(F.col(out).isNotNull())
+
+
+def unnest_with_position(df: DataFrame, keep: list, array: Column, pos: str, out: str) -> DataFrame:
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, out)).filter(F.col(pos).isNotNull())
+
+
+def compute_once(df: DataFrame, keep: list, value: Column, out: str) -> DataFrame:
+    """``keep`` columns and a computed column that later filters use without computing it again."""
+    return df.select(*keep, F.explode_outer(F.array(value)).alias(out))
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case word tokens in text order."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))

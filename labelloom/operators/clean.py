@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R
-from ..functions.patterns import any_of, portable
-from ..functions.text import let
+from ..functions.patterns import any_of, literal_core, portable
+from ..functions.text import let, unnest, unnest_with_position
 
 # The same rule with a possessive run of plain characters: Java would otherwise
 # recurse once per character and overflow its stack on a long text without ">".
@@ -20,6 +20,18 @@ def _delete(text: Column, patterns) -> Column:
     return text
 
 
+def _delete_found(text: Column, patterns) -> Column:
+    """The same for a long list of mostly plain rules that are rarely found.
+
+    The rules are a constant array, folded over the text. A rule runs only where
+    the text contains its plain part, so most of them cost one substring test.
+    """
+    table = F.array(*[F.struct(F.lit(literal_core(p)).alias("part"), F.lit(portable(p)).alias("rule")) for p in patterns])
+    return F.aggregate(
+        table, text, lambda t, r: F.when(F.contains(t, r.part), F.regexp_replace(t, r.rule, F.lit(""))).otherwise(t)
+    )
+
+
 def _delete_markup(segment: Column, extra) -> Column:
     before, after = R.MARKUP[:1], R.MARKUP[2:]
     text = _delete(segment, tuple(extra) + before)
@@ -51,7 +63,7 @@ def strip_words(text: Column, patterns) -> Column:
         # a word that contains no stem of any rule meets none of them
         stems = any_of(patterns)
         return _word_segments(
-            text, lambda words: F.transform(words, lambda w: F.ltrim(F.when(w.rlike(stems), _delete(w, patterns)).otherwise(w)))
+            text, lambda words: F.transform(words, lambda w: F.ltrim(F.when(w.rlike(stems), _delete_found(w, patterns)).otherwise(w)))
         )
     return _word_segments(text, lambda words: F.transform(words, lambda w: F.ltrim(_delete(w, patterns))))
 
@@ -59,10 +71,11 @@ def strip_words(text: Column, patterns) -> Column:
 def stopword_strip(text: Column, extra=(), compat: bool = False) -> Column:
     """All word rules in order, the user's rules first.
 
-    Most words meet no rule. Each step therefore tests a word once before it
-    runs its rules: a word of plain letters can only meet the two ``www`` rules
-    of the first step, and a word without any stem of the website and industry
-    lists cannot meet the second step.
+    Most words meet no rule, so each step tests before it runs its rules. A word
+    of plain letters can only meet the two ``www`` rules of the first step; one
+    without digit, bracket, slash or at sign can also meet the special-character
+    rule, but no other. The second step first tests a whole segment for any stem
+    of the website and industry lists, then its words.
     """
     first = R.URL + R.EMAIL + R.ZIP + R.PHONE + R.DATES + R.NUMBERS + R.SPECIAL
     second = R.website_rules(compat) + R.DOMAIN
@@ -73,9 +86,17 @@ def stopword_strip(text: Column, extra=(), compat: bool = False) -> Column:
             words = F.transform(words, lambda w: _delete(w, extra))
         words = F.transform(
             words,
-            lambda w: F.when(w.rlike(r"^[a-zäöüß]*\z") & ~w.contains("www"), w).otherwise(_delete(w, first)),
+            lambda w: F.when(w.rlike(r"^[a-zäöüß]*\z") & ~w.contains("www"), w)
+            .when(~w.rlike(r"[\p{Nd}@/(\[ ]|www"), _delete(w, R.SPECIAL))
+            .otherwise(_delete(w, first)),
+        )
+        words = let(
+            words,
+            lambda ws: F.when(
+                F.array_join(ws, " ").rlike(stems),
+                F.transform(ws, lambda w: F.when(w.rlike(stems), _delete_found(w, second)).otherwise(w)),
+            ).otherwise(ws),
         )
-        words = F.transform(words, lambda w: F.when(w.rlike(stems), _delete(w, second)).otherwise(w))
         return F.transform(
             words, lambda w: F.ltrim(F.when(F.length(w) > 3, w).otherwise(F.regexp_replace(w, portable(R.SHORT[0]), "")))
         )
@@ -140,20 +161,21 @@ def clean_text(text: Column, rules: dict[str, tuple[str, ...]] | None = None, co
 def whole_text_clean(text: Column) -> Column:
     """Variant that runs the rules over the whole lower-case text instead of single words."""
     gap = portable(r"\s\s+")
-    words = R.URL + R.ZIP + R.PHONE + R.DATES + R.WEBSITES + R.DOMAIN + R.NUMBERS + R.SPECIAL
+    first, last = R.URL + R.ZIP + R.PHONE + R.DATES, R.NUMBERS + R.SPECIAL
 
     def clean(raw: Column) -> Column:
         flat = F.regexp_replace(raw, r"\r+|\n+|\t+/", "")
         flat = F.regexp_replace(F.regexp_replace(flat, r"\|+", " "), gap, " ")
-        flat = _delete(_delete_markup(_delete(flat, R.EMAIL), ()), words)
+        flat = _delete(_delete_markup(_delete(flat, R.EMAIL), ()), first)
+        flat = _delete(_delete_found(flat, R.WEBSITES + R.DOMAIN), last)
         return F.regexp_replace(F.regexp_replace(flat, r"^\.{0,3}\z", ""), gap, " ")
 
-    # bound in a lambda: as generated code the chain would be larger than a Java method may be
+    # bound in a lambda: the chain copies its input, and as generated code it would be larger than a Java method may be
     return let(F.lower(text), clean)
 
 
 def _tokens_with_position(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
-    return df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
+    return unnest_with_position(df, [id_col], F.col(tokens), "pos", "token")
 
 
 def _regroup(tokens: DataFrame, id_col: str, token: Column) -> DataFrame:
@@ -182,7 +204,7 @@ def remove_gazetteer(df: DataFrame, gazetteer: DataFrame, id_col: str, tokens: s
         kept = F.filter(F.col(tokens), lambda t: ~t.isin(*words)) if words else F.col(tokens)
         return df.select(id_col, F.array_join(kept, " ").alias("text"))
     found = join_hot_aware(
-        df.select(id_col, F.explode(F.array_distinct(tokens)).alias("token")), names, "token", "left_semi"
+        unnest(df, [id_col], F.array_distinct(tokens), "token"), names, "token", "left_semi"
     )
     hits = found.groupBy(id_col).agg(F.collect_set("token").alias("hits"))
     return (

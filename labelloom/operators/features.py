@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import term_counts
+from ..functions.text import term_counts, unnest
 from ..session import stored
 from .tables import union_rows
 
 
 def term_table(df: DataFrame, id_col: str, terms: str) -> DataFrame:
     """``(id, term, tf)``: counted inside each row, without a shuffle."""
-    return df.select(id_col, F.explode(term_counts(F.col(terms))).alias("e")).select(
+    return unnest(df, [id_col], term_counts(F.col(terms)), "e").select(
         id_col, F.col("e.term").alias("term"), F.col("e.n").alias("tf")
     )
 
@@ -44,18 +44,15 @@ def idf_table(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
 def tfidf(df: DataFrame, id_col: str, terms: str) -> DataFrame:
     """``(id, term, tf, tfidf)``, rows scaled to length one.
 
-    The counts feed the idf table and both parts of the join, so they are
-    written once instead of counting the texts again.
+    The counts and the idf table feed several branches, so they are written
+    once instead of counting the texts again.
     """
     tf = stored(term_table(df, id_col, terms), "tf")
-    return weigh(tf, idf_table(tf, df.agg(F.count(F.lit(1)))), id_col)
+    return weigh(tf, stored(idf_table(tf, df.agg(F.count(F.lit(1)))), "idf"), id_col)
 
 
 def weigh(tf: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
-    """Apply an idf table and scale every document to length one.
-
-    The norm is an aggregate joined back; its groups are single documents.
-    """
+    """Apply an idf table and scale every document to length one; the window groups are single documents."""
     raw = attach_by_term(tf, idf).select(id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, "term", "tf", (F.col("w") / F.col("norm")).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", "tf", (F.col("w") / norm).alias("tfidf"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from ..functions.text import let
+from ..functions.text import compute_once, let
 from ..schemas import ABSTAIN, CARDINALITY
 from ..session import checkpointed
 from .metrics import confusion, metrics
@@ -215,8 +215,9 @@ def lm_moments(patterns: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def label_corpus(df: DataFrame, registry: LFRegistry, model: LabelModel, keep: Sequence[str]) -> DataFrame:
     """Vote, predict and drop the rows that stay without a label. One projection and one filter."""
-    labelled = model.predict(apply_lfs(df, registry, keep)).drop(*registry.names)
-    return labelled.filter(F.col("label") != ABSTAIN)
+    votes = apply_lfs(df, registry, keep)
+    label = pick(model.posterior(), "abstain", None, TIE_TOLERANCE).cast("int")
+    return compute_once(votes, list(keep), label, "label").filter(F.col("label") != ABSTAIN)
 
 
 def label_texts(df: DataFrame, registry: LFRegistry, model: LabelModel, keep: Sequence[str], class_names: Sequence[str]) -> DataFrame:

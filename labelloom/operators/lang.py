@@ -14,21 +14,17 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import let
+from ..functions.text import unnest
 
 
 def trigrams(text: Column) -> Column:
-    """Trigrams of the lower-case words, each word framed by blanks."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    return F.flatten(
-        F.transform(
-            words,
-            lambda w: let(
-                F.concat(F.lit(" "), w, F.lit(" ")),
-                lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))),
-            ),
-        )
-    )
+    """Trigrams of the lower-case words, each word framed by blanks.
+
+    A look-ahead matches at every position without consuming it, so one call
+    returns the overlapping trigrams. Their middle is a letter: none spans two words.
+    """
+    framed = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+    return F.regexp_extract_all(framed, F.lit(r"(?=([ \p{L}]\p{L}[ \p{L}]))"), F.lit(1))
 
 
 @dataclass(frozen=True)
@@ -56,7 +52,7 @@ def train_language_model(df: DataFrame, text: str, lang: str, vocabulary: int =
     """Profiles over the ``vocabulary`` most frequent trigrams (ties by trigram), add-one smoothing."""
     grams = df.select(lang, trigrams(F.col(text)).alias("_grams"))
     top = (
-        grams.select(F.explode("_grams").alias("gram"))
+        unnest(grams, [], F.col("_grams"), "gram")
         .groupBy("gram")
         .count()
         .orderBy(F.desc("count"), "gram")

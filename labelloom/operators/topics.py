@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import remove_stopwords, tokenize, top_terms
+from ..functions.text import remove_stopwords, tokenize, top_terms, unnest
 from .features import term_table
 
 
@@ -90,15 +90,13 @@ def _pair_counts(topic_terms: DataFrame, df: DataFrame, terms: str, max_terms: i
     pairs = [(a, b) for a in rows for b in rows if a["topic"] == b["topic"] and a["rank"] < b["rank"]]
     spark = df.sparkSession
     words = sorted({r["term"] for r in rows})
-    present = df.select(
-        F.array_distinct(F.filter(F.col(terms), lambda t: t.isin(*words))).alias("present")
-    ).filter(F.size("present") > 0)
-    singles = present.select(F.explode("present").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d"))
+    present = df.select(F.array_distinct(F.filter(F.col(terms), lambda t: t.isin(*words))).alias("present"))
+    singles = unnest(present, [], F.col("present"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("d"))
     literal = F.array(
         *[F.struct(F.lit(i).alias("i"), F.lit(a["term"]).alias("a"), F.lit(b["term"]).alias("b")) for i, (a, b) in enumerate(pairs)]
     )
     both = F.filter(literal, lambda p: F.array_contains("present", p.a) & F.array_contains("present", p.b))
-    joint = present.select(F.explode(both).alias("p")).groupBy("p.i").agg(F.count(F.lit(1)).alias("d12"))
+    joint = unnest(present, [], both, "p").groupBy("p.i").agg(F.count(F.lit(1)).alias("d12"))
     table = spark.createDataFrame(
         [(i, a["topic"], a["rank"], b["rank"], a["term"], b["term"]) for i, (a, b) in enumerate(pairs)],
         f"i int, topic {topic_terms.schema['topic'].dataType.simpleString()}, r1 int, r2 int, t1 string, t2 string",

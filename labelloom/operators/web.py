@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import any_literal
 from ..functions.rules import BLOCKED_MARKERS, JOURNALS, JOURNAL_TOPICS, LINK_BLACKLIST
-from ..functions.text import let, unescape
+from ..functions.text import let, unescape, unnest_with_position
 from ..session import checkpointed
 from .tables import first_per_key, join_hot_aware, key_counts, union_rows
 
@@ -120,7 +120,7 @@ def page_links(html: Column, base: Column, skipped=SKIPPED_ENDINGS) -> Column:
 
 def link_extract(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
     """``(id, pos, link)`` for every distinct link of every page."""
-    return pages.select(id_col, F.posexplode(page_links(F.col(html), F.col(url))).alias("pos", "link"))
+    return unnest_with_position(pages, [id_col], page_links(F.col(html), F.col(url)), "pos", "link")
 
 
 def is_blacklisted(link: Column) -> Column:

@@ -111,7 +111,7 @@ _EXPLODED_SQL = f"tok AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS token, generat
 
 def remove_gazetteer(spark, d):
     """The words of the benchmark texts play the part of the names."""
-    names = table(spark, d, "benchmark").select(F.explode(tokenize(F.col("text"))).alias("name"))
+    names = table(spark, d, "benchmark").select(F.explode_outer(tokenize(F.col("text"))).alias("name"))
     return K.remove_gazetteer(_tokens(spark, d), names, "doc_id", "tokens")
 
 
@@ -125,7 +125,7 @@ ORACLES["remove_gazetteer"] = f"""
 
 def lemmatize_lookup(spark, d):
     """Dictionary derived from the benchmark words: a long word has its first five characters as lemma."""
-    words = table(spark, d, "benchmark").select(F.explode(tokenize(F.col("text"))).alias("token")).distinct()
+    words = table(spark, d, "benchmark").select(F.explode_outer(tokenize(F.col("text"))).alias("token")).distinct()
     lemmas = words.filter(F.length("token") > 6).select("token", F.substring("token", 1, 5).alias("lemma"))
     return K.lemmatize_lookup(_tokens(spark, d), lemmas, "doc_id", "tokens")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import BLOCKED_MARKERS, JOURNALS, JOURNAL_TOPICS, LINK_BLACKLIST, RESULT_BLACKLIST
 from ..functions.patterns import any_literal
+from ..functions.text import unnest_with_position
 from ..operators import seeds as S, tables as T, web as W
 from ..schemas import RAW_TEXTS
 from ..session import scratch_path
@@ -112,7 +113,7 @@ LINKS_SQL = """
 
 def links(spark, d):
     p = pages(spark, d)
-    found = p.select("page_id", "CLASS", "KEYWORD", F.posexplode(W.page_links(F.col("html"), F.col("url"))).alias("pos", "link"))
+    found = unnest_with_position(p, ["page_id", "CLASS", "KEYWORD"], W.page_links(F.col("html"), F.col("url")), "pos", "link")
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 

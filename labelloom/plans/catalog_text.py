@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import ngrams_1_2, remove_stopwords, tokenize, top_terms
+from ..functions.text import ngrams_1_2, remove_stopwords, tokenize, top_terms, unnest
 from ..operators import centroids as N, features as X, topics as P
 from ..operators.votes import LFRegistry, apply_lfs
 from ..schemas import CARDINALITY
@@ -106,7 +106,7 @@ def _lang_topics(spark, d) -> tuple[DataFrame, DataFrame]:
     docs = kept_tokens(spark, d).select(
         "doc_id", "lang", F.array_distinct(F.filter("tokens", lambda t: F.length(t) > 3)).alias("terms")
     )
-    counts = docs.select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
+    counts = unnest(docs, ["lang"], F.col("terms"), "term").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "term"))
     topics = counts.withColumn("rank", rank).filter(F.col("rank") <= 7).select(F.col("lang").alias("topic"), "rank", "term")
     return topics, docs
@@ -153,8 +153,8 @@ def topiced(spark, d) -> DataFrame:
 def centroid_parts(spark, d):
     """``(docs, idf, centroids)``: the class documents are the documents that contain a keyword of the class."""
     stage = topiced(spark, d)
-    member = F.explode(F.filter(F.array(*KEYWORD_NAMES), lambda v: v >= 0)).alias("cluster")
-    class_terms = P.class_topic_terms(stage.select(member, "tokens"), "cluster", "tokens")
+    member = F.filter(F.array(*KEYWORD_NAMES), lambda v: v >= 0)
+    class_terms = P.class_topic_terms(unnest(stage, ["tokens"], member, "cluster"), "cluster", "tokens")
     class_docs = class_terms.groupBy("cluster").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda e: e.term).alias("topic")
     )
@@ -162,7 +162,7 @@ def centroid_parts(spark, d):
     class_tf = stored(X.term_table(class_docs.select("cluster", ngrams_1_2(F.col("topic")).alias("g")), "cluster", "g"))
     docs = stored(stage.select("doc_id", ngrams_1_2(F.col("topic")).alias("g"), *KEYWORD_NAMES))
     n_classes = class_tf.agg(F.count_distinct("cluster"))
-    idf = N.centroid_idf(X.term_table(docs, "doc_id", "g"), class_tf, docs.agg(F.count(F.lit(1))), n_classes)
+    idf = stored(N.centroid_idf(X.term_table(docs, "doc_id", "g"), class_tf, docs.agg(F.count(F.lit(1))), n_classes), "idf")
     return docs, idf, N.fixed_centroids(class_tf, idf)
 
 
