@@ -9,8 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import remove_stopwords, tokenize, top_terms, unnest
-from .features import term_table
+from ..functions.text import remove_stopwords, term_counts, tokenize, top_terms, unnest
 
 
 def topic_terms_doc(text: Column, lang: Column, topics: int = 2, per_topic: int = 7) -> Column:
@@ -38,17 +37,22 @@ def class_text_concat(df: DataFrame, class_col: str, text: str, ord_col: str, ro
     return grouped.select(class_col, "part", F.array_join(F.transform("rows", lambda r: r.t), "|").alias("text"))
 
 
-def class_terms(df: DataFrame, class_col: str, tokens: str) -> DataFrame:
-    """``(class, term, tf)``: term counts of a class document, without building its text."""
-    per_row = term_table(df.select(F.struct(class_col).alias("k"), tokens), "k", tokens)
-    return per_row.groupBy(F.col(f"k.{class_col}").alias(class_col), "term").agg(F.sum("tf").alias("tf"))
+def class_terms(df: DataFrame, classes: Column, tokens: str, out: str) -> DataFrame:
+    """``(out, term, tf)``: term counts of the class documents, without building their texts.
+
+    ``classes`` is the array of classes a row belongs to. A row counts its terms
+    once for all of them, and the counts combine before the shuffle.
+    """
+    counted = unnest(df.select(classes.alias("cs"), tokens), ["cs"], term_counts(F.col(tokens)), "e")
+    rows = unnest(counted, [F.col("e.term").alias("term"), F.col("e.n").alias("n")], F.col("cs"), out)
+    return rows.groupBy(out, "term").agg(F.sum("n").alias("tf"))
 
 
-def class_topic_terms(df: DataFrame, class_col: str, tokens: str, k: int = 14, min_length: int = 4) -> DataFrame:
-    """Topic terms of every class document: ``(class, rank, term)``, at most ``k`` rows per class."""
-    w = Window.partitionBy(class_col).orderBy(F.desc("tf"), "term")
-    ranked = class_terms(df, class_col, tokens).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.filter(F.length("term") >= min_length).select(class_col, "rank", "term")
+def class_topic_terms(df: DataFrame, classes: Column, tokens: str, out: str, k: int = 14, min_length: int = 4) -> DataFrame:
+    """Topic terms of every class document: ``(out, rank, term)``, at most ``k`` rows per class."""
+    w = Window.partitionBy(out).orderBy(F.desc("tf"), "term")
+    ranked = class_terms(df, classes, tokens, out).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.filter(F.length("term") >= min_length).select(out, "rank", "term")
 
 
 def fit_topic_model(df: DataFrame, tokens: str, k: int = 2, vocabulary: int = 1 << 14, seed: int = 42, max_iter: int = 10) -> PipelineModel:

@@ -154,7 +154,7 @@ def centroid_parts(spark, d):
     """``(docs, idf, centroids)``: the class documents are the documents that contain a keyword of the class."""
     stage = topiced(spark, d)
     member = F.filter(F.array(*KEYWORD_NAMES), lambda v: v >= 0)
-    class_terms = P.class_topic_terms(unnest(stage, ["tokens"], member, "cluster"), "cluster", "tokens")
+    class_terms = P.class_topic_terms(stage, member, "tokens", "cluster")
     class_docs = class_terms.groupBy("cluster").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda e: e.term).alias("topic")
     )
