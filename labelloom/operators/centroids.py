@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .features import attach_by_term, document_frequency, term_table
-from .tables import union_rows
+from .tables import lookup_join, union_rows
 
 
 def cluster_names(classes: DataFrame, class_col: str) -> DataFrame:
@@ -26,9 +26,9 @@ def centroid_idf(doc_terms: DataFrame, class_terms: DataFrame, n_docs: DataFrame
 def fixed_centroids(class_tf: DataFrame, idf: DataFrame) -> DataFrame:
     """``(cluster, term, weight)``: the TF-IDF rows of the class documents, length one.
 
-    A class document holds at most a few dozen topic terms, so it is the side to broadcast.
+    Terms are unique in ``idf`` and occur at most once per class, so no key is hot.
     """
-    raw = idf.join(F.broadcast(class_tf), "term").select("cluster", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = class_tf.join(idf, "term").select("cluster", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy("cluster").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "cluster").select("cluster", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -47,8 +47,7 @@ def nearest_centroid(docs: DataFrame, id_col: str, terms: str, idf: DataFrame, c
     weighted = attach_by_term(term_table(docs, id_col, terms), idf)
     w = F.col("tf") * F.col("idf")
     dots = (
-        weighted.select(id_col, "term", w.alias("w"))
-        .join(F.broadcast(by_term), "term", "left")
+        lookup_join(weighted.select(id_col, "term", w.alias("w")), by_term, "term", "left")
         .groupBy(id_col)
         .agg(
             F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"),

@@ -200,8 +200,8 @@ def remove_gazetteer(df: DataFrame, gazetteer: DataFrame, id_col: str, tokens: s
     names = gazetteer.select(F.lower(name).alias("token")).distinct()
     head = names.limit(max_inline + 1).collect()
     if len(head) <= max_inline:
-        words = [r["token"] for r in head]
-        kept = F.filter(F.col(tokens), lambda t: ~t.isin(*words)) if words else F.col(tokens)
+        words = ", ".join("'" + r["token"].replace("\\", "\\\\").replace("'", "\\'") + "'" for r in head if r["token"] is not None)
+        kept = F.expr(f"filter(`{tokens}`, t -> t NOT IN ({words}))") if words else F.col(tokens)
         return df.select(id_col, F.array_join(kept, " ").alias("text"))
     found = join_hot_aware(
         unnest(df, [id_col], F.array_distinct(tokens), "token"), names, "token", "left_semi"
@@ -224,10 +224,10 @@ def remove_gazetteer(df: DataFrame, gazetteer: DataFrame, id_col: str, tokens: s
 
 def lemmatize_lookup(df: DataFrame, lemmas: DataFrame, id_col: str, tokens: str) -> DataFrame:
     """Replace tokens by the lemma of a ``(token, lemma)`` dictionary; returns ``(id, text)``."""
-    from .tables import join_hot_aware
+    from .tables import lookup_join
 
     exploded = _tokens_with_position(df, id_col, tokens)
-    joined = join_hot_aware(exploded, lemmas.select("token", "lemma"), "token", "left")
+    joined = lookup_join(exploded, lemmas.select("token", "lemma"), "token", "left", max_rows=500_000)
     texts = _regroup(joined, id_col, F.coalesce("lemma", "token"))
     return df.select(id_col).join(texts, id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
 

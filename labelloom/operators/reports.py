@@ -95,7 +95,7 @@ def log_events(events: DataFrame) -> DataFrame:
     earlier = days.select(
         "logger", "day", F.lag("last").over(Window.partitionBy("logger").orderBy("day")).alias("before")
     )
-    first = lagged.filter(F.col("prev").isNull()).join(F.broadcast(earlier), ["logger", "day"], "left")
+    first = lagged.filter(F.col("prev").isNull()).join(earlier, ["logger", "day"], "left")
     rest = lagged.filter(F.col("prev").isNotNull()).withColumn("before", F.col("prev"))
     both = union_rows(rest, first)
     micros = F.unix_micros("ts") - F.unix_micros("before")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import hash_int, hash_order
 from ..schemas import UNANNOTATED
-from .tables import union_rows
+from .tables import lookup_join, union_rows
 
 
 def hash_at_rank(df: DataFrame, hashed: str, rank: int, digits: int = 4) -> str:
@@ -68,36 +68,26 @@ def kfold(df: DataFrame, key: str, ks=range(2, 10), seed: int = 12) -> DataFrame
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Add ``weight = total / class count``. There are as few counts as classes."""
+    """Add ``weight = total / class count``."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     weights = counts.select(label, (total / F.col("_n")).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    return lookup_join(df, weights, label, "inner")
 
 
-def balanced_sample(df: DataFrame, key: str, label: str, seed: int = 42, max_copies: int = 64) -> DataFrame:
-    """Draw about as many rows as there are, with replacement, every class equally often.
+def balanced_sample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
+    """About as many rows as there are, drawn with repetition so that every class is equally frequent.
 
-    Drawing n times with weights gives a row a Poisson number of copies in the
-    limit; each row draws its own number from its hash, so nothing is sorted or
-    collected. ``copy`` counts the copies of a row.
+    A row is wanted ``rate = weight * n / sum(weights)`` times. It gets the whole
+    part of its rate, and one copy more with the probability of the rest, from
+    its own hash: nothing is sorted or collected, and no rate is cut off.
     """
     weighted = class_weights(df, label)
-    stats = weighted.agg((F.count(F.lit(1)) / F.sum("weight")).alias("scale")).scalar()
-    rate = F.col("weight") * stats
-    u = (hash_int(F.col(key), seed) + 0.5) / float(1 << 32)
-    copies = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_copies)),
-        F.struct(F.exp(-F.col("_rate")).alias("p"), F.exp(-F.col("_rate")).alias("cdf"), F.lit(0).alias("k")),
-        lambda a, i: F.when(F.col("_u") < a.cdf, a).otherwise(
-            F.struct(
-                (a.p * F.col("_rate") / i).alias("p"), (a.cdf + a.p * F.col("_rate") / i).alias("cdf"), i.cast("int").alias("k")
-            )
-        ),
-        lambda a: a.k,
-    )
-    drawn = weighted.withColumn("_rate", rate).withColumn("_u", u).withColumn("_k", copies).filter(F.col("_k") > 0)
-    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_rate", "_u", "_k")
+    scale = weighted.agg((F.count(F.lit(1)) / F.sum("weight")).alias("scale")).scalar()
+    u = hash_int(F.col(key), seed) / float(1 << 32)
+    copies = F.floor(F.col("weight") * scale + 1 - u).cast("int")
+    drawn = weighted.withColumn("_k", copies).filter(F.col("_k") > 0)
+    return drawn.withColumn("copy", F.explode_outer(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
 
 
 def head_limit(df: DataFrame, key: str, n: int = 1_000) -> DataFrame:

@@ -62,6 +62,17 @@ def join_hot_aware(
     return union_rows(is_hot, rest)
 
 
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str, max_rows: int = 100_000) -> DataFrame:
+    """Join to a table that is unique by ``key`` and usually small.
+
+    The table is counted first. Up to ``max_rows`` rows are broadcast and the
+    left side stays where it is; a larger table is joined by ``join_hot_aware``.
+    """
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), key, how)
+    return join_hot_aware(left, right, key, how)
+
+
 def drop_empty_text(df: DataFrame, text: str) -> DataFrame:
     return df.filter(F.col(text) != "")
 

@@ -7,7 +7,7 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import remove_stopwords, term_counts, tokenize, top_terms, unnest
 
@@ -67,18 +67,21 @@ def fit_topic_model(df: DataFrame, tokens: str, k: int = 2, vocabulary: int = 1
 
 def topic_model_terms(model: PipelineModel, per_topic: int = 7) -> DataFrame:
     """``(topic, rank, term, weight)`` of a fitted topic model."""
-    vocabulary = F.array(*[F.lit(w) for w in model.stages[0].vocabulary])
-    terms = model.stages[1].describeTopics(per_topic)
-    zipped = F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "e")
-    return terms.select("topic", zipped).select(
-        "topic", "rank", F.get(vocabulary, F.col("e.termIndices")).alias("term"), F.col("e.termWeights").alias("weight")
-    )
+    vocabulary = model.stages[0].vocabulary
+    rows = [
+        (t["topic"], rank, vocabulary[i], w)
+        for t in model.stages[1].describeTopics(per_topic).collect()
+        for rank, (i, w) in enumerate(zip(t["termIndices"], t["termWeights"]))
+    ]
+    spark = SparkSession.active()
+    return spark.createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
 def dominant_topic(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add the topic mixture and its largest entry."""
+    """Add the topic mixture and its largest entry; null for a text without any known term."""
     mixed = model.transform(df).withColumn("mixture", vector_to_array("_mix")).drop("_tf", "_mix")
-    return mixed.withColumn("topic", (F.array_position("mixture", F.array_max("mixture")) - 1).cast("int"))
+    best = F.array_position("mixture", F.array_max("mixture")) - 1
+    return mixed.withColumn("topic", F.when(F.array_max("mixture") > 0, best).cast("int"))
 
 
 def _pair_counts(topic_terms: DataFrame, df: DataFrame, terms: str, max_terms: int) -> DataFrame:
@@ -92,6 +95,8 @@ def _pair_counts(topic_terms: DataFrame, df: DataFrame, terms: str, max_terms: i
     if len(rows) > max_terms:
         raise ValueError(f"more than {max_terms} topic terms")
     pairs = [(a, b) for a in rows for b in rows if a["topic"] == b["topic"] and a["rank"] < b["rank"]]
+    if len(pairs) > 20_000:
+        raise ValueError("more than 20000 term pairs")
     spark = df.sparkSession
     words = sorted({r["term"] for r in rows})
     present = df.select(F.array_distinct(F.filter(F.col(terms), lambda t: t.isin(*words))).alias("present"))

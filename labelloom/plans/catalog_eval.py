@@ -64,7 +64,15 @@ QUERIES["class_weights"] = lambda spark, d: S.class_weights(table(spark, d, "doc
 ORACLES["class_weights"] = """
     SELECT doc_id, lang, round(count(*) OVER () / count(*) OVER (PARTITION BY lang), 6) AS weight FROM documents"""
 
-QUERIES["balanced_sample"] = lambda spark, d: S.balanced_sample(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang")
+QUERIES["balanced_sample"] = lambda spark, d: S.balanced_sample(
+    table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang"
+).withColumn("weight", F.round("weight", 6))
+ORACLES["balanced_sample"] = """
+    WITH w AS (SELECT doc_id, lang, count(*) OVER () / count(*) OVER (PARTITION BY lang) AS weight,
+        CAST(concat('0x', substr(md5(concat('42:', CAST(doc_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM documents),
+    s AS (SELECT count(*) / sum(weight) AS scale FROM w),
+    c AS (SELECT doc_id, lang, weight, CAST(floor(weight * scale + 1 - u) AS INT) AS k FROM w, s)
+    SELECT doc_id, lang, round(weight, 6) AS weight, CAST(unnest(range(1, k + 1)) AS INT) AS copy FROM c WHERE k > 0"""
 
 
 def head_limit(spark, d):

@@ -65,7 +65,19 @@ def test_folds_partition_the_rows(spark):
 def test_balanced_sample(spark):
     df = spark.range(6000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     counts = {r["label"]: r["count"] for r in S.balanced_sample(df, "id", "label").groupBy("label").count().collect()}
-    assert all(abs(c - 3000) < 300 for c in counts.values())
+    assert all(abs(c - 3000) < 100 for c in counts.values())
+
+
+def test_rare_class_is_not_cut_off(spark):
+    df = spark.range(5000).withColumn("label", (F.col("id") == 17).cast("int"))
+    counts = {r["label"]: r["count"] for r in S.balanced_sample(df, "id", "label").groupBy("label").count().collect()}
+    assert counts[1] in (2500, 2501) and abs(counts[0] - 2500) < 120
+
+
+def test_lookup_join_beyond_its_bound(spark, skewed):
+    right = spark.createDataFrame([("hot", 0), ("k1", 1), ("k2", 2)], "key string, v int")
+    small, large = (T.lookup_join(skewed, right, "key", "left", max_rows=m) for m in (3, 2))
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
 
 
 def test_class_parts_join_to_the_class_text(spark):
