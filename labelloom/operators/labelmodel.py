@@ -24,6 +24,7 @@ from .votes import LFRegistry, apply_lfs, pick, vote_patterns
 
 TIE_TOLERANCE = 1e-5
 FLOOR = 1e-6
+SMALL_TABLE = 50_000
 
 
 @dataclass(frozen=True)
@@ -38,8 +39,10 @@ class Source:
     def outcomes(self) -> tuple[int, ...]:
         return (ABSTAIN, *self.labels)
 
-    def outcome(self) -> Column:
-        return F.col(self.columns[0]) if len(self.columns) == 1 else F.greatest(*self.columns)
+    def outcome(self) -> str:
+        """SQL for the vote of the source, -1 if none of its functions votes."""
+        columns = ", ".join(f"`{c}`" for c in self.columns)
+        return columns if len(self.columns) == 1 else f"greatest({columns})"
 
 
 def sources_of(names: Sequence[str]) -> tuple[Source, ...]:
@@ -61,7 +64,7 @@ def sources_of(names: Sequence[str]) -> tuple[Source, ...]:
 
 def source_patterns(patterns: DataFrame, sources: Sequence[Source]) -> DataFrame:
     """One column per source instead of one per function."""
-    return patterns.select(*[s.outcome().alias(s.name) for s in sources], "n").groupBy(*[s.name for s in sources]).agg(
+    return patterns.select(*[F.expr(s.outcome()).alias(s.name) for s in sources], "n").groupBy(*[s.name for s in sources]).agg(
         F.sum("n").alias("n")
     )
 
@@ -76,23 +79,24 @@ class LabelModel:
 
     def posterior(self, outcome=Source.outcome) -> Column:
         """Class probabilities of a row as an array, from literal parameters."""
-        total = F.array(*[F.lit(-math.log(CARDINALITY))] * CARDINALITY)
-        zero = F.array(*[F.lit(0.0)] * CARDINALITY)
+        # as SQL text: the expression has a few hundred literals and is built anew in every EM iteration
+        def row(values) -> str:
+            return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
+        logits = row([-math.log(CARDINALITY)] * CARDINALITY)
         for s in self.sources:
-            cases = None
-            for o in s.outcomes:
-                if o != ABSTAIN or self.use_abstain:
-                    row = F.array(*[F.lit(math.log(max(p, FLOOR))) for p in self.mu[s.name][o]])
-                    cases = (F if cases is None else cases).when(outcome(s) == o, row)
-            total = F.zip_with(total, cases.otherwise(zero), lambda a, b: a + b)
-
-        def softmax(logits: Column) -> Column:
-            exps = let(F.array_max(logits), lambda m: F.transform(logits, lambda x: F.exp(x - m)))
+            weighed = [o for o in s.outcomes if o != ABSTAIN or self.use_abstain]
+            logs = {o: row(math.log(max(p, FLOOR)) for p in self.mu[s.name][o]) for o in weighed}
+            cases = " ".join(f"WHEN {outcome(s)} = {o} THEN {logs[o]}" for o in weighed)
+            logits = f"zip_with({logits}, CASE {cases} ELSE {row([0.0] * CARDINALITY)} END, (a, b) -> a + b)"
+
+        def softmax(scores: Column) -> Column:
+            exps = let(F.array_max(scores), lambda m: F.transform(scores, lambda x: F.exp(x - m)))
             return let(
                 exps, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda z: F.transform(e, lambda x: x / z))
             )
 
-        return let(total, softmax)
+        return let(F.expr(logits), softmax)
 
     def with_posterior(self, df: DataFrame, outcome=Source.outcome, out: str = "posterior") -> DataFrame:
         return df.withColumn(out, self.posterior(outcome))
@@ -165,13 +169,16 @@ def lm_fit(
     """
     sources = sources_of(names)
     table = checkpointed(source_patterns(patterns, sources))
+    if table.count() <= SMALL_TABLE:
+        # the usual few hundred patterns: without a shuffle an iteration is one small task
+        table = table.coalesce(1)
     base: dict = {s.name: {} for s in sources}
     for r in _outcome_sums(table, sources, [F.col("n").cast("double")]):
         base[r["source"]][r["outcome"]] = r["w0"]
     mu = initial_parameters(base, sources, prior_acc)
     for _ in range(max_iter):
         model = LabelModel(sources, mu, use_abstain=True)
-        post = model.with_posterior(table, lambda s: F.col(s.name))
+        post = model.with_posterior(table, lambda s: f"`{s.name}`")
         weights = [F.col("n") * F.get("posterior", F.lit(c)) for c in range(CARDINALITY)]
         sums = {(r["source"], r["outcome"]): r for r in _outcome_sums(post, sources, weights)}
         new, change = {}, 0.0
