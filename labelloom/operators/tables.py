@@ -46,16 +46,24 @@ def hot_keys(counts: DataFrame, key: str, max_hot: int = 1_000) -> DataFrame:
 
 
 def join_hot_aware(
-    left: DataFrame, right: DataFrame, key: str, how: str, max_hot: int = 1_000, counts: DataFrame | None = None
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str,
+    max_hot: int = 1_000,
+    counts: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join on a key that is unique on the right and may be very unequal on the left.
 
     The rows of hot keys meet a broadcast of at most ``max_hot`` right rows and
     never move; no remaining key holds more than ``1/max_hot`` of the rows. The
     left side is read for the counts and for both parts: store it first if it
-    is expensive.
+    is expensive. ``counts`` or ``hot`` may be given if they are known already.
     """
-    hot = F.broadcast(hot_keys(key_counts(left, key) if counts is None else counts, key, max_hot))
+    if hot is None:
+        hot = hot_keys(key_counts(left, key) if counts is None else counts, key, max_hot)
+    hot = F.broadcast(hot)
     hot_right = F.broadcast(right.join(hot, key, "left_semi"))
     is_hot = left.join(hot, key, "left_semi").join(hot_right, key, how)
     rest = left.join(hot, key, "left_anti").join(right, key, how)

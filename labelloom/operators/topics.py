@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,6 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import remove_stopwords, term_counts, tokenize, top_terms, unnest
+from ..session import stored
 
 
 def topic_terms_doc(text: Column, lang: Column, topics: int = 2, per_topic: int = 7) -> Column:
@@ -22,14 +23,20 @@ def topic_terms_doc(text: Column, lang: Column, topics: int = 2, per_topic: int
     return top_terms(remove_stopwords(tokenize(text), lang), topics * per_topic)
 
 
-def class_text_concat(df: DataFrame, class_col: str, text: str, ord_col: str, rows_per_part: int | None = None) -> DataFrame:
-    """Texts of a class joined by a pipe in ``ord_col`` order.
+def class_text_concat(
+    df: DataFrame, class_col: str, text: str, ord_col: str, rows_per_part: int | None = 1_000, max_chars: int = 64_000_000
+) -> DataFrame:
+    """``(class, part, text)``: texts of a class joined by a pipe in the order of the integer ``ord_col``.
 
-    ``rows_per_part`` splits a class into consecutive parts: part p joins the
-    rows whose integer ``ord_col`` lies in [p * rows_per_part, (p+1) * rows_per_part).
-    The parts in order are the class document, and no task holds a whole class.
-    Without it there is one row per class; use that for seed pages only.
+    Part p joins the rows whose ``ord_col`` lies in [p * rows_per_part, (p+1) * rows_per_part);
+    the parts in order are the class document, and no task holds a whole class.
+    ``rows_per_part=None`` gives one row per class, for the few seed pages; the
+    size of the largest class is checked first.
     """
+    if rows_per_part is None:
+        largest = df.groupBy(class_col).agg(F.sum(F.length(text) + 1).alias("n")).agg(F.max("n")).first()[0]
+        if (largest or 0) > max_chars:
+            raise ValueError(f"a class has more than {max_chars} characters; use rows_per_part")
     part = F.lit(0).cast("bigint") if rows_per_part is None else F.floor(F.col(ord_col) / rows_per_part)
     grouped = df.groupBy(F.col(class_col), part.alias("part")).agg(
         F.sort_array(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(text).alias("t")))).alias("rows")
@@ -56,13 +63,15 @@ def class_topic_terms(df: DataFrame, classes: Column, tokens: str, out: str, k:
 
 
 def fit_topic_model(df: DataFrame, tokens: str, k: int = 2, vocabulary: int = 1 << 14, seed: int = 42, max_iter: int = 10) -> PipelineModel:
-    """Corpus-level LDA on term counts (online optimiser, so one pass holds a mini-batch)."""
-    return Pipeline(
-        stages=[
-            CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary),
-            LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf", topicDistributionCol="_mix", optimizer="online"),
-        ]
-    ).fit(df)
+    """Corpus-level LDA on term counts with the online optimiser.
+
+    Every iteration samples the corpus, so the count vectors are written once
+    instead of counting the texts in every iteration.
+    """
+    counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary).fit(df)
+    vectors = stored(counter.transform(df.select(tokens)).select("_tf"), "vectors")
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf", topicDistributionCol="_mix", optimizer="online")
+    return PipelineModel([counter, lda.fit(vectors)])
 
 
 def topic_model_terms(model: PipelineModel, per_topic: int = 7) -> DataFrame:

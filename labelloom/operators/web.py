@@ -8,7 +8,7 @@ from ..functions.patterns import any_literal
 from ..functions.rules import BLOCKED_MARKERS, JOURNALS, JOURNAL_TOPICS, LINK_BLACKLIST
 from ..functions.text import let, unescape, unnest_with_position
 from ..session import checkpointed
-from .tables import first_per_key, join_hot_aware, key_counts, union_rows
+from .tables import first_per_key, hot_keys, join_hot_aware, key_counts, union_rows
 
 # File endings that a link extractor skips by default.
 SKIPPED_ENDINGS = (
@@ -187,9 +187,11 @@ def crawl_frontier_bfs(seeds: DataFrame, edges: DataFrame, depth: int = 1) -> Da
     order = [F.col(c) for c in tag]
     level = checkpointed(first_per_key(seeds.select("url", F.lit(0).alias("depth"), *tag), ["url"], order))
     reached = level
+    edges = edges.withColumnRenamed("src", "url")
+    hubs = checkpointed(hot_keys(key_counts(edges, "url"), "url"))
     for d in range(1, depth + 1):
         # the out-links of a hub meet a broadcast parent, the others meet by shuffle
-        found = join_hot_aware(edges.withColumnRenamed("src", "url"), level.select("url", *tag), "url", "inner")
+        found = join_hot_aware(edges, level.select("url", *tag), "url", "inner", hot=hubs)
         found = first_per_key(found.select(F.col("dst").alias("url"), F.lit(d).alias("depth"), *tag), ["url"], order)
         level = checkpointed(found.join(reached.select("url"), "url", "left_anti"))
         if level.isEmpty():

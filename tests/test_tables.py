@@ -82,7 +82,9 @@ def test_lookup_join_beyond_its_bound(spark, skewed):
 
 def test_class_parts_join_to_the_class_text(spark):
     df = spark.createDataFrame([(i, "a" if i % 3 else "b", f"t{i}") for i in range(25)], "o bigint, c string, t string")
-    whole = {r["c"]: r["text"] for r in P.class_text_concat(df, "c", "t", "o").collect()}
+    whole = {r["c"]: r["text"] for r in P.class_text_concat(df, "c", "t", "o", rows_per_part=None).collect()}
+    with pytest.raises(ValueError):
+        P.class_text_concat(df, "c", "t", "o", rows_per_part=None, max_chars=10)
     parts = P.class_text_concat(df, "c", "t", "o", rows_per_part=10).orderBy("c", "part").collect()
     assert len(parts) == 6
     for c in whole:
