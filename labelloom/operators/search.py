@@ -161,6 +161,48 @@ def search_label_model(
     return configs.repartition(tasks, "config_id").mapInPandas(run, RESULT_SCHEMA)
 
 
+def fold_patterns(votes: DataFrame, names: Sequence[str], key: str, label: str, ks: Sequence[int] = range(2, 10), seed: int = 12) -> DataFrame:
+    """``(k, fold, names, label, n)``: the vote patterns of every fold of every k, in one aggregation."""
+    h = hash_int(F.col(key), seed)
+    folds = F.array(*[F.struct(F.lit(k).alias("k"), F.pmod(h, F.lit(k)).cast("int").alias("fold")) for k in ks])
+    rows = votes.select(*names, F.col(label).alias("label"), F.inline(folds))
+    return rows.groupBy("k", "fold", *names, "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cross_validate(configs: DataFrame, patterns: DataFrame, names: Sequence[str], max_patterns: int = 500_000, tasks: int = 64) -> DataFrame:
+    """Fit every configuration on the other folds and score it on the annotated rows of the fold.
+
+    ``patterns`` comes from ``fold_patterns``; its size does not depend on the
+    corpus and is checked. Each (fold, configuration) pair is a row of work.
+    """
+    table = patterns.limit(max_patterns + 1).toPandas()
+    if len(table) > max_patterns:
+        raise ValueError(f"more than {max_patterns} fold patterns")
+    shared = configs.sparkSession.sparkContext.broadcast((table, tuple(names)))
+    ids = sorted(set(zip(table["k"].tolist(), table["fold"].tolist())))
+    work = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("fold")) for k, f in ids])
+    schema = "k int, fold int, " + RESULT_SCHEMA
+
+    def run(batches):
+        rows, columns = shared.value
+        ready: dict = {}
+        for batch in batches:
+            out = []
+            for c in batch.to_dict("records"):
+                at = (c["k"], c["fold"])
+                if at not in ready:
+                    of_k = rows[rows["k"] == c["k"]]
+                    test = of_k[(of_k["fold"] == c["fold"]) & (of_k["label"] >= 0)]
+                    ready[at] = PatternFit(of_k[of_k["fold"] != c["fold"]], test, columns)
+                params = {k: c[k] for k in GRID}
+                params["max_iter"] = int(params["max_iter"])
+                out.append({**c, **ready[at].score(ready[at].fit(**params))})
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
+
+    todo = configs.select(F.inline(work), "*").repartition(tasks, "k", "fold", "config_id")
+    return todo.mapInPandas(run, schema)
+
+
 def search_halving(configs: list[dict], fit_and_score: Callable[[dict, int], float], eta: int = 4, budget: int = 1, max_budget: int = 64) -> list[dict]:
     """Successive halving over driver-side configurations whose fits are Spark jobs.
 

@@ -90,17 +90,20 @@ def long_votes(votes: DataFrame, names: Sequence[str], keep: Sequence[str]) -> D
     return votes.select(*keep, F.inline(pairs))
 
 
-def lf_summary(patterns: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Polarity, coverage, overlaps and conflicts of every labelling function, from the vote patterns."""
+def lf_summary(patterns: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Polarity, coverage, overlaps and conflicts of every labelling function, from the vote patterns.
+
+    ``by`` names columns of the patterns, such as the fold, for one summary each.
+    """
     voted = _voted(names)
     marked = patterns.withColumn("many", F.size(voted) > 1).withColumn("clash", F.size(F.array_distinct(voted)) > 1)
-    rows = long_votes(marked, names, ["n", "many", "clash"])
+    rows = long_votes(marked, names, [*by, "n", "many", "clash"])
     fires = F.col("vote") != ABSTAIN
 
     def share(cond: Column) -> Column:
         return F.sum(F.when(cond, F.col("n")).otherwise(0)) / F.sum("n")
 
-    return rows.groupBy("lf").agg(
+    return rows.groupBy(*by, "lf").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(fires, F.col("vote")))).cast("array<string>"), ",").alias("polarity"),
         share(fires).alias("coverage"),
         share(fires & F.col("many")).alias("overlaps"),
