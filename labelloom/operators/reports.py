@@ -81,21 +81,19 @@ def parse_log(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def log_events(events: DataFrame) -> DataFrame:
+def log_events(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """Add the seconds since the previous event of the same logger.
 
     One logger may write a third of all lines. The lag therefore runs per
-    logger and day; only the first event of a day looks up the last event of
-    an earlier day, in a table with one row per logger and day.
+    logger and ``bucket`` of time; only the first event of a bucket looks up the
+    last event before it, in a table with one row per logger and bucket.
     """
-    daily = events.withColumn("day", F.to_date("ts"))
-    inside = Window.partitionBy("logger", "day").orderBy("ts", "message")
-    lagged = daily.withColumn("prev", F.lag("ts").over(inside))
-    days = daily.groupBy("logger", "day").agg(F.max("ts").alias("last"))
-    earlier = days.select(
-        "logger", "day", F.lag("last").over(Window.partitionBy("logger").orderBy("day")).alias("before")
-    )
-    first = lagged.filter(F.col("prev").isNull()).join(earlier, ["logger", "day"], "left")
+    cut = events.withColumn("cut", F.date_trunc(bucket, "ts"))
+    inside = Window.partitionBy("logger", "cut").orderBy("ts", "message")
+    lagged = cut.withColumn("prev", F.lag("ts").over(inside))
+    last = cut.groupBy("logger", "cut").agg(F.max("ts").alias("last"))
+    earlier = last.select("logger", "cut", F.lag("last").over(Window.partitionBy("logger").orderBy("cut")).alias("before"))
+    first = lagged.filter(F.col("prev").isNull()).join(earlier, ["logger", "cut"], "left")
     rest = lagged.filter(F.col("prev").isNotNull()).withColumn("before", F.col("prev"))
     both = union_rows(rest, first)
     micros = F.unix_micros("ts") - F.unix_micros("before")
