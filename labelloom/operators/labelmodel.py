@@ -144,12 +144,12 @@ def initial_parameters(counts: dict[str, dict[int, float]], sources: Sequence[So
 
 
 def _outcome_sums(patterns: DataFrame, sources: Sequence[Source], weights: Sequence[Column]) -> list[Row]:
-    """Weighted counts per (source, outcome): at most a few dozen rows."""
+    """Weighted counts per (source, outcome): at most eight rows per source, as a vote is -1 or a class id."""
     pairs = F.array(*[F.struct(F.lit(s.name).alias("source"), F.col(s.name).alias("outcome")) for s in sources])
     named = [w.alias(f"w{i}") for i, w in enumerate(weights)]
-    long = patterns.select(F.inline(pairs), *named)
+    long = patterns.select(F.inline(pairs), *named).filter(F.col("outcome").between(ABSTAIN, CARDINALITY - 1))
     sums = long.groupBy("source", "outcome").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(weights))])
-    return sums.limit(sum(len(s.outcomes) for s in sources)).collect()
+    return sums.collect()
 
 
 def lm_fit(

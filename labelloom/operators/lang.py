@@ -48,7 +48,7 @@ class LanguageModel:
         )
 
 
-def train_language_model(df: DataFrame, text: str, lang: str, vocabulary: int = 2_000) -> LanguageModel:
+def train_language_model(df: DataFrame, text: str, lang: str, vocabulary: int = 2_000, max_languages: int = 1_000) -> LanguageModel:
     """Profiles over the ``vocabulary`` most frequent trigrams (ties by trigram), add-one smoothing."""
     grams = df.select(lang, trigrams(F.col(text)).alias("_grams"))
     top = (
@@ -60,7 +60,9 @@ def train_language_model(df: DataFrame, text: str, lang: str, vocabulary: int =
         .collect()
     )
     counter = CountVectorizerModel.from_vocabulary([r["gram"] for r in top], inputCol="_grams", outputCol="_counts")
-    languages = tuple(r[0] for r in grams.select(lang).distinct().orderBy(lang).limit(1_000).collect())
+    languages = tuple(r[0] for r in grams.select(lang).distinct().orderBy(lang).limit(max_languages + 1).collect())
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     index = F.create_map(*[F.lit(x) for i, code in enumerate(languages) for x in (code, float(i))])
     train = counter.transform(grams).select(index[F.col(lang)].alias("label"), "_counts")
     bayes = NaiveBayes(

@@ -73,6 +73,8 @@ def test_language_model(spark):
     got = train_language_model(df, "text", "lang").detect(df, "text").collect()
     assert all(r["lang_pred"] == r["lang"] for r in got if r["id"] != 99)
     assert [r["lang_pred"] for r in got if r["id"] == 99] == [None]
+    with pytest.raises(ValueError):
+        train_language_model(df, "text", "lang", max_languages=1)
 
 
 SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("clean", T.StringType())])
