@@ -4,8 +4,9 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from labelloom.plans import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 
 
 @pytest.fixture(scope="module")
