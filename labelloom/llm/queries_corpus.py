@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, sharding
+from . import quality, sharding, stages
 from .common import WORD, draw52_sql, sql_text, table
 
-SHARDS = 8
-
 # CRC-32 of a list of bytes; the 256 entries follow from the reflected polynomial.
 CRC32_TABLE_SQL = (
     "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), "
@@ -24,8 +22,7 @@ def crc32_sql(text: str) -> str:
 
 
 def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
-    rows = sharding.shard_rows(table(spark, d, "documents"), sharding.topology(SHARDS), sharding.topology(SHARDS + 1))
-    return rows.withColumn("law", F.lit("key"))
+    return stages.shards(spark, table(spark, d, "documents"), d)
 
 
 OP5_SQL = f"""
@@ -33,8 +30,8 @@ WITH crc_table AS (SELECT {CRC32_TABLE_SQL} AS t),
 placed AS (
   SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
     CAST({crc32_sql("coalesce(text, '')")} AS BIGINT) AS text_crc32,
-    {sharding.descend_sql("doc_id", sharding.topology(SHARDS))} AS shard,
-    {sharding.descend_sql("doc_id", sharding.topology(SHARDS + 1))} AS grown_shard,
+    {sharding.descend_sql("doc_id", sharding.topology(stages.SHARDS))} AS shard,
+    {sharding.descend_sql("doc_id", sharding.topology(stages.SHARDS + 1))} AS grown_shard,
     {draw52_sql("doc_id")} AS draw
   FROM documents, crc_table
 )
