@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_corpus",)
+MODULES = ("queries_corpus", "queries_web")
 
 
 def _merged(attribute: str) -> dict:

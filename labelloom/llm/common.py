@@ -75,3 +75,8 @@ def numbered(df: DataFrame, group: Sequence[str], draw: str, order: Sequence[str
     ranked = parted.withColumn("__rank", F.coalesce(F.sum(count).over(inner), F.lit(0)))
     joined = ranked.join(offsets, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named)])
     return joined.withColumn(out, (F.col("__offset") + F.col("__rank")).cast("long")).drop("__range", "__rank", "__offset", *named)
+
+
+def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast if the table has at most ``rows`` rows; a larger one is joined as Catalyst sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

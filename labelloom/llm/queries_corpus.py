@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, sharding, stages
+from . import decontaminate, mixing, quality, secret_scan, sharding, stages
 from .common import WORD, draw52_sql, sql_text, table
 
 # CRC-32 of a list of bytes; the 256 entries follow from the reflected polynomial.
@@ -86,5 +86,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measured
 """
 
-QUERIES = {"op5_sharding": op5_sharding, "op9_quality": op9_quality}
-ORACLES = {"op5_sharding": OP5_SQL, "op9_quality": OP9_SQL}
+
+
+def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def _seeds_sql(table: str, key: str) -> str:
+    parts = []
+    for mask in decontaminate.MASKS:
+        seed = " || ' ' || ".join(f"ws[i + {o}]" for o, c in enumerate(mask) if c == "1")
+        parts.append(
+            f"SELECT {key}, {sql_text(mask)} AS mask, unnest(range(0, len(ws) - {len(mask)} + 1)) AS pos,"
+            f" unnest(list_transform(range(1, len(ws) - {len(mask)} + 2), lambda i: {seed})) AS seed FROM {table}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+OP7_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), {sql_text(WORD)}) AS ws FROM documents),
+items AS (SELECT item_id, ws FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), {sql_text(WORD)}) AS ws FROM benchmark) WHERE len(ws) >= {decontaminate.WINDOW}),
+doc_seeds AS ({_seeds_sql("docs", "rid")}),
+item_seeds AS ({_seeds_sql("items", "item_id")}),
+hits AS (SELECT DISTINCT rid, item_id, d.pos - b.pos AS diagonal FROM doc_seeds d JOIN item_seeds b USING (mask, seed)),
+compared AS (
+  SELECT doc_id, hits.item_id, diagonal, len(docs.ws) AS n, len(items.ws) AS wanted,
+    list_transform(range(1, len(items.ws) + 1), lambda i: CASE WHEN i + diagonal BETWEEN 1 AND len(docs.ws) AND docs.ws[i + diagonal] = items.ws[i] THEN 1 ELSE 0 END) AS same
+  FROM hits JOIN docs USING (rid) JOIN items USING (item_id)
+),
+verified AS (
+  SELECT DISTINCT doc_id, item_id, CAST(list_sum(same) AS BIGINT) AS matched,
+    CAST(greatest(-diagonal, 0) + diagonal AS BIGINT) AS doc_start, CAST(greatest(-diagonal, 0) AS BIGINT) AS item_start,
+    CAST(least(wanted, n - diagonal) - greatest(-diagonal, 0) AS BIGINT) AS length
+  FROM compared
+  WHERE list_max(list_transform(range(1, wanted - {decontaminate.WINDOW} + 2), lambda s: list_sum(same[s:s + {decontaminate.WINDOW - 1}]))) >= {decontaminate.MATCHES}
+)
+SELECT doc_id, item_id, matched, doc_start, item_start, length FROM verified
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_start, item_start DESC, length DESC) = 1
+"""
+
+
+def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"))
+
+
+def op3_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "op3_secrets": op3_secrets,
+    "op5_sharding": op5_sharding,
+    "op7_decontamination": op7_decontamination,
+    "op9_quality": op9_quality,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {"op5_sharding": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_quality": OP9_SQL}
