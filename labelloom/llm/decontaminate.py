@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .common import checked_broadcast, words
+from .common import checked_broadcast, let, words
 
 # Fixed values: '1' is hashed, '0' ignored. Whatever two of twelve tokens are substituted, one of the masks still
 # fits somewhere in the twelve (tests go through all cases).
@@ -45,22 +45,19 @@ def _seeds(df: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     return windows.select(*keys, "pos", F.explode(F.array(*seeds)).alias("seed")).filter("seed IS NOT NULL")
 
 
-def overlaps(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item: str = "item_id",
-    item_text: str = "text",
-) -> DataFrame:
-    """``key, item, matched, doc_start, item_start, length`` for every document and benchmark item that overlap.
+def _equal(tokens: Column, hit: Column) -> Column:
+    """For each token of the item, 1 if the document has it at its place on the diagonal, else 0."""
+    return F.transform(hit["wanted"], lambda x, i: F.coalesce(F.get(tokens, i + hit["diagonal"]) == x, F.lit(False)).cast("int"))
 
-    Tokens are lower-case words. An overlap has a window of WINDOW tokens with at least MATCHES equal ones; of the
-    diagonals of a pair with such a window the one with the most equal tokens is returned, at ties the first.
-    ``matched`` counts equal tokens on the diagonal, over ``length`` tokens that both texts have there. Texts
-    with fewer than WINDOW tokens, null and empty ones never overlap. A repeated document gives its rows again; a
-    key may be null. A repeated item is reported once if its text is the same. Empty tables give no rows. Other
-    columns are not read.
+
+def _most(same: Column) -> Column:
+    """Most equal tokens of a window."""
+    starts = F.sequence(F.lit(1), F.size(same) - WINDOW + 1)
+    return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(same, s, WINDOW), F.lit(0), lambda a, x: a + x)))
+
+
+def _suspects(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """``__hit_key, __hits``: the diagonals on which a seed of a document with this key hits an item, with the item's tokens.
 
     The hashes of all windows are joined with those of the benchmark in the task that reads the text, as long as
     the benchmark has at most BROADCAST_ROWS hashes, and are shuffled beyond; only hits leave the task.
@@ -71,48 +68,64 @@ def overlaps(
         .distinct()
     )
     items = stored(items, "benchmark_tokens")
-    item_seeds = stored(_seeds(items, ["__item"], "__tokens").select("__item", F.col("pos").alias("__pos"), "seed").distinct(), "benchmark_seeds")
-
+    seeds = _seeds(items, ["__item"], "__tokens").select("__item", F.col("pos").alias("__pos"), "seed").distinct()
+    seeds = checked_broadcast(stored(seeds, "benchmark_seeds"), BROADCAST_ROWS)
     tokens = docs.select(F.col(key).alias("__key"), token_hashes(F.col(text).cast("string")).alias("__tokens"))
-    found = _seeds(tokens, ["__key"], "__tokens").join(checked_broadcast(item_seeds, BROADCAST_ROWS), "seed")
-    hits = stored(found.select("__key", "__item", (F.col("pos") - F.col("__pos")).alias("__diagonal")).distinct(), "benchmark_hits")
-
-    # a hit document and its diagonals; an item id that stands for several texts is compared with each
-    wanted = items.select(F.col("__item").alias("__wanted_item"), F.col("__tokens").alias("__wanted"))
+    found = _seeds(tokens, ["__key"], "__tokens").join(seeds, "seed")
+    hits = found.select("__key", "__item", (F.col("pos") - F.col("__pos")).alias("diagonal")).distinct()
+    # an item id that stands for several texts is compared with each
+    wanted = items.select(F.col("__item").alias("__wanted_item"), F.col("__tokens").alias("wanted"))
     by_doc = (
         hits.join(wanted, F.col("__item").eqNullSafe(F.col("__wanted_item")))
-        .select("__key", F.struct(F.col("__item").alias("item"), "__diagonal", "__wanted").alias("hit"))
+        .select("__key", F.struct(F.col("__item").alias("item"), "diagonal", "wanted").alias("hit"))
         .groupBy(F.col("__key").alias("__hit_key"))
         .agg(F.collect_list("hit").alias("__hits"))
     )
-    suspects = tokens.join(checked_broadcast(stored(by_doc, "benchmark_suspects"), BROADCAST_ROWS // 10), F.col("__key").eqNullSafe(F.col("__hit_key")))
+    return checked_broadcast(stored(by_doc, "benchmark_suspects"), BROADCAST_ROWS // 10)
 
-    def equal(hit: Column) -> Column:
-        return F.transform(hit["__wanted"], lambda x, i: F.coalesce(F.get("__tokens", i + hit["__diagonal"]) == x, F.lit(False)).cast("int"))
 
-    def best(same: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(same) - WINDOW + 1)
-        return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(same, s, WINDOW), F.lit(0), lambda a, x: a + x)))
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``key, item, matched, doc_start, item_start, length`` for every document and benchmark item that overlap.
 
-    compared = suspects.select("__key", F.explode(F.transform("__hits", lambda h: F.struct(h["item"].alias("item"), h["__diagonal"].alias("diagonal"), F.size(h["__wanted"]).alias("wanted"), F.size("__tokens").alias("n"), equal(h).alias("same")))).alias("o"))
+    Tokens are lower-case words. An overlap has a window of WINDOW tokens with at least MATCHES equal ones; of the
+    diagonals of a pair with such a window the one with the most equal tokens is returned, at ties the first.
+    ``matched`` counts equal tokens on the diagonal, over ``length`` tokens that both texts have there. Texts
+    with fewer than WINDOW tokens, null and empty ones never overlap. Rows with the same key, null included, are one
+    document's; a repeated item is reported once. Empty tables give no rows. Other columns are not read.
+    """
+    tokens = docs.select(F.col(key).alias("__key"), token_hashes(F.col(text).cast("string")).alias("__tokens"))
+    suspects = tokens.join(_suspects(docs, benchmark, key, text, item, item_text), F.col("__key").eqNullSafe(F.col("__hit_key")))
+    own = F.col("__tokens")
+    compared = suspects.select("__key", F.explode(F.transform("__hits", lambda h: F.struct(h["item"].alias("item"), h["diagonal"].alias("diagonal"), F.size(h["wanted"]).alias("wanted"), F.size(own).alias("n"), _equal(own, h).alias("same")))).alias("o"))
     total = F.aggregate("o.same", F.lit(0), lambda a, x: a + x)
     first = F.greatest(-F.col("o.diagonal"), F.lit(0))
     length = F.least(F.col("o.wanted"), F.col("o.n") - F.col("o.diagonal")) - first
-    verified = compared.filter(best(F.col("o.same")) >= MATCHES).select(
+    verified = compared.filter(_most(F.col("o.same")) >= MATCHES).select(
         "__key",
         F.col("o.item").alias("__item"),
-        total.cast("long").alias("matched"),
-        (first + F.col("o.diagonal")).cast("long").alias("doc_start"),
-        first.cast("long").alias("item_start"),
-        length.cast("long").alias("length"),
+        F.struct(
+            total.cast("long").alias("matched"),
+            (-first - F.col("o.diagonal")).cast("long").alias("minus_start"),
+            first.cast("long").alias("item_start"),
+            length.cast("long").alias("length"),
+        ).alias("o"),
     )
-    order = F.struct(F.col("matched"), -F.col("doc_start"), F.col("item_start"), F.col("length"))
-    one = verified.groupBy("__key", "__item").agg(F.max(order).alias("o"))
+    one = verified.groupBy("__key", "__item").agg(F.max("o").alias("o"))
     return one.select(
         F.col("__key").alias(key),
         F.col("__item").alias(item),
         F.col("o.matched").alias("matched"),
-        (-F.col("o.col2")).alias("doc_start"),
+        (-F.col("o.minus_start")).alias("doc_start"),
         F.col("o.item_start").alias("item_start"),
         F.col("o.length").alias("length"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose text overlaps no benchmark item, with all their columns. Every row is judged by its own text, whatever its key."""
+    suspects = _suspects(docs, benchmark, key, text, item, item_text)
+    rows = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    joined = rows.join(suspects, F.col("__key").eqNullSafe(F.col("__hit_key")), "left")
+    found = let(token_hashes(F.col("__text")), lambda t: F.exists("__hits", lambda h: _most(_equal(t, h)) >= MATCHES))
+    kept = joined.filter(~F.when(F.col("__hits").isNotNull(), found).otherwise(False))
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, quality, secret_scan, sharding, stages
+from . import decontaminate, katz, license_scan, mixing, ngram_jaccard, quality, secret_scan, sharding, stages
 from .common import WORD, draw52_sql, sql_text, table
 
 # CRC-32 of a list of bytes; the 256 entries follow from the reflected polynomial.
@@ -134,11 +134,95 @@ def op3_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, d, "documents"))
 
 
+def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_jaccard.similar(table(spark, d, "documents"))
+
+
+_N = ngram_jaccard.WORDS
+_NUM, _DEN = ngram_jaccard.THRESHOLD
+OP1_SQL = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {sql_text(WORD)}) AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {_N} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {_N} + 2), lambda i: array_to_string(ws[i:i + {_N - 1}], ' ')) END) AS s
+  FROM docs
+),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+shared AS (SELECT a.rid AS x, b.rid AS y, count(*) AS common FROM shingles a JOIN shingles b USING (s) WHERE a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.rid = x JOIN sizes b ON b.rid = y WHERE common * {_NUM + _DEN} >= {_NUM} * (a.n + b.n)),
+reached AS (SELECT rid AS x, rid AS y FROM docs UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+classes AS (SELECT x, min(doc_id) AS class_id FROM reached JOIN docs ON y = rid GROUP BY x),
+degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT doc_id, class_id, CAST(coalesce(degrees.n, 0) AS BIGINT) AS n_links
+FROM docs JOIN classes ON rid = classes.x LEFT JOIN degrees ON rid = degrees.x
+"""
+
+
+def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, d, "documents"))
+
+
+# Documents whose key's checksum leaves no remainder are held out.
+TRAINED = "crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 10 <> 0"
+
+
+def op4_katz(spark: SparkSession, d: str) -> DataFrame:
+    out = katz.score_corpus(table(spark, d, "documents"), TRAINED)
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def _discount_sql(name: str, counts: str) -> str:
+    """CTEs ``name_n`` (counts of counts) and ``name_d`` (discounted counts by count) of the column ``c`` of a table."""
+    k = katz.CUTOFF
+    return f"""
+{name}_n AS (SELECT c, CAST(count(*) AS DOUBLE) AS n FROM {counts} GROUP BY c),
+{name}_line AS (SELECT least(coalesce(CASE WHEN count(*) > 1 THEN regr_slope(ln(n), ln(c)) END, -2.0), -1.05) AS slope FROM {name}_n WHERE c <= {k + 1}),
+{name}_d AS (
+  SELECT c, CASE WHEN c <= {k} AND next / n * (c + 1) > 0 AND next / n * (c + 1) < c THEN (c + 1) * next / n ELSE c * pow(1 + 1.0::DOUBLE / c, slope + 1) END AS d
+  FROM (SELECT a.c, a.n, b.n AS next FROM {name}_n a LEFT JOIN {name}_n b ON b.c = a.c + 1), {name}_line
+)"""
+
+
+OP4_SQL = f"""
+WITH crc_table AS (SELECT {CRC32_TABLE_SQL} AS t),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} % 10 = 0 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {sql_text(WORD)}), '  ') AS ws
+  FROM documents, crc_table
+),
+tokens AS (SELECT rid, held_out, unnest(ws) AS w, unnest(list_prepend(' ', ws[1:len(ws) - 1])) AS h FROM docs),
+words AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+pairs AS (SELECT h, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w),
+{_discount_sql("word", "words")},
+{_discount_sql("pair", "pairs")},
+total AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v, coalesce(sum(d), 0) AS kept FROM words JOIN word_d USING (c)),
+shares AS (SELECT w, c, d / n AS p FROM words JOIN word_d USING (c), total),
+unknown AS (SELECT CASE WHEN n > 0 THEN 1 - kept / n ELSE 1 END AS p FROM total),
+histories AS (
+  SELECT h, sum(pairs.c) AS c, log10(1 - sum(d) / sum(pairs.c)) - log10(1 - sum(p)) AS alpha
+  FROM pairs JOIN pair_d ON pair_d.c = pairs.c JOIN shares USING (w) GROUP BY h
+),
+scored AS (
+  SELECT rid, count(*) AS n_tokens, count(shares.c) AS n_known,
+    sum(log10((coalesce(shares.c, 0) + 0.1::DOUBLE) / (total.n + 0.1::DOUBLE * (total.v + 1)))) AS base_score,
+    sum(CASE WHEN pairs.c IS NOT NULL THEN log10(d / histories.c) ELSE coalesce(alpha, 0) + log10(coalesce(shares.p, unknown.p)) END) AS score
+  FROM tokens LEFT JOIN shares USING (w) LEFT JOIN pairs ON pairs.h = tokens.h AND pairs.w = tokens.w LEFT JOIN pair_d ON pair_d.c = pairs.c
+    LEFT JOIN histories ON histories.h = tokens.h, total, unknown
+  GROUP BY rid
+)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
+FROM docs JOIN scored USING (rid), total
+"""
+
+
 QUERIES = {
+    "op4_katz": op4_katz,
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_licenses": op2_licenses,
     "op3_secrets": op3_secrets,
     "op5_sharding": op5_sharding,
     "op7_decontamination": op7_decontamination,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
-ORACLES = {"op5_sharding": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_quality": OP9_SQL}
+ORACLES = {"op1_ngram_jaccard": OP1_SQL, "op4_katz": OP4_SQL, "op5_sharding": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_quality": OP9_SQL}
