@@ -9,10 +9,13 @@ from labelloom.session import stored
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
+    ("ngram_jaccard_join", stages.ngram_jaccard_join),
+    ("benchmark_decontamination", stages.benchmark_decontamination),
+    ("mixing", stages.mix),
     ("sharding", stages.shards),
 ]
 
-# Tests hold the run against a brute-force version.
+# The knapsack of the mixing stage has no SQL form; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
