@@ -4,8 +4,8 @@ Equal sets are one node. A set is embedded as COORDINATES minimum tokens: coordi
 the chance of their similarity. From the root a run chooses BRANCH coordinates, and a set goes into one bucket for
 each, named by its token there. A bucket with at most LEAF sets is compared by brute force; a larger one chooses
 coordinates again and splits, so that unlike sets part while like ones meet in some bucket. Sets that resemble the
-first of their bucket are linked to it at once, and a bucket of such sets is done: a group of copies of any size
-costs a comparison per member and bucket. Runs are repeated until a pair at the threshold is missed with a chance
+first of their bucket are linked to it at once, and a bucket whose sets are connected by then is done: a group of
+copies of any size costs a comparison per member and bucket. Runs are repeated until a pair at the threshold is missed with a chance
 below ``1 - recall``.
 
 Buckets are compared on the embeddings, with slack. That gives candidate components, in which the sets themselves
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed, stored
+from .common import checked_broadcast
 from .wordhash import chunks, mixed, word_hashes
 
 WORDS = 5
@@ -29,12 +30,15 @@ THRESHOLD = (4, 5)  # similarity as a fraction
 RECALL = 0.999999
 BRANCH = 2
 COORDINATES = 64
-LEAF = 32
-DEPTH = 4
+LEAF = 128
+BUCKET_SETS = 2048  # members of a larger bucket that is not split further
+DEPTH = 6
 # Agreeing coordinates that make a candidate: a pair at the threshold has fewer with a chance of 1e-8.
 AGREE = 32
 # Sets and shingles of a block, about; a larger component is compared in pairs of blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
+# Candidate sets, or kept keys, up to which a table of a few numbers each is sent to the tasks that read the texts.
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240501)
 _SALTS = _rng.integers(1, 1 << 63, size=4096, dtype=np.uint64) | np.uint64(1)
@@ -200,33 +204,65 @@ def _members(pairs: DataFrame, bucket: list[str], sets: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Links ``a, b`` between nodes, as many as the nodes of a bucket at most, that span the candidate components."""
+    """``node, root``: the candidate components of all nodes that resemble another.
+
+    A level compares the small buckets and links the members of large ones to their first. A large bucket whose
+    members are in one component by then is done; another is compared if it has at most BUCKET_SETS members, else it splits. Only components are asked for, so nothing is
+    lost by leaving out pairs that are connected already.
+    """
     rows = sets.select("node", F.explode("paths").alias("path"))
-    links = []
+    roots = None
     for depth in range(1, DEPTH + 1):
         info = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor("node").alias("check")).filter("n > 1")
         held = stored(rows.join(info, "path"), "paths")
         # buckets with the same members need one comparison
         small = held.filter(F.col("n") <= LEAF).select(F.xxhash64("n", "first", "check").alias("bucket"), "node").distinct()
-        links.append(_compare(_members(small, ["bucket"], sets)))
+        links = [_compare(_members(small, ["bucket"], sets))]
         large = held.filter(F.col("n") > LEAF)
         firsts = sets.select(F.col("node").alias("first"), F.col("size").alias("first_size"), F.col("sketch").alias("first_sketch"))
         stars = stored(_stars(large.select("path", "node", "first").join(sets.select("node", "size", "sketch"), "node").join(firsts, "first")), "stars")
-        links.append(stars.filter("covered AND node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
-        unfinished = stars.groupBy("path").agg(F.bool_and("covered").alias("done"), F.count("*").alias("n")).filter("NOT done")
+        links += _spanning(stars.filter("covered"))
+        roots = _connected(links, roots)
+        named = stars.join(roots, "node", "left").select("path", F.coalesce("root", "node").alias("root"))
+        spread = named.groupBy("path").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
+        unfinished = stored(spread.filter("least <> most").select("path", "n"), "unfinished")
         if unfinished.isEmpty():
-            return _union(links)
-        if depth == DEPTH:
-            # what the depth did not part is compared in blocks, all pairs of them
-            blocks = F.ceil(F.col("n") / F.lit(BLOCK_SETS)).cast("int")
-            rest = stars.join(unfinished, "path").select("path", "node", blocks.alias("blocks"))
-            block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-            paired = rest.select("path", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            pairs = paired.select("path", "node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-            links.append(_compare(_members(pairs, ["path", "x", "y"], sets)))
-        else:
-            rows = stars.join(unfinished.select("path"), "path").select("node", F.explode("below").alias("path"))
-    return _union(links)
+            break
+        # what one task can compare at once is not split further
+        middle = held.join(unfinished.filter(F.col("n") <= BUCKET_SETS).select("path"), "path")
+        middle = middle.select(F.xxhash64("n", "first", "check").alias("bucket"), "node").distinct()
+        roots = _connected([_compare(_members(middle, ["bucket"], sets))], roots)
+        wide = stars.join(unfinished.filter(F.col("n") > BUCKET_SETS), "path")
+        if wide.isEmpty():
+            break
+        if depth < DEPTH:
+            rows = wide.select("node", F.explode("below").alias("path"))
+            continue
+        # what the depth did not part is compared in blocks, all pairs of them
+        blocks = F.ceil(F.col("n") / F.lit(BUCKET_SETS // 2)).cast("int")
+        rest = wide.select("path", "node", blocks.alias("blocks"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        paired = rest.select("path", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        pairs = paired.select("path", "node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+        roots = _connected([_compare(_members(pairs, ["path", "x", "y"], sets))], roots)
+    return roots
+
+
+def _connected(links: list[DataFrame], roots: DataFrame | None) -> DataFrame:
+    """Components of links and of what was connected before."""
+    if roots is not None:
+        links = [*links, roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))]
+    return components(_union(links))
+
+
+def _spanning(stars: DataFrame) -> list[DataFrame]:
+    """Links that join the same nodes as all ``node, first`` do: each node with its smallest first one, which is linked to its other first ones.
+
+    Members of a large group are covered in every bucket they share; so they have a link each instead of one per bucket.
+    """
+    near = stars.groupBy("node").agg(F.min("first").alias("least"), F.collect_set("first").alias("firsts"))
+    firsts = near.select(F.explode("firsts").alias("a"), F.col("least").alias("b")).distinct()
+    return [near.select(F.col("node").alias("a"), F.col("least").alias("b")).filter("a <> b"), firsts.filter("a <> b")]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -239,20 +275,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of all nodes of the links ``a, b``: the smallest node of each component.
 
-    Every round takes the smallest root among the neighbours and then the root of that root, so the roots meet in a
-    number of rounds that grows with the logarithm of a chain's length. A round is cut off by a reliable checkpoint.
+    In a round every node points to its smallest neighbour and then to that one's, and links are drawn anew between
+    what their ends point to; those inside one node vanish. Every component that has a link left loses at least half of
+    its nodes in a round. Rounds are cut off by reliable checkpoints.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    roots = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
-    while True:
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        above = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = checkpointed(lower.join(above, "root").select("node", F.least("root", "above").alias("root"), "old"))
-        roots = new.select("node", "root")
-        if new.filter("root <> old").isEmpty():
-            return roots
+    links = checkpointed(links.select("a", "b").distinct())
+    roots = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("root"))
+    while not links.isEmpty():
+        ends = links.union(links.select("b", "a"))
+        near = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("near"))
+        near = checkpointed(near)
+        second = near.select(F.col("node").alias("near"), F.col("near").alias("to"))
+        jump = checkpointed(near.join(second, "near").select("node", "to"))
+        roots = roots.join(jump.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = checkpointed(roots)
+        left = links.join(jump.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        links = checkpointed(left.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return roots
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -340,14 +379,15 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", recall: floa
     docs = stored(_embed(df, key, text, runs_for(recall)), "shingle_embeddings")
     grouped = docs.filter("node IS NOT NULL").groupBy("node", "low")
     sets = stored(grouped.agg(F.min("__key").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "shingle_sets")
-    roots = components(stored(candidates(sets), "candidate_links"))
+    roots = candidates(sets)
 
     known = sets.select("node", "rep", "copies", "size").join(roots, "node")
     weight = known.groupBy(F.col("root").alias("comp")).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     placed = known.join(weight, F.col("root") == F.col("comp")).select("rep", "node", "comp", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"))
     placed = stored(placed, "candidate_sets")
     texts = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text"))
-    full = placed.join(texts, F.col("rep").eqNullSafe(F.col("__key")))
+    # few texts are candidates: the table of their keys goes to the texts while it is small, else the texts move
+    full = texts.join(checked_broadcast(placed, BROADCAST_ROWS), F.col("rep").eqNullSafe(F.col("__key")))
     spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "copies", "text", "side")
     compared = stored(_exact(spread.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y", "node")), "exact_links")
@@ -375,10 +415,13 @@ def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row of each class, with all its columns: the row of the smallest key.
 
     Rows that repeat a kept key give one row. A row without a key cannot be named as the one to keep or to drop, so
-    it stays. The join and the choice of one row per key share their shuffle.
+    it stays. Only rows with a repeated key are grouped.
     """
-    marks = similar(df, key, text).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("__kept")).distinct()
+    kept = similar(df, key, text).filter(F.col(key) == F.col("class_id"))
+    marks = stored(kept.groupBy(F.col(key).alias("__kept")).agg(F.count("*").alias("__rows")), "kept_keys")
     rows = df.select(F.struct("*").alias("__row"), F.col(key).alias("__key"))
-    kept = rows.filter("__key IS NOT NULL").join(marks, F.col("__key") == F.col("__kept")).groupBy("__key").agg(F.first("__row").alias("__row"))
-    out = kept.select("__row").union(rows.filter("__key IS NULL").select("__row"))
+    joined = rows.join(checked_broadcast(marks, BROADCAST_ROWS), F.col("__key") == F.col("__kept"))
+    out = joined.filter("__rows = 1").select("__row").union(rows.filter("__key IS NULL").select("__row"))
+    if not marks.filter("__rows > 1").isEmpty():
+        out = out.union(joined.filter("__rows > 1").groupBy("__key").agg(F.first("__row").alias("__row")).select("__row"))
     return out.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
