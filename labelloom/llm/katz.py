@@ -34,8 +34,8 @@ WORD_BITS = 48
 
 HOT = 1 / 512
 CUTOFF = 5  # counts up to this have Turing's estimate where it is sound, the others the fitted line
-BUCKET_TOKENS = 2_000_000
-GROUP_TOKENS = 1_500_000  # of the texts that a task packs at once
+BUCKET_TOKENS = 1_200_000
+GROUP_TOKENS = 800_000  # of the texts that a task packs at once
 
 
 def pack(*columns: np.ndarray) -> bytes:
