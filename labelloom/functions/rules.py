@@ -22,7 +22,6 @@ MARKUP = (
 TAG_RULE = MARKUP[1]
 
 # Patterns deleted from every lower-case word, by kind.
-_TLD = r"\.[äöüßa-zA-Z0-9()]"
 URL = (
     # a top-level domain must end at a word boundary: before a non-word character, the end, or after a bracket
     r"^https?://(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.(?:"
@@ -120,4 +119,3 @@ JOURNAL_TOPICS = ("auto", "car", "mobilitaet", "mobilität", "mobility", "motor"
 
 # Markers of a page that could not be read.
 BLOCKED_MARKERS = ("javascript", "java script", "denied")
-BLOCKED_MARKERS_CENTROID = ("javascript", "java script", "Access denied")

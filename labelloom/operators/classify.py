@@ -20,7 +20,7 @@ def feature_stages(text: str, lang: str = "en", n_features: int = 1 << 14) -> li
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=f"[{WORD}]+", gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stopwords_for(lang))),
         HashingTF(inputCol="_kept", outputCol="_tf", numFeatures=n_features),
-        IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2),
+        IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="features"),
     ]
 

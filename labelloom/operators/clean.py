@@ -11,6 +11,10 @@ from ..functions.text import let, unnest, unnest_with_position
 # The same rule with a possessive run of plain characters: Java would otherwise
 # recurse once per character and overflow its stack on a long text without ">".
 _JAVA_TAG = R.TAG_RULE.replace("[^'\">])", "[^'\">]++)")
+# Java also recurses once per quoted run. Beyond SAFE_QUOTES quotes in a segment the loop is possessive, which needs no
+# stack; there a tag that ends only if a quote is read as the begin of another run stays.
+_LONG_TAG = r"""<(?:"[^"]*+"['"]*+|'[^']*+'['"]*+|[^'">]++)++>"""
+SAFE_QUOTES = 200
 _SHORT_SEGMENT = portable(R.SHORT[0])
 
 
@@ -36,7 +40,9 @@ def _delete_markup(segment: Column, extra) -> Column:
     before, after = R.MARKUP[:1], R.MARKUP[2:]
     text = _delete(segment, tuple(extra) + before)
     # deleting characters cannot create a bracket pair, so the test may look at the raw segment
-    text = F.when(segment.rlike("(?s)<.*>"), F.regexp_replace(text, _JAVA_TAG, "")).otherwise(text)
+    quotes = F.char_length(segment) - F.char_length(F.translate(segment, "\"'", ""))
+    tags = F.when(quotes <= SAFE_QUOTES, F.regexp_replace(text, _JAVA_TAG, "")).otherwise(F.regexp_replace(text, _LONG_TAG, ""))
+    text = F.when(segment.rlike("(?s)<.*>"), tags).otherwise(text)
     return _delete(text, after)
 
 

@@ -11,6 +11,7 @@ hundred parameters come back to the driver.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -51,9 +52,9 @@ def sources_of(names: Sequence[str]) -> tuple[Source, ...]:
     Other functions are taken to vote for any class.
     """
     out = []
-    clusters = tuple(n for n in names if n.startswith("cluster_"))
+    clusters = tuple(n for n in names if re.fullmatch(r"cluster_[0-9]+", n))
     for n in names:
-        if n.startswith("keyword_"):
+        if re.fullmatch(r"keyword_[0-9]+", n):
             out.append(Source(n, (n,), (int(n.split("_")[1]),)))
         elif n not in clusters:
             out.append(Source(n, (n,), tuple(range(CARDINALITY))))
@@ -147,7 +148,7 @@ def _outcome_sums(patterns: DataFrame, sources: Sequence[Source], weights: Seque
     """Weighted counts per (source, outcome): at most eight rows per source, as a vote is -1 or a class id."""
     pairs = F.array(*[F.struct(F.lit(s.name).alias("source"), F.col(s.name).alias("outcome")) for s in sources])
     named = [w.alias(f"w{i}") for i, w in enumerate(weights)]
-    long = patterns.select(F.inline(pairs), *named).filter(F.col("outcome").between(ABSTAIN, CARDINALITY - 1))
+    long = patterns.select(F.inline(pairs), *named)
     sums = long.groupBy("source", "outcome").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(weights))])
     return sums.collect()
 

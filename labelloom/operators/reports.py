@@ -14,19 +14,24 @@ SEARCH_TITLES = {"BayesSearch": "Bayesian Optimization", "RandomSearch": "Random
 LOG_LINE = r"^(?:[A-Z]+:[A-Za-z]+:)?\[([0-9\-]+ [0-9:]+(?:[.,][0-9]+)?)\]([A-Z]+)\|([^|]*)\|(.*)$"
 
 
+def _falling(score: str) -> list[Column]:
+    """Order from the highest score down, null last."""
+    return [F.col(score).isNull(), -F.col(score)]
+
+
 def best_per_search(results: DataFrame, kind: str, scores: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """Best row per search type, by the scores in order."""
-    return first_per_key(results, [kind], [-F.col(s) for s in scores] + [F.col(t) for t in tie])
+    """Best row per search type, by the scores in order; a row without a score comes after all that have one."""
+    return first_per_key(results, [kind], [c for s in scores for c in _falling(s)] + [F.col(t) for t in tie])
 
 
 def best_per_fold(results: DataFrame, k: str, trial: str, score: str, tie: Sequence[str]) -> DataFrame:
     """Best row per number of folds, the first trial first."""
-    return first_per_key(results, [k], [F.col(trial), -F.col(score)] + [F.col(t) for t in tie])
+    return first_per_key(results, [k], [F.col(trial), *_falling(score)] + [F.col(t) for t in tie])
 
 
 def coverage_best(coverage: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     """One row per labelling function from the newest trial, and its display name."""
-    order = [-F.col("TRIAL"), -F.col("k_fold"), -F.col("k_fold_split"), F.col("Overlaps"), F.col("Conflicts"), -F.col("Coverage")]
+    order = [-F.col("TRIAL"), -F.col("k_fold"), -F.col("k_fold_split"), F.col("Overlaps"), F.col("Conflicts"), *_falling("Coverage")]
     best = first_per_key(coverage, ["LF"], order + [F.col(t) for t in tie])
     name = F.concat_ws("_", rename_classes(F.col("Polarity")), F.split_part(F.col("LF"), F.lit("_"), F.lit(1)))
     return best.withColumn("name", name)

@@ -62,7 +62,7 @@ def class_topic_terms(df: DataFrame, classes: Column, tokens: str, out: str, k:
     return ranked.filter(F.length("term") >= min_length).select(out, "rank", "term")
 
 
-def fit_topic_model(df: DataFrame, tokens: str, k: int = 2, vocabulary: int = 1 << 14, seed: int = 42, max_iter: int = 10) -> PipelineModel:
+def fit_topic_model(df: DataFrame, tokens: str, k: int = 2, vocabulary: int = (1 << 31) - 1, seed: int = 42, max_iter: int = 10) -> PipelineModel:
     """Corpus-level LDA on term counts with the online optimiser.
 
     Every iteration samples the corpus, so the count vectors are written once
@@ -166,7 +166,3 @@ def coherence_pairwise(df: DataFrame, topic: str, vector: str) -> DataFrame:
     square = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
     n = F.col("n_terms")
     return sums.filter(n > 1).select(topic, "n_terms", ((square - n) / (n * (n - 1))).alias("coherence"))
-
-
-def mean_coherence(per_topic: DataFrame, column: str = "coherence") -> DataFrame:
-    return per_topic.agg(F.avg(column).alias(column))

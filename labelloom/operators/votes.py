@@ -71,8 +71,17 @@ class LFRegistry:
 
 
 def apply_lfs(df: DataFrame, registry: LFRegistry, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns and one int vote per labelling function, in a single projection."""
-    return df.select(*keep, *[f.vote().cast("int").alias(f.name) for f in registry.functions])
+    """``keep`` columns and one int vote per labelling function, in a single projection.
+
+    A vote is -1 or a class id; any other, null included, fails the job here rather than bias the model later.
+    """
+
+    def checked(f) -> Column:
+        vote = f.vote().cast("int")
+        wrong = F.concat(F.lit(f"vote of {f.name} is no class: "), F.coalesce(vote.cast("string"), F.lit("null")))
+        return F.when(vote.between(ABSTAIN, CARDINALITY - 1), vote).otherwise(F.raise_error(wrong).cast("int"))
+
+    return df.select(*keep, *[checked(f).alias(f.name) for f in registry.functions])
 
 
 def vote_patterns(votes: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -99,7 +99,7 @@ def train_and_test(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def clf_features(spark, d):
-    feats = C.clf_features(documents(spark, d).select("doc_id", "text"), "text", n_features=1 << 12)
+    feats = C.clf_features(documents(spark, d).select("doc_id", "text"), "text")
     values = vector_to_array("features")
     return feats.select(
         "doc_id",
@@ -110,7 +110,7 @@ def clf_features(spark, d):
 
 def clf_train(spark, d):
     """Coefficients of the trained classifier: one row per class."""
-    model = C.clf_train(train_and_test(spark, d)[0], "text", "label", n_features=1 << 12)
+    model = C.clf_train(train_and_test(spark, d)[0], "text", "label")
     lr = model.stages[-1]
     rows = [(i, float(b), float(abs(lr.coefficientMatrix.toArray()[i]).sum())) for i, b in enumerate(lr.interceptVector)]
     return spark.createDataFrame(rows, "label int, intercept double, weight double")
@@ -118,23 +118,23 @@ def clf_train(spark, d):
 
 def clf_validate(spark, d):
     train, test = train_and_test(spark, d)
-    return C.clf_evaluate(C.clf_train(train, "text", "label", n_features=1 << 12), test, "label")
+    return C.clf_evaluate(C.clf_train(train, "text", "label"), test, "label")
 
 
 def clf_evaluate(spark, d):
     """The classifier against the annotated documents."""
-    model = C.clf_train(train_and_test(spark, d)[0], "text", "label", n_features=1 << 12)
+    model = C.clf_train(train_and_test(spark, d)[0], "text", "label")
     return C.clf_evaluate(model, documents(spark, d).join(annotated(spark, d), "doc_id"), "LABEL")
 
 
 def clf_predict(spark, d):
-    model = C.clf_train(train_and_test(spark, d)[0], "text", "label", n_features=1 << 12)
+    model = C.clf_train(train_and_test(spark, d)[0], "text", "label")
     return C.clf_predict(model, documents(spark, d).select("doc_id", "text")).select("doc_id", "pred", "class_name")
 
 
 def model_save_load(spark, d):
     """Predictions of a stored and reloaded model next to those of the model itself."""
-    model = C.clf_train(train_and_test(spark, d)[0], "text", "label", n_features=1 << 12)
+    model = C.clf_train(train_and_test(spark, d)[0], "text", "label")
     path = scratch_path(spark, "model")
     C.save_model(model, path)
     docs = documents(spark, d).select("doc_id", "text")

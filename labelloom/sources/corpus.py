@@ -58,15 +58,40 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = No
     raise ValueError(f"unknown corpus format {suffix!r}: use parquet, csv, json or feather")
 
 
+_BROKEN = "_corrupt_record"
+
+
+def _item_feeds(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``item`` of every item of the feeds, and in ``record`` what could not be read as one."""
+    full = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+    options = {"columnNameOfCorruptRecord": _BROKEN}
+    lines = spark.read.text(path)
+    begins = lines.filter(F.ltrim("value").startswith("[")).select(F.input_file_name().alias("f")).distinct()
+    arrays = {r["f"] for r in begins.collect()}  # names of files, which the driver lists anyway
+    others = [f for f in lines.inputFiles() if f not in arrays]
+    parts = []
+    if others:
+        given = spark.read.text(others).filter(F.trim("value") != "")
+        parts.append(given.select(F.from_json("value", full, options).alias("item")).select("item", F.col(f"item.{_BROKEN}").alias("record")))
+    if arrays:
+        # items of an array may stand on one line or on many: such a file is read as a whole
+        given = spark.read.text(sorted(arrays), wholetext=True)
+        items = given.select("value", F.from_json("value", T.ArrayType(full), options).alias("items"))
+        parts.append(items.select(F.explode_outer("items").alias("item"), F.when(F.col("items").isNull(), F.col("value")).alias("record")).filter("item IS NOT NULL OR record IS NOT NULL"))
+    return union_rows(*parts) if len(parts) > 1 else parts[0] if parts else spark.createDataFrame([], T.StructType([T.StructField("item", full), T.StructField("record", T.StringType())]))
+
+
 def read_items_json(spark: SparkSession, path: str, schema: T.StructType = RAW_TEXTS) -> DataFrame:
-    """Crawl items from a feed with one item per line, as JSON lines or as an array.
+    """Crawl items from feeds of JSON lines, one item each, or of JSON arrays, on any lines.
 
-    Reading lines keeps a large feed splittable; brackets and trailing commas
-    of the array form are dropped, unreadable items too.
+    JSON lines stay splittable. What is no item is left out here and reported by ``broken_items``.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"))
-    item = F.from_json(F.regexp_replace("line", r"^\[|,$|\]$", ""), schema)
-    return lines.filter(F.col("line").contains("{")).select(item.alias("i")).filter(F.col("i").isNotNull()).select("i.*")
+    return _item_feeds(spark, path, schema).filter("record IS NULL").select(*[F.col("item").getField(n).alias(n) for n in schema.names])
+
+
+def broken_items(spark: SparkSession, path: str, schema: T.StructType = RAW_TEXTS) -> DataFrame:
+    """``record``: the lines or files that ``read_items_json`` leaves out."""
+    return _item_feeds(spark, path, schema).filter("record IS NOT NULL").select("record")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -83,10 +108,11 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.parquet(staged.toString())
     existed = files.exists(target)
-    if existed:
-        files.rename(target, old)
+    if existed and not files.rename(target, old):
+        raise OSError(f"could not move the table at {path} away; the new one is at {staged}")
     if not files.rename(staged, target):
-        raise OSError(f"could not move the staged table to {path}")
+        back = not existed or files.rename(old, target)
+        raise OSError(f"could not move the staged table to {path}; the old one is {'in place' if back else f'at {old}'}")
     if existed:
         files.delete(old, True)
 

@@ -112,3 +112,39 @@ def test_repeated_batch_overwrites_itself(spark, tmp_path):
         # a lost checkpoint repeats batch 0
         I.run_incremental(I.read_arriving(spark, arriving, df.schema), target, str(tmp_path / attempt), "url", "o", process, SCHEMA)
     assert I.read_target(spark, target, SCHEMA).count() == 2
+
+
+def test_item_feeds_of_any_shape(spark, tmp_path):
+    item = {"CLASS": "A", "KEYWORD": "k", "DOMAIN": "d", "URL": "u", "URL_TEXT": "t"}
+    one, two = item | {"URL": "u1"}, item | {"URL": "u2"}
+    (tmp_path / "line.json").write_text(json.dumps([one, two]))
+    (tmp_path / "wide.json").write_text(json.dumps([one, two], indent=2))
+    (tmp_path / "broken.json").write_text(json.dumps(one) + '\n{"CLASS": \n' + json.dumps(two) + "\n")
+    for name in ("line.json", "wide.json", "broken.json"):
+        assert sorted(r["URL"] for r in C.read_items_json(spark, str(tmp_path / name)).collect()) == ["u1", "u2"]
+    assert C.read_items_json(spark, str(tmp_path)).count() == 6
+    assert [r["record"] for r in C.broken_items(spark, str(tmp_path)).collect()] == ['{"CLASS": ']
+
+
+def test_scores_without_a_value_come_last(spark):
+    from labelloom.operators import reports
+
+    df = spark.createDataFrame([("a", None, 1.0, 1), ("a", 0.9, 0.1, 2), ("b", None, None, 3)], "Type string, accuracy double, MCC double, id int")
+    got = reports.best_per_search(df, "Type", ["accuracy", "MCC"], ["id"]).collect()
+    assert {r["Type"]: r["id"] for r in got} == {"a": 2, "b": 3}
+
+
+def test_many_quotes_in_markup(spark):
+    from labelloom.operators.clean import strip_markup
+
+    texts = ["<" + '"a"b' * 100_000 + "> kept text here", "<" + "'a'" * 100_000 + " kept text", "<" + '"a""' * 50_000 + "b> kept text here"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(strip_markup(F.col("t"))).collect()]
+    assert got[0].strip() == "kept text here" and "kept text" in got[1]
+
+
+def test_votes_outside_the_classes_fail(spark):
+    from labelloom.operators import votes
+
+    registry = votes.LFRegistry.standard({0: ["x"]}, "t")
+    df = spark.createDataFrame([("x",), (None,)], "t string")
+    assert votes.apply_lfs(df, registry, []).count() == 2
