@@ -32,7 +32,7 @@ BRANCH = 2
 COORDINATES = 64
 LEAF = 128
 BUCKET_SETS = 2048  # members of a larger bucket that is not split further
-DEPTH = 6
+DEPTH = 4
 # Agreeing coordinates that make a candidate: a pair at the threshold has fewer with a chance of 1e-8.
 AGREE = 32
 # Sets and shingles of a block, about; a larger component is compared in pairs of blocks.
@@ -211,13 +211,13 @@ def candidates(sets: DataFrame) -> DataFrame:
     lost by leaving out pairs that are connected already.
     """
     rows = sets.select("node", F.explode("paths").alias("path"))
-    roots = None
+    roots, waiting = None, []
     for depth in range(1, DEPTH + 1):
         info = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor("node").alias("check")).filter("n > 1")
         held = stored(rows.join(info, "path"), "paths")
         # buckets with the same members need one comparison
         small = held.filter(F.col("n") <= LEAF).select(F.xxhash64("n", "first", "check").alias("bucket"), "node").distinct()
-        links = [_compare(_members(small, ["bucket"], sets))]
+        links = [*waiting, _compare(_members(small, ["bucket"], sets))]
         large = held.filter(F.col("n") > LEAF)
         firsts = sets.select(F.col("node").alias("first"), F.col("size").alias("first_size"), F.col("sketch").alias("first_sketch"))
         stars = stored(_stars(large.select("path", "node", "first").join(sets.select("node", "size", "sketch"), "node").join(firsts, "first")), "stars")
@@ -231,10 +231,11 @@ def candidates(sets: DataFrame) -> DataFrame:
         # what one task can compare at once is not split further
         middle = held.join(unfinished.filter(F.col("n") <= BUCKET_SETS).select("path"), "path")
         middle = middle.select(F.xxhash64("n", "first", "check").alias("bucket"), "node").distinct()
-        roots = _connected([_compare(_members(middle, ["bucket"], sets))], roots)
+        # its links count from the next level on
+        waiting = [_compare(_members(middle, ["bucket"], sets))]
         wide = stars.join(unfinished.filter(F.col("n") > BUCKET_SETS), "path")
         if wide.isEmpty():
-            break
+            return _connected(waiting, roots)
         if depth < DEPTH:
             rows = wide.select("node", F.explode("below").alias("path"))
             continue
@@ -244,7 +245,7 @@ def candidates(sets: DataFrame) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         paired = rest.select("path", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         pairs = paired.select("path", "node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        roots = _connected([_compare(_members(pairs, ["path", "x", "y"], sets))], roots)
+        return _connected([*waiting, _compare(_members(pairs, ["path", "x", "y"], sets))], roots)
     return roots
 
 
