@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpointed, stored
+from ..session import stored
 from .common import checked_broadcast
 from .wordhash import chunks, mixed, word_hashes
 
@@ -197,10 +197,10 @@ def _stars(large: DataFrame) -> DataFrame:
     return large.mapInArrow(rows, "path long, node long, first long, covered boolean, below array<long>")
 
 
-def _members(pairs: DataFrame, bucket: list[str], sets: DataFrame) -> DataFrame:
-    """``members`` arrays of buckets of bounded size."""
+def _members(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` arrays of the buckets of ``bucket, node``, which are of bounded size."""
     rows = pairs.join(sets.select("node", "size", "sketch"), "node")
-    return rows.groupBy(*bucket).agg(F.collect_list(F.struct("node", "size", "sketch")).alias("members"))
+    return rows.groupBy("bucket").agg(F.collect_list(F.struct("node", "size", "sketch")).alias("members"))
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -211,13 +211,14 @@ def candidates(sets: DataFrame) -> DataFrame:
     lost by leaving out pairs that are connected already.
     """
     rows = sets.select("node", F.explode("paths").alias("path"))
-    roots, waiting = None, []
+    roots, waiting = None, None
     for depth in range(1, DEPTH + 1):
         info = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor("node").alias("check")).filter("n > 1")
         held = stored(rows.join(info, "path"), "paths")
         # buckets with the same members need one comparison
         small = held.filter(F.col("n") <= LEAF).select(F.xxhash64("n", "first", "check").alias("bucket"), "node").distinct()
-        links = [*waiting, _compare(_members(small, ["bucket"], sets))]
+        # the buckets left over from the level above are compared in the same pass
+        links = [_compare(_members(small if waiting is None else small.union(waiting), sets))]
         large = held.filter(F.col("n") > LEAF)
         firsts = sets.select(F.col("node").alias("first"), F.col("size").alias("first_size"), F.col("sketch").alias("first_sketch"))
         stars = stored(_stars(large.select("path", "node", "first").join(sets.select("node", "size", "sketch"), "node").join(firsts, "first")), "stars")
@@ -230,12 +231,11 @@ def candidates(sets: DataFrame) -> DataFrame:
             break
         # what one task can compare at once is not split further
         middle = held.join(unfinished.filter(F.col("n") <= BUCKET_SETS).select("path"), "path")
-        middle = middle.select(F.xxhash64("n", "first", "check").alias("bucket"), "node").distinct()
         # its links count from the next level on
-        waiting = [_compare(_members(middle, ["bucket"], sets))]
+        waiting = middle.select(F.xxhash64("n", "first", "check").alias("bucket"), "node").distinct()
         wide = stars.join(unfinished.filter(F.col("n") > BUCKET_SETS), "path")
         if wide.isEmpty():
-            return _connected(waiting, roots)
+            return _connected([_compare(_members(waiting, sets))], roots)
         if depth < DEPTH:
             rows = wide.select("node", F.explode("below").alias("path"))
             continue
@@ -244,16 +244,23 @@ def candidates(sets: DataFrame) -> DataFrame:
         rest = wide.select("path", "node", blocks.alias("blocks"))
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         paired = rest.select("path", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        pairs = paired.select("path", "node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        return _connected([*waiting, _compare(_members(pairs, ["path", "x", "y"], sets))], roots)
+        pairs = paired.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "node")
+        return _connected([_compare(_members(waiting.union(pairs), sets))], roots)
     return roots
 
 
 def _connected(links: list[DataFrame], roots: DataFrame | None) -> DataFrame:
-    """Components of links and of what was connected before."""
-    if roots is not None:
-        links = [*links, roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))]
-    return components(_union(links))
+    """Components of links and of what was connected before; only links between those components are followed."""
+    links = _union(links)
+    if roots is None:
+        return components(links)
+    at, to = (roots.select(F.col("node").alias(end), F.col("root").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    between = links.distinct().join(at, "a", "left").join(to, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    met = components(between)
+    if met.isEmpty():
+        return roots
+    before = roots.join(met.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(before.union(met.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
 def _spanning(stars: DataFrame) -> list[DataFrame]:
@@ -278,21 +285,27 @@ def components(links: DataFrame) -> DataFrame:
 
     In a round every node points to its smallest neighbour and then to that one's, and links are drawn anew between
     what their ends point to; those inside one node vanish. Every component that has a link left loses at least half of
-    its nodes in a round. Rounds are cut off by reliable checkpoints.
+    its nodes in a round. The tables of a round are written to the shared folder; where a node points to in the end is
+    looked up once, along all rounds.
     """
-    links = checkpointed(links.select("a", "b").distinct())
-    roots = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("root"))
+    links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    jumps = []
     while not links.isEmpty():
         ends = links.union(links.select("b", "a"))
-        near = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("near"))
-        near = checkpointed(near)
+        near = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        near = stored(near.select("node", F.least("node", "near").alias("near")), "near")
         second = near.select(F.col("node").alias("near"), F.col("near").alias("to"))
-        jump = checkpointed(near.join(second, "near").select("node", "to"))
-        roots = roots.join(jump.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = checkpointed(roots)
+        jump = stored(near.join(second, "near").select("node", "to"), "jump")
+        jumps.append(jump)
         left = links.join(jump.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        links = checkpointed(left.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    return roots
+        left = left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        links = stored(left.distinct(), "links")
+    if not jumps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = jumps[0].select("node", F.col("to").alias("root"))
+    for jump in jumps[1:]:
+        roots = roots.join(jump.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(roots, "roots") if len(jumps) > 1 else roots
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
