@@ -31,7 +31,7 @@ RECALL = 0.999999
 BRANCH = 2
 COORDINATES = 64
 LEAF = 128
-BUCKET_SETS = 2048  # members of a larger bucket that is not split further
+BUCKET_SETS = 4096  # members of a larger bucket that is not split further; its pairs take a task a second or two
 DEPTH = 4
 # Agreeing coordinates that make a candidate: a pair at the threshold has fewer with a chance of 1e-8.
 AGREE = 32
