@@ -406,12 +406,18 @@ def _backoff(ngrams: DataFrame, model: Model, buckets: int) -> DataFrame:
                 pair, word = hot.counted(p)
                 seen = (pair > 0) & ~hot.both(p)
                 out = []
-                for b, (h, *sums) in split(*_history_sums(p.h[seen], model.share(word[seen]), model.pairs(pair[seen]), pair[seen])):
+                # a history with one pair here sends its counts, which pack better than sums; so it sends one entry per bucket at most
+                _, at, pairs_here = np.unique(np.where(seen, p.h, np.uint64(0)), return_inverse=True, return_counts=True)
+                one, several = seen & (pairs_here[at] == 1), seen & (pairs_here[at] > 1)
+                for b, (h, *sums) in split(*_history_sums(p.h[several], model.share(word[several]), model.pairs(pair[several]), pair[several])):
                     out.append((b, 0, pack(np.diff(h, prepend=np.uint64(0)), *sums)))
+                for b, (h, *counts) in split(p.h[one], word[one], pair[one]):
+                    out.append((b, 3, pack(np.diff(h, prepend=np.uint64(0)), *counts)))
                 of = p.type_of_entry()
                 asked = ~p.train & (pair == 0)[of] & ~_isin(p.h, hot.words)[of]
                 for b, (h, source, text, times) in split(p.h[of[asked]], p.source[asked], p.text[asked], p.times[asked]):
-                    out.append((b, 1, pack(np.diff(h, prepend=np.uint64(0)), p.sources, source, text, times)))
+                    used, source = np.unique(source, return_inverse=True)
+                    out.append((b, 1, pack(np.diff(h, prepend=np.uint64(0)), p.sources[used], source, text, times)))
                 columns = list(zip(*out)) if out else [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["bucket", "kind", "payload"])
 
@@ -419,6 +425,8 @@ def _backoff(ngrams: DataFrame, model: Model, buckets: int) -> DataFrame:
         for bucket, group in _grouped(batches, "bucket"):
             sums = [unpack(r["payload"]) for r in group if r["kind"] == 0]
             sums = [[np.cumsum(s[0]).astype(np.uint64), *s[1:]] for s in sums]
+            for gaps, word, pair in (unpack(r["payload"]) for r in group if r["kind"] == 3):
+                sums.append([np.cumsum(gaps).astype(np.uint64), model.share(word), model.pairs(pair), pair])
             h0 = model.hot_sums[0]
             mine = mixed(h0) % np.uint64(buckets) == np.uint64(bucket)
             sums.append([x[mine] for x in model.hot_sums])
@@ -463,7 +471,12 @@ def _by_chunk(chunk: np.ndarray, text: np.ndarray, *values: np.ndarray) -> Itera
 
 
 def _parts(ngrams: DataFrame, model: Model) -> DataFrame:
-    """``chunk, payload``: what each bucket adds to the score, the base score and the known tokens of each text of a chunk."""
+    """``chunk, payload``: for each token of a chunk's texts what its score follows from, in the order of the texts.
+
+    That is the number of times, the training counts of word and pair, and for an unseen pair the place of its history
+    among the hot ones. Counts pack into a few bytes where sums per text and bucket would be floats of full length,
+    one for almost every token once buckets are many.
+    """
     hot = model.hot
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,22 +484,33 @@ def _parts(ngrams: DataFrame, model: Model) -> DataFrame:
             for payload in batch.column("payload"):
                 p = Postings.unpacked(payload.as_py())
                 pair, word = hot.counted(p)
-                known = word > 0
-                backoff = np.log10(model.share(word)) + _looked_up(p.h, *model.hot_backoff)
-                value = np.where(pair > 0, np.log10(np.maximum(model.pairs(pair), 1e-300)), backoff)
-                # each word but the end is a history once: that divides the next token's count
-                value -= np.where(known & (p.w != END), np.log10(np.maximum(word, 1)), 0.0)
-                base = np.log10(word + 0.1)
+                names = model.hot_backoff[0]
+                place = _looked_up(p.h, names, np.arange(1, len(names) + 1)) * (pair == 0)
+                # the lowest bit marks ends
+                code = place * 2 + (p.w == END)
                 order = np.lexsort((p.text, p.source)).astype(np.int32)
-                of, times = p.type_of_entry()[order], p.times[order]
-                sums = _by_chunk(p.source[order], p.text[order], value[of] * times, base[of] * times, known[of] * times)
-                out = [(int(p.sources[c]), pack(np.diff(t, prepend=0), _shortened(s), _shortened(b), k)) for c, t, s, b, k in sums]
+                of, source = p.type_of_entry()[order], p.source[order]
+                text, times = p.text[order], p.times[order]
+                out = []
+                for lo, hi in zip(at := _runs(source), np.append(at[1:], len(source))):
+                    t = of[lo:hi]
+                    out.append((int(p.sources[source[lo]]), pack(np.diff(text[lo:hi], prepend=0), times[lo:hi], word[t], pair[t], code[t])))
                 columns = list(zip(*out)) if out else [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["chunk", "payload"])
 
     return ngrams.select("payload").mapInArrow(rows, "chunk long, payload binary")
 
 
+def _token_scores(model: Model, word: np.ndarray, pair: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each token adds to the score and to the base score of its text."""
+    weights = np.append(0.0, model.hot_backoff[1])
+    backoff = np.log10(model.share(word)) + weights[code >> 1]
+    value = np.where(pair > 0, np.log10(np.maximum(model.pairs(pair), 1e-300)), backoff)
+    # each word but the end is a history once: that divides the next token's count
+    value -= np.where((word > 0) & (code & 1 == 0), np.log10(np.maximum(word, 1)), 0.0)
+    return value, np.log10(word + 0.1)
+
+
 def score_corpus(df: DataFrame, train: str, key: str = "doc_id", text: str = "text", bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -518,12 +542,16 @@ def score_corpus(df: DataFrame, train: str, key: str = "doc_id", text: str = "te
             (size, trained), keys = unpack(group[0]["payload"]), group[0]["keys"]
             score, base, known = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), dtype=np.int64)
             for r in group[1:]:
-                gaps, s, *more = unpack(r["payload"])
+                gaps, *columns = unpack(r["payload"])
                 at = np.cumsum(gaps)
-                score[at] += s
-                if more:
-                    base[at] += more[0]
-                    known[at] += more[1]
+                if r["kind"] == 1:
+                    score[at] += columns[0]
+                    continue
+                times, word, pair, code = columns
+                value, word_value = _token_scores(model, word, pair, code)
+                score += np.bincount(at, weights=value * times, minlength=len(size))
+                base += np.bincount(at, weights=word_value * times, minlength=len(size))
+                known += np.bincount(at[word > 0], weights=times[word > 0], minlength=len(size)).astype(np.int64)
             if starts:
                 score -= math.log10(starts)
             base -= size * constant
@@ -533,7 +561,7 @@ def score_corpus(df: DataFrame, train: str, key: str = "doc_id", text: str = "te
     key_arrow = to_arrow_type(docs.schema["__key"].dataType)
     nothing = F.lit(None).cast(f"array<{key_type}>")
     parts = table.filter("bucket < 0").select("chunk", F.lit(0).alias("kind"), "keys", "payload")
-    parts = parts.union(_parts(ngrams, model).select("chunk", F.lit(1), nothing, "payload"))
+    parts = parts.union(_parts(ngrams, model).select("chunk", F.lit(2), nothing, "payload"))
     parts = parts.union(backoff.filter("chunk >= 0").select("chunk", F.lit(1), nothing, "payload"))
     made = parts.repartition("chunk").sortWithinPartitions("chunk", "kind")
     schema = f"__key {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
