@@ -6,10 +6,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import classify as C, labelmodel as M, metrics as E, reports as R, search as H, splits as S, votes as V
-from ..schemas import CARDINALITY, CLASSES
+from ..schemas import CARDINALITY, CLASSES, UNANNOTATED
 from ..session import scratch_path, stored
-from .catalog_votes import ANN_SQL, MAJORITY_SQL, REGISTRY, partial_model, votes
-from .inputs import COVERAGE_SQL, EVAL_SQL, KEYWORD_NAMES, annotated, coverage_results, documents, eval_results, table
+from .catalog_votes import ANN_SQL, MAJORITY_SQL, REGISTRY, partial_model, total_votes, votes
+from .inputs import CLUSTER_NAMES, COVERAGE_SQL, EVAL_SQL, KEYWORD_NAMES, VOTES_SQL, annotated, coverage_results, documents, eval_results, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -148,15 +148,36 @@ for _q in (clf_features, clf_train, clf_validate, clf_evaluate, clf_predict, mod
 # Search.
 
 
-def _search(spark, d, configs: DataFrame) -> DataFrame:
-    v = votes(spark, d)
-    train = V.vote_patterns(v, KEYWORD_NAMES)
-    test = V.vote_patterns(v.join(annotated(spark, d), "doc_id").withColumnRenamed("LABEL", "label"), [*KEYWORD_NAMES, "label"])
-    return H.search_label_model(configs, train, test, KEYWORD_NAMES, tasks=spark.sparkContext.defaultParallelism)
+def _folds(spark, d, voted: DataFrame, names: list[str]) -> DataFrame:
+    """Vote patterns of 2 to 9 folds; documents without annotation take part in the fits only."""
+    marked = voted.join(annotated(spark, d), "doc_id", "left").withColumn("label", F.coalesce("LABEL", F.lit(UNANNOTATED)))
+    return H.fold_patterns(marked.select("doc_id", *names, F.col("label").alias("truth")), names, "doc_id", "truth")
 
 
-QUERIES["search_grid"] = lambda spark, d: _search(spark, d, H.grid_configs(spark))
-QUERIES["search_random"] = lambda spark, d: _search(spark, d, H.random_configs(spark))
+QUERIES["fold_patterns"] = lambda spark, d: _folds(spark, d, votes(spark, d), KEYWORD_NAMES)
+ORACLES["fold_patterns"] = f"""
+    WITH v AS ({VOTES_SQL}), {ANN_SQL},
+    m AS (SELECT v.*, coalesce(LABEL, {UNANNOTATED}) AS label, CAST(concat('0x', substr(md5(concat('12:', CAST(v.doc_id AS VARCHAR))), 1, 8)) AS BIGINT) AS h
+          FROM v LEFT JOIN ann ON ann.doc_id = v.doc_id),
+    k AS (SELECT CAST(unnest(range(2, 10)) AS INT) AS k)
+    SELECT k, CAST(h % k AS INT) AS fold, {', '.join(KEYWORD_NAMES)}, CAST(label AS INT) AS label, count(*) AS n FROM m CROSS JOIN k GROUP BY ALL"""
+
+
+def search_grid(spark, d):
+    """Every grid configuration of the keyword functions, fitted on the other folds and scored on the annotated rows of its fold."""
+    patterns = stored(_folds(spark, d, votes(spark, d), KEYWORD_NAMES), "patterns")
+    return H.cross_validate(H.grid_configs(spark), patterns, KEYWORD_NAMES)
+
+
+def search_random(spark, d):
+    """Drawn configurations of all fourteen functions, keyword and cluster, in the same folds."""
+    names = KEYWORD_NAMES + CLUSTER_NAMES
+    patterns = stored(_folds(spark, d, total_votes(spark, d), names), "patterns")
+    return H.cross_validate(H.random_configs(spark), patterns, names)
+
+
+QUERIES["search_grid"] = search_grid
+QUERIES["search_random"] = search_random
 
 
 def search_halving(spark, d):

@@ -117,6 +117,10 @@ ORACLES["majority_vote"] = f"""
     FROM documents LEFT JOIN tied USING (doc_id)"""
 
 
+# Iterations of every fit, in Spark and in SQL.
+ITERATIONS = 25
+
+
 # The label model in SQL.
 def lm_sql(votes_cte: str, sources: tuple[str, ...], iterations: int, prior_acc: float = 0.7, smoothing: float = 0.01, tag: str = "") -> str:
     """CTEs up to ``mu{tag}``: the parameters after a number of EM iterations; ``votes_cte`` has one column per source."""
@@ -130,23 +134,23 @@ def lm_sql(votes_cte: str, sources: tuple[str, ...], iterations: int, prior_acc:
     vote = f"least(greatest(cov.cov * {CARDINALITY} * {own}, 0.01), 0.99)"
     longs = " UNION ALL ".join(f"SELECT pid, n, '{s}' AS source, {s} AS outcome FROM pat{tag}" for s in sources)
     out = f"""
-    pat{tag} AS (SELECT {cols}, n, row_number() OVER (ORDER BY {cols}) AS pid FROM (SELECT {cols}, count(*) AS n FROM {votes_cte} GROUP BY ALL) x),
-    lng{tag} AS ({longs}),
+    pat{tag} AS MATERIALIZED (SELECT {cols}, n, row_number() OVER (ORDER BY {cols}) AS pid FROM (SELECT {cols}, count(*) AS n FROM {votes_cte} GROUP BY ALL) x),
+    lng{tag} AS MATERIALIZED ({longs}),
     so{tag} AS (SELECT col0 AS source, col1 AS outcome FROM (VALUES {', '.join(outcomes)})),
     cs{tag} AS (SELECT unnest(range({CARDINALITY})) AS c),
-    cov{tag} AS (SELECT source, 1 - sum(CASE WHEN outcome = -1 THEN n ELSE 0 END) / sum(n) AS cov FROM lng{tag} GROUP BY 1),
-    mu{tag}_0 AS (SELECT o.source, o.outcome, c.c, CASE
+    cov{tag} AS MATERIALIZED (SELECT source, 1 - sum(CASE WHEN outcome = -1 THEN n ELSE 0 END) / sum(n) AS cov FROM lng{tag} GROUP BY 1),
+    mu{tag}_0 AS MATERIALIZED (SELECT o.source, o.outcome, c.c, CASE
         WHEN o.source = 'cluster' AND o.outcome = -1 THEN greatest(1 - cov.cov, 1e-6)
         WHEN o.source = 'cluster' THEN greatest(cov.cov * ({share}), 1e-6)
         WHEN o.outcome = -1 THEN 1 - {vote} ELSE {vote} END AS p
       FROM so{tag} o CROSS JOIN cs{tag} c JOIN cov{tag} cov ON cov.source = o.source)"""
     for i in range(iterations):
         out += f""",
-    l{tag}_{i} AS (SELECT pid, any_value(n) AS n, c, sum(ln(greatest(p, 1e-6))) AS l FROM lng{tag} JOIN mu{tag}_{i} USING (source, outcome) GROUP BY pid, c),
-    e{tag}_{i} AS (SELECT pid, n, c, exp(l - max(l) OVER (PARTITION BY pid)) AS e FROM l{tag}_{i}),
-    q{tag}_{i} AS (SELECT pid, n, c, e / sum(e) OVER (PARTITION BY pid) AS q FROM e{tag}_{i}),
-    m{tag}_{i} AS (SELECT source, outcome, c, sum(g.n * q) AS m FROM lng{tag} g JOIN q{tag}_{i} USING (pid) GROUP BY 1, 2, 3),
-    mu{tag}_{i + 1} AS (SELECT o.source, o.outcome, o.c,
+    l{tag}_{i} AS MATERIALIZED (SELECT pid, any_value(n) AS n, c, sum(ln(greatest(p, 1e-6))) AS l FROM lng{tag} JOIN mu{tag}_{i} USING (source, outcome) GROUP BY pid, c),
+    e{tag}_{i} AS MATERIALIZED (SELECT pid, n, c, exp(l - max(l) OVER (PARTITION BY pid)) AS e FROM l{tag}_{i}),
+    q{tag}_{i} AS MATERIALIZED (SELECT pid, n, c, e / sum(e) OVER (PARTITION BY pid) AS q FROM e{tag}_{i}),
+    m{tag}_{i} AS MATERIALIZED (SELECT source, outcome, c, sum(g.n * q) AS m FROM lng{tag} g JOIN q{tag}_{i} USING (pid) GROUP BY 1, 2, 3),
+    mu{tag}_{i + 1} AS MATERIALIZED (SELECT o.source, o.outcome, o.c,
         (coalesce(m, 0) + {smoothing}) / (sum(coalesce(m, 0)) OVER w + {smoothing} * count(*) OVER w) AS p
       FROM mu{tag}_{i} o LEFT JOIN m{tag}_{i} USING (source, outcome, c) WINDOW w AS (PARTITION BY o.source, o.c))"""
     return out + f""",
@@ -177,18 +181,18 @@ ORACLES["lm_moments"] = f"""
 
 
 def lm_fit(spark, d):
-    """Two EM iterations on keyword and cluster votes."""
-    model = M.lm_fit(V.vote_patterns(total_votes(spark, d), KEYWORD_NAMES + CLUSTER_NAMES), KEYWORD_NAMES + CLUSTER_NAMES, max_iter=2, tol=0.0)
+    """The label model of keyword and cluster votes."""
+    model = M.lm_fit(V.vote_patterns(total_votes(spark, d), KEYWORD_NAMES + CLUSTER_NAMES), KEYWORD_NAMES + CLUSTER_NAMES, max_iter=ITERATIONS, tol=0.0)
     return model.to_table(spark).withColumn("p", F.round("p", 6))
 
 
 QUERIES["lm_fit"] = lm_fit
 ORACLES["lm_fit"] = f"""
-    WITH {_TOTAL_VOTES}, {lm_sql('vt', _ALL, 2)}
+    WITH {_TOTAL_VOTES}, {lm_sql('vt', _ALL, ITERATIONS)}
     SELECT source, outcome, CAST(c AS INT) AS label, round(p, 6) AS p FROM mu"""
 
 
-def partial_model(vote_table: DataFrame, iterations: int = 1, prior_acc: float = 0.7) -> M.LabelModel:
+def partial_model(vote_table: DataFrame, iterations: int = ITERATIONS, prior_acc: float = 0.7) -> M.LabelModel:
     return M.lm_fit(V.vote_patterns(vote_table, KEYWORD_NAMES), KEYWORD_NAMES, max_iter=iterations, tol=0.0, prior_acc=prior_acc)
 
 
@@ -204,7 +208,7 @@ def lm_predict_proba(spark, d):
 QUERIES["lm_predict_proba"] = lm_predict_proba
 _PIVOT = ", ".join(f"round(max(CASE WHEN c = {c} THEN q.p END), 6) AS p_{c}" for c in range(CARDINALITY))
 ORACLES["lm_predict_proba"] = f"""
-    WITH {_PARTIAL_VOTES}, {lm_sql('vk', _SRC, 1)}
+    WITH {_PARTIAL_VOTES}, {lm_sql('vk', _SRC, ITERATIONS)}
     SELECT vk.doc_id, {_PIVOT} FROM vk JOIN pat p ON {_PARTIAL_JOIN} JOIN post q ON q.pid = p.pid GROUP BY 1"""
 
 
@@ -219,21 +223,21 @@ QUERIES["lm_predict"] = lm_predict
 _PREDICTED = f"""
     pred AS (SELECT vk.doc_id, CAST(CASE WHEN len(t) = 1 THEN t[1] ELSE -1 END AS INT) AS label, CAST(t[1 + {_hash_sql(123, 'vk.doc_id')} % len(t)] AS INT) AS label_hash
              FROM vk JOIN pat p ON {_PARTIAL_JOIN} JOIN pick USING (pid))"""
-ORACLES["lm_predict"] = f"WITH {_PARTIAL_VOTES}, {lm_sql('vk', _SRC, 1)}, {_PREDICTED} SELECT * FROM pred"
+ORACLES["lm_predict"] = f"WITH {_PARTIAL_VOTES}, {lm_sql('vk', _SRC, ITERATIONS)}, {_PREDICTED} SELECT * FROM pred"
 
 
 def label_corpus(spark, d):
     """Total labelling: no document stays without a label."""
     v = stored(total_votes(spark, d), "votes")
     names = KEYWORD_NAMES + CLUSTER_NAMES
-    model = M.lm_fit(V.vote_patterns(v, names), names, max_iter=1, tol=0.0)
+    model = M.lm_fit(V.vote_patterns(v, names), names, max_iter=ITERATIONS, tol=0.0)
     given = V.LFRegistry([V.LabelingFunction(n, lambda n=n: F.col(n)) for n in names])
     return M.label_corpus(v, given, model, ["doc_id"])
 
 
 QUERIES["label_corpus"] = label_corpus
 ORACLES["label_corpus"] = f"""
-    WITH {_TOTAL_VOTES}, {lm_sql('vt', _ALL, 1)}
+    WITH {_TOTAL_VOTES}, {lm_sql('vt', _ALL, ITERATIONS)}
     SELECT doc_id, CAST(t[1] AS INT) AS label FROM vt JOIN pat p ON {' AND '.join(f'p.{n} = vt.{n}' for n in _ALL)}
     JOIN pick USING (pid) WHERE len(t) = 1"""
 
@@ -248,7 +252,7 @@ QUERIES["label_texts"] = label_texts
 _TURN_VOTES = VOTES_SQL.replace("doc_id, lang, text, ", "conv_id, turn, ").replace("FROM documents", "FROM conversations")
 _CLASS_CASE = "CASE label " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLASSES)) + " END"
 ORACLES["label_texts"] = f"""
-    WITH {_PARTIAL_VOTES}, {lm_sql('vk', _SRC, 1)}, tv AS ({_TURN_VOTES}),
+    WITH {_PARTIAL_VOTES}, {lm_sql('vk', _SRC, ITERATIONS)}, tv AS ({_TURN_VOTES}),
     tl AS ({' UNION ALL '.join(f"SELECT conv_id, turn, '{n}' AS source, {n} AS outcome FROM tv" for n in KEYWORD_NAMES)}),
     ll AS (SELECT conv_id, turn, c, sum(CASE WHEN outcome = -1 THEN 0 ELSE ln(greatest(p, 1e-6)) END) AS l FROM tl JOIN mu USING (source, outcome) GROUP BY 1, 2, 3),
     le AS (SELECT conv_id, turn, c, exp(l - max(l) OVER (PARTITION BY conv_id, turn)) AS e FROM ll),
@@ -261,7 +265,7 @@ ORACLES["label_texts"] = f"""
 def champion_check(spark, d):
     v = votes(spark, d)
     test = v.join(annotated(spark, d), "doc_id")
-    check = M.champion_check(test, "LABEL", partial_model(v, 1, 0.7), partial_model(v, 0, 0.6), "doc_id")
+    check = M.champion_check(test, "LABEL", partial_model(v, ITERATIONS, 0.7), partial_model(v, ITERATIONS, 0.6), "doc_id")
     return check.select(F.round("new_accuracy", 6).alias("new_accuracy"), F.round("old_accuracy", 6).alias("old_accuracy"), "replace")
 
 
@@ -274,6 +278,6 @@ def _accuracy_sql(tag: str) -> str:
 
 
 ORACLES["champion_check"] = f"""
-    WITH {_PARTIAL_VOTES}, {ANN_SQL}, {lm_sql('vk', _SRC, 1, tag='a')}, {lm_sql('vk', _SRC, 0, 0.6, tag='b')},
+    WITH {_PARTIAL_VOTES}, {ANN_SQL}, {lm_sql('vk', _SRC, ITERATIONS, tag='a')}, {lm_sql('vk', _SRC, ITERATIONS, 0.6, tag='b')},
     acc AS (SELECT {_accuracy_sql('a')} AS n, {_accuracy_sql('b')} AS o)
     SELECT round(n, 6) AS new_accuracy, round(o, 6) AS old_accuracy, n > o AS replace FROM acc"""
