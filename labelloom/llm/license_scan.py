@@ -2,7 +2,8 @@
 
 Text and template are aligned on the words that are unique in both: the longest increasing subsequence of those
 anchors is kept, and the gaps between them are aligned in the same way. The share of the template's words that find
-a partner close together is its coverage.
+a partner close together is its coverage. Where a text has copies next to each other, the stretch of each comes from
+the best local chain of equal words; a find is taken out and the rest of the text is searched again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -50,7 +52,8 @@ TEMPLATES = {
 }
 COVERAGE = 0.8  # share of a template's words that make a find
 SPREAD = 1.5  # words of the text over which they may lie, in template lengths
-GAP = 8  # foreign words that part two regions
+GAP = 8  # skipped words that a chain takes for one more equal word
+WIDE_GAP = 128  # the same for what is left, so that a few words before a long insertion count as well
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -109,42 +112,95 @@ class Template:
         self.least = -(-len(self.words) * COVERAGE // 1)  # matched words of a find
         self.least_distinct = len(self.vocabulary) - (len(self.words) - self.least)
         self.window = int(len(self.words) * SPREAD)
-
-
-def _regions(words: Sequence[str], t: Template) -> Iterator[tuple[int, int]]:
-    """Stretches of the text with enough of the template's words; a stretch with several copies is cut between them."""
-    hits = [i for i, w in enumerate(words) if w in t.vocabulary]
-    start = 0
-    for at in range(1, len(hits) + 1):
-        if at < len(hits) and hits[at] - hits[at - 1] <= GAP:
-            continue
-        lo, hi = hits[start], hits[at - 1] + 1
-        start = at
-        counts = Counter(w for w in words[lo:hi] if w in t.vocabulary)
-        if len(counts) < t.least_distinct:
+        self.places: dict[str, list[int]] = {}
+        for p, w in enumerate(self.words):
+            self.places.setdefault(w, []).append(p)
+
+
+def _regions(words: Sequence[str], lo: int, hi: int, t: Template) -> list[tuple[int, int]]:
+    """Stretches of ``words[lo:hi]`` made of windows with as many different words of the template as a find has at least."""
+    hits = [i for i in range(lo, hi) if words[i] in t.vocabulary]
+    out, counts, first = [], Counter(), 0
+    for at in hits:
+        counts[words[at]] += 1
+        while at - hits[first] >= t.window:
+            w = words[hits[first]]
+            counts[w] -= 1
+            if not counts[w]:
+                del counts[w]
+            first += 1
+        if len(counts) >= t.least_distinct:
+            if out and hits[first] < out[-1][1]:
+                out[-1] = (out[-1][0], at + 1)
+            else:
+                out.append((hits[first], at + 1))
+    return out
+
+
+def _chains(words: Sequence[str], lo: int, hi: int, t: Template, gap: int) -> list[tuple[int, int]]:
+    """``(first word, last word + 1)`` of the best chains of equal words that may be finds, one for each last word, best first.
+
+    A chain increases in text and template; an equal word counts ``gap``, a word of either that it skips takes one off.
+    Score and start are one number, so that of equal chains the one that starts last is kept.
+    """
+    n, one = len(t.words), 1 << 32
+    least = gap * t.least - (t.window - t.least) - (n - t.least)
+    skipped = np.arange(n + 1, dtype=np.int64) * one
+    best = np.zeros(n + 1, dtype=np.int64)  # by the number of template words that are passed
+    found, before = [], lo
+    for i in range(lo, hi):
+        if words[i] not in t.places:
             continue
-        # each copy has the word that is rarest here, if it has it at all
-        rarest = min(counts, key=lambda w: (counts[w], w))
-        marks = [i for i in range(lo, hi) if words[i] == rarest]
-        cuts = [lo, *((x + y) // 2 + 1 for x, y in zip(marks, marks[1:])), hi]
-        yield from zip(cuts, cuts[1:])
+        if i - before > 1:
+            best -= (i - before - 1) * one
+        # all partners are taken from before this word: it has one in a chain
+        top = 0
+        made = [(p, max(int(best[p]), i) + gap * one) for p in t.places[words[i]]]
+        best -= one
+        for p, score in made:
+            np.maximum(best[p + 1 :], score - skipped[: n - p], out=best[p + 1 :])
+            top = max(top, score)
+        before = i
+        if top // one >= least:
+            found.append((top // one, top % one, i + 1))
+    return [(start, end) for _, start, end in sorted(found, key=lambda x: (-x[0], x[1]))]
+
+
+def _aligned(words: Sequence[str], lo: int, hi: int, t: Template) -> tuple[int, int, int]:
+    """``(matched words, first, last + 1)`` of the window that has most of the words that patience alignment matches."""
+    matched = [i + lo for i, _ in patience(words[lo:hi], t.words)]
+    best, first = (0, 0, 0), 0
+    for last, i in enumerate(matched):
+        while i - matched[first] >= t.window:
+            first += 1
+        best = max(best, (last - first + 1, -matched[first], i), key=lambda x: x[:2])
+    return best[0], -best[1], best[2] + 1
 
 
 def find_licenses(words: Sequence[str], templates: Sequence[Template]) -> list[tuple[int, int, str, float]]:
-    """``(first word, last word + 1, name, coverage)`` of every find, sorted."""
+    """``(first word, last word + 1, name, coverage)`` of every find, sorted; finds of a template do not overlap."""
     out, present = [], set(words)
     for t in templates:
         if len(t.vocabulary & present) < t.least_distinct:
             continue
-        for lo, hi in _regions(words, t):
-            matched = [i + lo for i, _ in patience(words[lo:hi], t.words)]
-            best, first = (0, 0, 0), 0
-            for last, i in enumerate(matched):
-                while i - matched[first] >= t.window:
-                    first += 1
-                best = max(best, (last - first + 1, -matched[first], i), key=lambda x: x[:2])
-            if best[0] >= t.least:
-                out.append((-best[1], best[2] + 1, t.name, best[0] / len(t.words)))
+        work = [(0, len(words), GAP)]
+        while work:
+            begin, stop, gap = work.pop()
+            for lo, hi in _regions(words, begin, stop, t):
+                taken, finds = bytearray(hi - lo), []
+                for start, end in _chains(words, lo, hi, t, gap):
+                    if 1 in taken[start - lo : end - lo]:
+                        continue
+                    n, start, end = _aligned(words, start, end, t)
+                    if n >= t.least:
+                        taken[start - lo : end - lo] = b"\x01" * (end - start)
+                        finds.append((start, end, t.name, n / len(t.words)))
+                out += finds
+                if finds:
+                    ends = sorted(f[:2] for f in finds)
+                    work += [(x, y, gap) for x, y in zip([lo, *(e for _, e in ends)], [*(b for b, _ in ends), hi])]
+                elif gap == GAP:
+                    work.append((lo, hi, WIDE_GAP))
     return sorted(out)
 
 

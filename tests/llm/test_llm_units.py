@@ -125,6 +125,26 @@ def test_licenses_twice_and_changed():
     assert license_scan.find_licenses(license_scan._TOKEN.findall(prose * 5), known) == []
 
 
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_licenses_next_to_each_other_and_interrupted(name):
+    known = [license_scan.Template(n, t) for n, t in license_scan.TEMPLATES.items()]
+    mine = license_scan._TOKEN.findall(license_scan.TEMPLATES[name].lower())
+    found = lambda words: [f for f in license_scan.find_licenses(words, known) if f[2] == name]
+    for between in ([], ["other"] * 5, ["of", "the", "work"]):
+        finds = found(["some", "prose", *((mine + between) * 4), "more"])
+        assert [f[3] for f in finds] == [1.0] * 4
+        assert [f[1] - f[0] for f in finds] == [len(mine)] * 4
+    longest = int(len(mine) * license_scan.SPREAD) - len(mine)
+    for at in (1, len(mine) // 4, len(mine) // 2, len(mine) - 1):
+        interrupted = mine[:at] + ["other"] * longest + mine[at:]
+        assert len(found(interrupted)) == 1
+        assert len(found(mine + interrupted + mine)) == 3
+    if len(mine) >= 20:
+        # three words of twenty are changed, in another place of each copy
+        changed = [[w if (i + k) % 20 not in (0, 7, 13) else "other" for i, w in enumerate(mine)] for k in range(0, 20, 3)]
+        assert len(found([w for c in changed for w in c])) == len(changed)
+
+
 def test_nested_secrets():
     secret = "password=abcdefgh1234"
     packed = base64.b64encode(gzip.compress(secret.encode())).decode()
