@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
 from .common import checked_broadcast
@@ -99,8 +99,13 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
     return shingles[at]
 
 
+def _hash(text: str) -> Column:
+    """What tells apart the texts of rows with the same key."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def _embed(df: DataFrame, key: str, text: str, runs: int) -> DataFrame:
-    """``key, node, low, size, sketch, paths`` of every row; texts without words have null but for the key."""
+    """``key, hash, node, low, size, sketch, paths`` of every row; texts without words have null but for the key and the text's hash."""
     roots = BRANCH * runs
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +123,11 @@ def _embed(df: DataFrame, key: str, text: str, runs: int) -> DataFrame:
                 sizes.append(len(s))
                 sketches.append(tokens.astype(np.uint16).tobytes())
                 paths.append(mixed(tokens[np.arange(roots) % COORDINATES] ^ _SALTS[100 : 100 + roots]).view(np.int64))
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(lows, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["__key", "node", "low", "size", "sketch", "paths"])
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(lows, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["__key", "hash", "node", "low", "size", "sketch", "paths"])
 
-    given = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    schema = f"__key {given.dtypes[0][1]}, node long, low long, size int, sketch binary, paths array<long>"
+    given = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), _hash(text).alias("hash"))
+    schema = f"__key {given.dtypes[0][1]}, hash long, node long, low long, size int, sketch binary, paths array<long>"
     return given.mapInArrow(rows, schema)
 
 
@@ -378,30 +383,28 @@ def _exact(blocks: DataFrame) -> DataFrame:
     return blocks.select("comp", "x", "y", "node", "copies", "text", "side").mapInArrow(rows_of, "node long, links long, root long")
 
 
-def similar(df: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """``key, class_id, n_links`` of every row.
+def _classes(df: DataFrame, key: str, text: str, recall: float) -> tuple[DataFrame, DataFrame]:
+    """``__key, hash, node`` and more of every row, and ``node, root, head, n_links`` of every set.
 
-    Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; equal texts
-    are. A class is a connected component of links, named by its smallest key. ``n_links`` counts the documents that
-    a document is linked to. A text of one to four words is one shingle; a null text or one without words has no
-    links and is a class of its own. Keys may be null (they never name a class that has another key); rows with the
-    same key count as documents of their own. An empty table gives no rows; other columns are not read.
-
-    Nodes are 64-bit names of 128-bit set digests.
+    A set's text is that of one of its rows, ``rep``, which is looked up by key and hash of the text. ``head`` is the
+    first ``rep`` of a class: keys that are null come last, rows of one key are ordered by the hash.
     """
-    kind = dict(df.dtypes)[key]
     docs = stored(_embed(df, key, text, runs_for(recall)), "shingle_embeddings")
     grouped = docs.filter("node IS NOT NULL").groupBy("node", "low")
-    sets = stored(grouped.agg(F.min("__key").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "shingle_sets")
+    sets = stored(grouped.agg(F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), "hash")).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "shingle_sets")
     roots = candidates(sets)
 
     known = sets.select("node", "rep", "copies", "size").join(roots, "node")
     weight = known.groupBy(F.col("root").alias("comp")).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     placed = known.join(weight, F.col("root") == F.col("comp")).select("rep", "node", "comp", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"))
     placed = stored(placed, "candidate_sets")
-    texts = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text"))
+    texts = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text"), _hash(text).alias("__hash"))
     # few texts are candidates: the table of their keys goes to the texts while it is small, else the texts move
-    full = texts.join(checked_broadcast(placed, BROADCAST_ROWS), F.col("rep").eqNullSafe(F.col("__key")))
+    at = F.col("rep.key").eqNullSafe(F.col("__key")) & (F.col("rep.hash") == F.col("__hash"))
+    full = texts.join(checked_broadcast(placed, BROADCAST_ROWS), at).select("text", *placed.columns)
+    # a set of several rows may have its row more than once, but needs one text
+    several = full.filter("copies > 1").groupBy(*[c for c in placed.columns if c != "rep"]).agg(F.first("text").alias("text"))
+    full = full.filter("copies = 1").select(*several.columns).union(several)
     spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "copies", "text", "side")
     compared = stored(_exact(spread.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y", "node")), "exact_links")
@@ -414,9 +417,24 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", recall: floa
         single = single.union(met)
     totals = compared.groupBy("node").agg(F.sum("links").alias("links"))
     classes = sets.select("node", "rep", "copies").join(single, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
-    names = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = classes.join(names, "root").join(totals, "node", "left").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = docs.select("__key", "node").join(named, "node", "left")
+    heads = classes.groupBy("root").agg(F.min("rep").alias("head"))
+    return docs, classes.join(heads, "root").join(totals, "node", "left").select("node", "root", "head", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+    """``key, class_id, n_links`` of every row.
+
+    Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; equal texts
+    are. A class is a connected component of links, named by its smallest key. ``n_links`` counts the documents that
+    a document is linked to. A text of one to four words is one shingle; a null text or one without words has no
+    links and is a class of its own. Keys may be null (they never name a class that has another key); rows with the
+    same key count as documents of their own. An empty table gives no rows; other columns are not read.
+
+    Nodes are 64-bit names of 128-bit set digests.
+    """
+    kind = dict(df.dtypes)[key]
+    docs, named = _classes(df, key, text, recall)
+    out = docs.select("__key", "node").join(named.select("node", F.col("head.key").alias("class_id"), "n_links"), "node", "left")
     # a class of its own is named by its key
     return out.select(
         F.col("__key").alias(key),

@@ -279,6 +279,24 @@ def test_join_against_all_pairs(spark, monkeypatch, seed):
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(d, root[d], len(links[d])) for d in sets}
 
 
+def test_join_of_different_texts_under_one_key(spark):
+    rng = random.Random(9)
+    docs, want = [], []
+    for key in (1, None, 2):
+        for _ in range(4):
+            words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+            docs += [(key, " ".join(words)), (key, " ".join([*words[:-1], "other"])), (key, " ".join(["other" if i in (20, 40) else w for i, w in enumerate(words)]))]
+    docs += [docs[3]] * 5 + [(3, " ".join(f"w{rng.randrange(5000)}" for _ in range(60)))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in docs for w in [t.split()]]
+    near = [[j for j in range(len(docs)) if j != i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in range(len(docs))]
+    assert {len(near[i]) for i in range(36)} == {0, 1, 6}
+    df = spark.createDataFrame([(*d, i) for i, d in enumerate(docs)], "doc_id long, text string, row long").repartition(5)
+    for i, (key, _) in enumerate(docs):
+        want.append((key, key, len(near[i])))
+    got = [tuple(r) for r in ngram_jaccard.similar(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_runs_reach_the_recall():
     assert ngram_jaccard.runs_for(0.99) < ngram_jaccard.runs_for(0.999999) <= 6
 
