@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .common import checked_broadcast
+from .common import WORD, checked_broadcast
 from .wordhash import chunks, mixed, word_hashes
 
 WORDS = 5
@@ -444,16 +444,22 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", recall: floa
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, with all its columns: the row of the smallest key.
+    """One row of each class, with all its columns: the row of the smallest key, null last, and then of the text's hash.
 
-    Rows that repeat a kept key give one row. A row without a key cannot be named as the one to keep or to drop, so
-    it stays. Only rows with a repeated key are grouped.
+    Rows are chosen, not keys: of rows with the same key and unlike texts each class keeps its own, and a class without
+    any key keeps a row too. Of rows that repeat the chosen one, the one whose columns have the smallest hash is kept.
+    Texts without words are classes of their own, so all of them stay. Only rows that are repeated are grouped.
     """
-    kept = similar(df, key, text).filter(F.col(key) == F.col("class_id"))
-    marks = stored(kept.groupBy(F.col(key).alias("__kept")).agg(F.count("*").alias("__rows")), "kept_keys")
-    rows = df.select(F.struct("*").alias("__row"), F.col(key).alias("__key"))
-    joined = rows.join(checked_broadcast(marks, BROADCAST_ROWS), F.col("__key") == F.col("__kept"))
-    out = joined.filter("__rows = 1").select("__row").union(rows.filter("__key IS NULL").select("__row"))
+    docs, named = _classes(df, key, text, RECALL)
+    at = F.col("__key").eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash"))
+    heads = named.select(F.col("head.key").alias("__kept"), F.col("head.hash").alias("__kept_hash")).distinct()
+    kept = docs.filter("node IS NOT NULL").select("__key", F.col("hash").alias("__hash")).join(heads, at)
+    marks = stored(kept.groupBy("__kept", "__kept_hash").agg(F.count("*").alias("__rows")), "kept_rows")
+    wordless = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)) == 0
+    rows = df.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), _hash(text).alias("__hash"), wordless.alias("__wordless"))
+    joined = rows.join(checked_broadcast(marks, BROADCAST_ROWS), at)
+    out = joined.filter("__rows = 1").select("__row").union(rows.filter("__wordless").select("__row"))
     if not marks.filter("__rows > 1").isEmpty():
-        out = out.union(joined.filter("__rows > 1").groupBy("__key").agg(F.first("__row").alias("__row")).select("__row"))
+        repeated = joined.filter("__rows > 1").withColumn("__order", F.xxhash64(F.to_json("__row")))
+        out = out.union(repeated.groupBy("__kept", "__kept_hash").agg(F.min_by("__row", "__order").alias("__row")).select("__row"))
     return out.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])

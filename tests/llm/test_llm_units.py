@@ -297,6 +297,18 @@ def test_join_of_different_texts_under_one_key(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_first_of_each_keeps_a_row_of_each_class(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4)]
+    near = [t + " more" for t in texts]
+    docs = [(1, texts[0]), (1, texts[1]), (1, near[0]), (1, texts[0]), (None, near[1]), (None, texts[2]), (None, near[2]), (2, texts[3]), (None, near[3]), (5, None), (5, None), (None, "")]
+    df = spark.createDataFrame([(*d, f"row {i}") for i, d in enumerate(docs)], "doc_id long, text string, name string")
+    results = [sorted((tuple(r) for r in ngram_jaccard.first_of_each(df.repartition(n, "name")).collect()), key=repr) for n in (1, 4)]
+    assert results[0] == results[1]
+    kept = [(k, next((i for i in range(4) if t in (texts[i], near[i])), None)) for k, t, _ in results[0]]
+    assert sorted(kept, key=repr) == sorted([(1, 0), (1, 1), (None, 2), (2, 3), (5, None), (5, None), (None, None)], key=repr)
+
+
 def test_runs_reach_the_recall():
     assert ngram_jaccard.runs_for(0.99) < ngram_jaccard.runs_for(0.999999) <= 6
 
