@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators and their SQL twins."""
+"""The registered queries of the operators and their SQL twins."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_corpus", "queries_web")
+MODULES = ("queries_corpus", "queries_web", "queries_models")
 
 
 def _merged(attribute: str) -> dict:
