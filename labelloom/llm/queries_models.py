@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import spelling
+from . import hard_negatives, spelling, toxicity
 from .common import sql_text, table
 from .queries_corpus import CRC32_TABLE_SQL, crc32_sql
 
@@ -50,5 +50,45 @@ SELECT formed.word, formed.form, chain.root, formed.n, formed.n_near, formed.for
 FROM formed JOIN chain ON chain.word = formed.word JOIN formed AS ends ON ends.word = chain.root WHERE ends.form IS NULL
 """
 
-QUERIES = {"op12_spelling": op12_spelling}
-ORACLES = {"op12_spelling": OP12_SQL}
+
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").filter(hard_negatives.valid(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = f"""
+WITH used AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.rid, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM used a JOIN used b ON a.vec_id % 100 = 0 AND a.rid <> b.rid
+),
+near AS (
+  SELECT anchor, anchor_id, rid AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, rid) <= {hard_negatives.POSITIVES}
+)
+SELECT near.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN scored ON scored.anchor = near.anchor AND NOT same
+  AND {hard_negatives.LOW} * positive_score <= {hard_negatives.SCALE} * score AND {hard_negatives.SCALE} * score <= {hard_negatives.HIGH} * positive_score
+WINDOW w AS (PARTITION BY near.anchor, positive ORDER BY score DESC, vec_id NULLS LAST, rid)
+QUALIFY row_number() OVER w <= {hard_negatives.NEGATIVES}
+"""
+
+
+# Documents whose key's checksum leaves no remainder are held out.
+LEARNT = "crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 5 <> 0"
+
+
+def op11_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    out = toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"), trained=LEARNT)
+    return out.select("doc_id", (~F.expr(LEARNT)).alias("held_out"), "score", "predicted", "hits")
+
+
+QUERIES = {"op11_toxicity": op11_toxicity, "op12_spelling": op12_spelling, "op13_hard_negatives": op13_hard_negatives}
+ORACLES = {"op12_spelling": OP12_SQL, "op13_hard_negatives": OP13_SQL}
