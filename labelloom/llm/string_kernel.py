@@ -16,7 +16,7 @@ import numpy as np
 # (letters of a subsequence, longest span): spans above the number of letters allow gaps.
 ORDERS = ((3, 6), (4, 7))
 # Weight of one character of span.
-DECAY = 0.6
+DECAY = 0.85
 BITS = 20
 # Longer words are seen through overlapping windows of this many characters.
 WINDOW = 32
@@ -97,12 +97,18 @@ def scores(words: Sequence[str], weight: np.ndarray, bias: float) -> np.ndarray:
 
 def gram(words: Sequence[str], landmarks: Sequence[str]) -> np.ndarray:
     """Kernel of each word with each landmark."""
-    dense = np.zeros((len(landmarks), 1 << BITS), np.float32)
-    for i, (places, values) in enumerate(features(landmarks)):
-        dense[i, places] = values
+    marks = features(landmarks)
+    used = np.unique(np.concatenate([p for p, _ in marks])) if marks else np.zeros(0, np.int32)
+    # a row per place that a landmark has, and one of zeros for all others
+    table = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+    for i, (places, values) in enumerate(marks):
+        table[np.searchsorted(used, places), i] = values
+    row = np.full(1 << BITS, len(used), np.int32)
+    row[used] = np.arange(len(used))
     out = np.zeros((len(words), len(landmarks)))
-    for i, (places, values) in enumerate(features(words)):
-        out[i] = dense[:, places] @ values
+    for part, places, weights in _by_length(words):
+        for j, p in zip(part, places):
+            out[j] = weights @ table[row[p]]
     return out
 
 

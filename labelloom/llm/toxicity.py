@@ -10,7 +10,7 @@ sentences that hold one, by a logistic curve fitted on the same documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ SAMPLE, LANDMARKS, WORDS, ROUNDS = 8_000, 160, 6_000, 2
 SURE = 5.0
 # Words whose margins a task remembers.
 REMEMBERED = 300_000
+# Characters of text whose new words are scored together.
+CHUNK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 _SPELT = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
@@ -49,7 +51,8 @@ def bare(word: str) -> str:
 
 
 def sentences(text: str) -> list[list[str]]:
-    return [w for s in _SENTENCE.split(text.lower()) if (w := words_of(s))]
+    """Words of the sentences of a lower-cased text."""
+    return [w for s in _SENTENCE.split(text) if (w := words_of(s))]
 
 
 class Memo:
@@ -76,9 +79,11 @@ class Memo:
             return [self.known[w] for w in words]
 
 
-def measures(text: str | None, memo: Memo) -> tuple[float, int]:
-    """Largest margin of a word, and the number of sentences with a word of positive margin; ``CLEAR`` and 0 without words."""
-    text = (text or "").lower()
+def measures(text: str, memo: Memo) -> tuple[float, int]:
+    """Of a lower-cased text the largest margin of a word, and the number of sentences with a word of positive margin.
+
+    ``CLEAR`` and 0 without words.
+    """
     words = words_of(text)
     if not words:
         return CLEAR, 0
@@ -88,6 +93,20 @@ def measures(text: str | None, memo: Memo) -> tuple[float, int]:
     return top, sum(max(memo.of(s)) > 0 for s in sentences(text))
 
 
+def in_chunks(texts: Iterable[str | None], memo: Memo) -> Iterator[str]:
+    """The texts again, lower-cased, in chunks whose words are learnt together: few large steps instead of many small ones."""
+    chunk, size = [], 0
+    for text in texts:
+        chunk.append((text or "").lower())
+        size += len(chunk[-1])
+        if size > CHUNK_CHARS:
+            memo.learn({w for t in chunk for w in words_of(t)})
+            yield from chunk
+            chunk, size = [], 0
+    memo.learn({w for t in chunk for w in words_of(t)})
+    yield from chunk
+
+
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, trained: str | None) -> tuple[DataFrame, dict[int, float]]:
     """``text, label`` of about SAMPLE documents of each class, and how many labelled keys one of them stands for."""
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -131,8 +150,8 @@ def _witnesses(sample: DataFrame, score: Callable[[list[str]], np.ndarray]) -> p
         memo = Memo(score)
         for f in frames:
             out = []
-            for text, label in zip(f["text"], f["label"]):
-                for s in sentences(text or ""):
+            for text, label in zip(in_chunks(f["text"], memo), f["label"]):
+                for s in sentences(text):
                     margins = memo.of(s)
                     at = int(np.argmax(margins))
                     if core := bare(s[at]):
@@ -154,6 +173,33 @@ def _surprise(counts: pd.DataFrame, n1: int, n0: int) -> np.ndarray:
     return (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
 
 
+def train_round(seen: pd.DataFrame, counts: pd.DataFrame) -> tuple[np.ndarray, float] | None:
+    """Weight and bias from the witnesses ``seen`` and the most common words that no sentence of class 1 stands for."""
+    positive = seen[seen["label"] == 1]
+    harmless = counts.loc[~counts["word"].isin(set(positive["word"])), ["word", "n0"]]
+    harmless = harmless.sort_values(["n0", "word"], ascending=[False, True]).head(WORDS // 2)
+    negative = pd.concat([seen.loc[seen["label"] == 0, ["word", "n"]], harmless.rename(columns={"n0": "n"})]).drop_duplicates("word")
+    # a word that sentences of both classes stand for is no insult
+    if not len(positive) or not len(negative):
+        return None
+    half = LANDMARKS // 2
+    marks = [*positive["word"].head(LANDMARKS), *negative["word"].head(half), *harmless["word"].head(half)]
+    space = sk.Nystrom(sorted({sk.marked(w)[0] for w in marks}))
+    # words also with a foreign character in one place or between all letters, so that an insertion as such tells nothing
+    own = [(w, n, 1.0) for w, n in zip(positive["word"], positive["n"])] + [(w, n, -1.0) for w, n in zip(negative["word"], negative["n"])]
+    slips = []
+    for i, (w, n, y) in enumerate(own):
+        inserted = [f"{w[:at]}\x04{w[at:]}" for at in range(1, len(w))] + ["\x04".join(w)]
+        chosen = inserted if y > 0 else [inserted[-1] if i % 2 else inserted[i // 2 % len(inserted)]]
+        slips += [(v, n, y / len(chosen)) for v in chosen if len(w) > 3]
+    words = [w for w, *_ in own + slips]
+    signed = np.array([y for *_, y in own + slips])
+    many = np.log1p(np.array([n for _, n, _ in own + slips], float)) * np.abs(signed)
+    y = np.sign(signed)
+    coefficients, bias = sk.train_svm(space.map([sk.marked(w)[0] for w in words]), y, many)
+    return space.fold(coefficients), bias
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", trained: str | None = None) -> dict:
     """The model: ``weight`` (of every hashed subsequence), ``bias``, ``curve``; or ``share`` alone if a class is missing.
 
@@ -171,22 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     weight, bias = None, 0.0
     for _ in range(1 + ROUNDS):
         seen = _witnesses(sample, score)
-        suspects = set(seen.loc[(seen["label"] == 1), "word"])
-        positive = seen[seen["label"] == 1]
-        # a word that harmless sentences hold as often is no insult
-        harmless = counts.loc[~counts["word"].isin(suspects), ["word", "n0"]].sort_values(["n0", "word"], ascending=[False, True]).head(WORDS // 2)
-        negative = pd.concat([seen.loc[seen["label"] == 0, ["word", "n"]], harmless.rename(columns={"n0": "n"})]).drop_duplicates("word")
-        if not len(positive) or not len(negative):
+        learnt = train_round(seen, counts)
+        if learnt is None:
             break
-        half = LANDMARKS // 2
-        marks = [*positive["word"].head(LANDMARKS), *negative["word"].head(half), *harmless["word"].head(half)]
-        space = sk.Nystrom(sorted({sk.marked(w)[0] for w in marks}))
-        words = [*positive["word"], *negative["word"]]
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        many = np.log1p(np.concatenate([positive["n"], negative["n"]]).astype(float))
-        many /= np.where(y > 0, many[y > 0].sum(), many[y < 0].sum())
-        coefficients, bias = sk.train_svm(space.map([sk.marked(w)[0] for w in words]), y, many * 200)
-        weight = space.fold(coefficients)
+        weight, bias = learnt
         score = _margin(weight, bias)
     if weight is None:
         return {"share": n1 * stands_for[1] / (n1 * stands_for[1] + n0 * stands_for[0])}
@@ -211,7 +245,7 @@ def _measured(df: DataFrame, kept: str, weight: np.ndarray, bias: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(_margin(weight, bias))
         for batch in batches:
-            found = [measures(t.as_py(), memo) for t in batch.column("text")]
+            found = [measures(t, memo) for t in in_chunks((t.as_py() for t in batch.column("text")), memo)]
             columns = [batch.column(kept), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [kept, "top", "hits"])
 
