@@ -74,7 +74,7 @@ def packed_tiles(rows: DataFrame, dims: int) -> DataFrame:
     return dealt.select("row", "id", "label", "vector").mapInArrow(pack, TILE_SCHEMA)
 
 
-def _searched(tiles: DataFrame, anchors: dict[str, np.ndarray], windows: list[np.ndarray], same_label: bool, k: int, scale: int) -> DataFrame:
+def _searched(tiles: DataFrame, anchors: dict[str, np.ndarray], windows: list[np.ndarray], same_label: bool, k: int) -> DataFrame:
     """``anchor, window, row, id, score``: of every tile the first ``k`` rows of each anchor's windows.
 
     ``windows[i]``: the ``(low, high)`` of anchor ``i``. The anchor's own row is never among them.
@@ -99,7 +99,7 @@ def _searched(tiles: DataFrame, anchors: dict[str, np.ndarray], windows: list[np
                     mine = labels == anchors["label"][i]
                     allowed = (mine if same_label else ~mine) & (rows != anchors["row"][i])
                     mine_bounds = [(lo[i], hi[i]) for lo, hi in bounds]
-                    found, _ = rtree.search(tree, mine_bounds, q, allowed, windows[i], scale, k, tie)
+                    found, _ = rtree.search(tree, mine_bounds, q, allowed, windows[i], k, tie)
                     out += [(anchors["row"][i], w, rows[p], None if nulls[p] else ids[p], s) for w, hits in enumerate(found) for s, p in hits]
                 yield pd.DataFrame({n: pd.Series([x[j] for x in out], dtype="Int64") for j, n in enumerate(("anchor", "window", "row", "id", "score"))})
 
@@ -152,11 +152,11 @@ def mine(
             continue
         block = {"row": taken["row"].to_numpy(), "label": taken["label"].to_numpy(), "vector": _padded(taken["vector"].chunk(0), dims)}
         everything = [np.array([(-np.inf, np.inf)])] * taken.num_rows
-        near = stored(_first(_searched(tiles, block, everything, True, positives, 1), positives), "hard_positives")
-        # at most ``positives`` rows for each anchor of the block
+        near = stored(_first(_searched(tiles, block, everything, True, positives), positives), "hard_positives")
+        # at most ``positives`` rows for each anchor of the block; bounds are whole numbers, so nothing is multiplied in the search
         scores = {(r["anchor"], r["rank"]): r["score"] for r in near.select("anchor", "rank", "score").collect()}
-        windows = [[(low * s, high * s) for i in range(1, positives + 1) if (s := scores.get((int(row), i))) is not None] for row in block["row"]]
-        far = _first(_searched(tiles, block, windows, False, negatives, scale), negatives)
+        windows = [[(-(-low * s // scale), high * s // scale) for i in range(1, positives + 1) if (s := scores.get((int(row), i))) is not None] for row in block["row"]]
+        far = _first(_searched(tiles, block, windows, False, negatives), negatives)
         named = near.select("anchor", (F.col("rank") - 1).alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
         ids = numbered.filter(F.col("block") == b).select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"))
         out = far.join(named, ["anchor", "window"]).join(ids, "anchor")

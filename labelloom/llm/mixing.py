@@ -1,9 +1,10 @@
 """Mixing sources to target weights by fitting a word budget.
 
 Of every source whole copies are taken first. What is left of its budget is spent by length: documents are counted
-by exact number of words, every length gives the same share, the longest lengths fill up, and a bounded-knapsack
-dynamic program over the counts hits the last words exactly if any choice can. Which documents of a length are
-taken follows from a hash of their keys.
+by exact number of words, every length gives the same share, and the longest lengths fill up or the shortest give
+back until about ``KNAPSACK_WORDS`` are open. A bounded-knapsack dynamic program over the counts spends these as well
+as any choice can; a smaller budget is spent by it alone. Which documents of a length are taken follows from a hash
+of their keys.
 """
 
 from __future__ import annotations
@@ -57,14 +58,16 @@ def spend(lengths: Sequence[int], counts: Sequence[int], budget: int, knapsack_w
     copies, rest = divmod(budget, size)
     extra = [c * rest // size for c in counts]
     left = rest - sum(n * k for n, k in zip(lengths, extra))
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if left <= knapsack_words:
-            break
-        more = min(counts[i] - extra[i], left // lengths[i])
+    order = sorted(range(len(lengths)), key=lambda i: lengths[i])
+    for i in reversed(order):  # never past the window: the program needs room
+        more = min(counts[i] - extra[i], max(0, left - knapsack_words) // lengths[i])
         extra[i] += more
         left -= more * lengths[i]
+    for i in order:
+        back = min(extra[i], max(0, knapsack_words - left) // lengths[i])
+        extra[i] -= back
+        left += back * lengths[i]
     if left > 0:
-        order = sorted(range(len(lengths)), key=lambda i: lengths[i])
         more = subset_sum([lengths[i] for i in order], [counts[i] - extra[i] for i in order], left)
         for i, m in zip(order, more):
             extra[i] += m
@@ -108,8 +111,9 @@ def _sized(df: DataFrame, key: str, text: str, source: str) -> list[Column]:
 def plan(sized: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """``(sources, limits)`` of a table with source, size and draw.
 
-    ``sources``: ``source, source_size, target, copies``. ``limits``: ``source, size, limit`` for the lengths of which
-    one copy more is taken of the documents whose draw is at most ``limit``.
+    ``sources``: ``source, source_size, target, copies``. ``limits``: ``source, size, limit, need, tied`` for the
+    lengths of which one copy more is taken: of all documents whose draw is below ``limit``, and of ``need`` of the
+    ``tied`` ones that have this draw.
     """
     histogram = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix_lengths")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -133,29 +137,44 @@ def plan(sized: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     partial = fitted.filter("extra > 0 AND extra < n").select(F.col("source").alias("__source"), F.col("size").alias("__size"), "extra")
     at = F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
     chosen = sized.select("source", "size", "__draw").join(checked_broadcast(partial, BROADCAST_ROWS), at).drop("__source", "__size")
-    drawn = stored(chosen.withColumn("__one", F.lit(1)), "mix_draws")
-    ranked = numbered(drawn, ["source", "size"], "__draw", [], "__one", "__rank")
-    cut = ranked.filter("__rank = extra - 1").groupBy("source", "size").agg(F.max("__draw").alias("limit"))
-    whole = fitted.filter("extra > 0 AND extra = n").select("source", "size", F.lit((1 << 52) - 1).cast("long").alias("limit"))
+    # rows with one draw, copies of a row for one, are a single row with their number
+    drawn = stored(chosen.groupBy("source", "size", "extra", "__draw").agg(F.count("*").alias("__tied")), "mix_draws")
+    ranked = numbered(drawn, ["source", "size"], "__draw", [], "__tied", "__before")
+    cut = ranked.filter("__before < extra AND extra <= __before + __tied").select("source", "size", F.col("__draw").alias("limit"), (F.col("extra") - F.col("__before")).alias("need"), F.col("__tied").alias("tied"))
+    none = F.lit(0).cast("long")
+    whole = fitted.filter("extra > 0 AND extra = n").select("source", "size", F.lit(1 << 52).cast("long").alias("limit"), none.alias("need"), none.alias("tied"))
     sources = fitted.select("source", "source_size", "target", "copies").distinct()
     return stored(sources, "mix_sources"), stored(cut.unionByName(whole), "mix_limits")
 
 
 def _decided(rows: DataFrame, sources: DataFrame, limits: DataFrame) -> DataFrame:
-    """Rows with ``source, size, __draw`` and the plan: ``__copies``, ``source_size`` and ``target`` of each."""
+    """Rows with ``source, size, __draw`` and the plan: ``__copies``, ``source_size`` and ``target`` of each.
+
+    Where the limit falls among rows with one draw, they are numbered and only as many as needed are taken.
+    """
     s = sources.select(F.col("source").alias("__s1"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("copies").alias("__base"))
-    m = limits.select(F.col("source").alias("__s2"), F.col("size").alias("__size2"), F.col("limit").alias("__limit"))
+    m = limits.select(F.col("source").alias("__s2"), F.col("size").alias("__size2"), F.col("limit").alias("__limit"), F.col("need").alias("__need"), (F.col("need") < F.col("tied")).alias("__split"))
     out = rows.join(checked_broadcast(s, BROADCAST_ROWS), F.col("__source").eqNullSafe(F.col("__s1")), "left")
     out = out.join(checked_broadcast(m, BROADCAST_ROWS), F.col("__source").eqNullSafe(F.col("__s2")) & (F.col("__size") == F.col("__size2")), "left")
-    more = F.coalesce((F.col("__draw") <= F.col("__limit")).cast("long"), F.lit(0))
-    return out.withColumn("__copies", F.when(F.col("__size") > 0, F.col("__base") + more).otherwise(0)).drop("__s1", "__s2", "__size2", "__limit", "__base")
+    out = out.drop("__s1", "__s2", "__size2")
+    among = F.coalesce(F.col("__split") & (F.col("__draw") == F.col("__limit")), F.lit(False))
+    parts = [out.withColumn("__more", F.col("__draw") <= F.col("__limit"))]
+    if not limits.filter("need < tied").isEmpty():
+        tied = stored(out.filter(among).withColumn("__id", F.monotonically_increasing_id()), "mix_tied")
+        tied = stored(tied.withColumns({"__sub": draw52(F.lit("tie"), F.col("__id")), "__one": F.lit(1)}), "mix_tied")
+        numbers = numbered(tied, ["__source", "__size"], "__sub", ["__id"], "__one", "__before")
+        taken = numbers.withColumn("__more", F.col("__before") < F.col("__need")).drop("__id", "__sub", "__one", "__before")
+        parts = [parts[0].filter(~among), taken]
+    done = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    copies = F.col("__base") + F.coalesce(F.col("__more").cast("long"), F.lit(0))
+    return done.withColumn("__copies", F.when(F.col("__size") > 0, copies).otherwise(0)).drop("__limit", "__base", "__need", "__split", "__more")
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``key, size, source_size, target, taken`` of every row; ``taken`` counts words of all copies that the mix takes.
 
-    Null texts and texts without words have size 0 and are never taken. Null is a source, the last. Equal rows share
-    a draw, so the mix takes the same number of copies of each. An empty table gives no rows; other columns are not
+    Null texts and texts without words have size 0 and are never taken. Null is a source, the last. Of rows with
+    equal key and text as many are taken as the source still needs, whichever these are. An empty table gives no rows; other columns are not
     read. The result depends on the rows alone, not on their order or partitions.
     """
     sized = stored(df.select(*_sized(df, key, text, source)), "mix_sizes")

@@ -92,25 +92,26 @@ def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-def _seeds_sql(table: str, key: str) -> str:
+def _seeds_sql(table: str, key: str, short: str) -> str:
     parts = []
-    for mask in decontaminate.MASKS:
+    for mask in (*decontaminate.MASKS, *decontaminate.SHORT_MASKS):
         seed = " || ' ' || ".join(f"ws[i + {o}]" for o, c in enumerate(mask) if c == "1")
+        where = f"WHERE {short.format(len(mask))}" if mask in decontaminate.SHORT_MASKS else ""
         parts.append(
             f"SELECT {key}, {sql_text(mask)} AS mask, unnest(range(0, len(ws) - {len(mask)} + 1)) AS pos,"
-            f" unnest(list_transform(range(1, len(ws) - {len(mask)} + 2), lambda i: {seed})) AS seed FROM {table}"
+            f" unnest(list_transform(range(1, len(ws) - {len(mask)} + 2), lambda i: {seed})) AS seed FROM {table} {where}"
         )
     return " UNION ALL ".join(parts)
 
 
 OP7_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), {sql_text(WORD)}) AS ws FROM documents),
-items AS (SELECT item_id, ws FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), {sql_text(WORD)}) AS ws FROM benchmark) WHERE len(ws) >= {decontaminate.WINDOW}),
-doc_seeds AS ({_seeds_sql("docs", "rid")}),
-item_seeds AS ({_seeds_sql("items", "item_id")}),
+items AS (SELECT item_id, ws FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), {sql_text(WORD)}) AS ws FROM benchmark) WHERE len(ws) > 0),
+doc_seeds AS ({_seeds_sql("docs", "rid", "EXISTS (SELECT 1 FROM items WHERE len(items.ws) = {})")}),
+item_seeds AS ({_seeds_sql("items", "item_id", "len(ws) = {}")}),
 hits AS (SELECT DISTINCT rid, item_id, d.pos - b.pos AS diagonal FROM doc_seeds d JOIN item_seeds b USING (mask, seed)),
 compared AS (
-  SELECT doc_id, hits.item_id, diagonal, len(docs.ws) AS n, len(items.ws) AS wanted,
+  SELECT doc_id, hits.item_id, diagonal, len(docs.ws) AS n, len(items.ws) AS wanted, least(len(items.ws), {decontaminate.WINDOW}) AS width,
     list_transform(range(1, len(items.ws) + 1), lambda i: CASE WHEN i + diagonal BETWEEN 1 AND len(docs.ws) AND docs.ws[i + diagonal] = items.ws[i] THEN 1 ELSE 0 END) AS same
   FROM hits JOIN docs USING (rid) JOIN items USING (item_id)
 ),
@@ -119,7 +120,8 @@ verified AS (
     CAST(greatest(-diagonal, 0) + diagonal AS BIGINT) AS doc_start, CAST(greatest(-diagonal, 0) AS BIGINT) AS item_start,
     CAST(least(wanted, n - diagonal) - greatest(-diagonal, 0) AS BIGINT) AS length
   FROM compared
-  WHERE list_max(list_transform(range(1, wanted - {decontaminate.WINDOW} + 2), lambda s: list_sum(same[s:s + {decontaminate.WINDOW - 1}]))) >= {decontaminate.MATCHES}
+  WHERE list_max(list_transform(range(1, wanted - width + 2), lambda s: list_sum(same[s:s + width - 1])))
+    >= CASE WHEN width < {decontaminate.WINDOW} THEN width ELSE {decontaminate.MATCHES} END
 )
 SELECT doc_id, item_id, matched, doc_start, item_start, length FROM verified
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_start, item_start DESC, length DESC) = 1

@@ -83,8 +83,8 @@ class Best:
             heapq.heapreplace(self.heap, item)
 
 
-def search(tree: Tree, bounds: Sequence[tuple[np.ndarray, np.ndarray]], query: np.ndarray, allowed: np.ndarray, windows: Sequence[tuple[float, float]], scale: int, k: int, tie: np.ndarray) -> tuple[list[list[tuple[int, int]]], int]:
-    """Per window the first ``k`` allowed rows with ``low <= scale * score <= high``, as ``(score, row)``, and the leaves read.
+def search(tree: Tree, bounds: Sequence[tuple[np.ndarray, np.ndarray]], query: np.ndarray, allowed: np.ndarray, windows: Sequence[tuple[float, float]], k: int, tie: np.ndarray) -> tuple[list[list[tuple[int, int]]], int]:
+    """Per window the first ``k`` allowed rows with ``low <= score <= high``, as ``(score, row)``, and the leaves read.
 
     ``bounds``: the intervals of this query, per level. Boxes are taken from a queue in order of their largest score.
     A box is dropped if for every window it lies outside or strictly below the kth score; an equal one may still
@@ -93,7 +93,7 @@ def search(tree: Tree, bounds: Sequence[tuple[np.ndarray, np.ndarray]], query: n
     best, read = [Best(k) for _ in windows], 0
 
     def wanted(low: float, high: float) -> bool:
-        return any(high * scale >= lo and low * scale <= hi and high >= b.kth() for (lo, hi), b in zip(windows, best))
+        return any(high >= lo and low <= hi and high >= b.kth() for (lo, hi), b in zip(windows, best))
 
     top = len(tree.levels) - 1
     queue = [(-bounds[top][1][0], top, 0)]
@@ -111,9 +111,9 @@ def search(tree: Tree, bounds: Sequence[tuple[np.ndarray, np.ndarray]], query: n
         read += 1
         part = slice(node * LEAF, (node + 1) * LEAF)
         scores = tree.vectors[part] @ query
-        scaled, free = scores * scale, allowed[part]
+        free = allowed[part]
         for (lo, hi), b in zip(windows, best):
-            for i in np.flatnonzero(free & (scaled >= lo) & (scaled <= hi) & (scores >= b.kth())):
+            for i in np.flatnonzero(free & (scores >= lo) & (scores <= hi) & (scores >= b.kth())):
                 b.add(int(scores[i]), int(tie[part][i]))
     place = np.argsort(tie)
     return [[(s, int(place[-t])) for s, t in b.heap] for b in best], read

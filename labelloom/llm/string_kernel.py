@@ -39,6 +39,12 @@ def marked(word: str) -> list[str]:
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
+def readings(word: str) -> list[str]:
+    """What of a word is scored: the word, and its letters and digits alone if other characters stand between them."""
+    letters = "".join(filter(str.isalnum, word))
+    return marked(word) if letters == word else marked(word) + marked(letters)
+
+
 def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of all subsequences of words of one length: ``(words, subsequences)`` and ``(subsequences,)``."""
     places, weights = [], []
@@ -83,8 +89,8 @@ def features(words: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def scores(words: Sequence[str], weight: np.ndarray, bias: float) -> np.ndarray:
-    """Margin of each word under one weight for every place; of a long word the largest of its windows."""
-    pieces = [marked(w) for w in words]
+    """Margin of each word under one weight for every place: the largest of its readings and windows."""
+    pieces = [readings(w) for w in words]
     flat = [p for ps in pieces for p in ps]
     out = np.empty(len(flat))
     for part, places, weights in _by_length(flat):

@@ -1,8 +1,8 @@
 """Toxicity of texts by a support vector machine over a gapped subsequence kernel, learnt from labelled documents.
 
-The label of a document holds for its sentences only as a whole: some word of some sentence is the insult. So a
-sentence stands for its most suspicious word (its witness): at first by how much more documents of class 1 have the
-word, then by the machine learnt so far. Witnesses of sentences of both classes, with the landmarks chosen among
+The label of a document holds for its sentences only as a whole: some word of some sentence is the insult. So
+sentences stand for their suspicious words (their witnesses): at first by how much more documents of class 1 have the
+word, then by the machine learnt so far. A sentence of class 1 gives all of them, one of class 0 the worst. Witnesses of sentences of both classes, with the landmarks chosen among
 them, train the next machine. A document's score follows from its most suspicious word and from the number of
 sentences that hold one, by a logistic curve fitted on the same documents.
 """
@@ -26,13 +26,15 @@ from .common import draw52
 SAMPLE, LANDMARKS, WORDS, ROUNDS = 8_000, 160, 6_000, 2
 # How far above chance a word's share in class 1 must be to begin with, in standard deviations.
 SURE = 5.0
+# How many times as common in class 1 an insult must be; what both classes use is none.
+ODDS = 10.0
 # Words whose margins a task remembers.
 REMEMBERED = 300_000
 # Characters of text whose new words are scored together.
 CHUNK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
-_SPELT = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+_SPELT = re.compile(r"\b\w(?:\s\w){2,}\b")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 CLEAR = -3.0
 
@@ -153,9 +155,12 @@ def _witnesses(sample: DataFrame, score: Callable[[list[str]], np.ndarray]) -> p
             for text, label in zip(in_chunks(f["text"], memo), f["label"]):
                 for s in sentences(text):
                     margins = memo.of(s)
-                    at = int(np.argmax(margins))
-                    if core := bare(s[at]):
-                        out.append((label, core, margins[at]))
+                    top = max(margins)
+                    # every suspicious word speaks for class 1, the most suspicious one for class 0
+                    chosen = {w: m for w, m in zip(s, margins) if (m > 0 if label else m == top)}
+                    for w, m in list(chosen.items())[: None if label else 1]:
+                        if core := bare(w):
+                            out.append((label, core, m))
             yield pd.DataFrame(out, columns=["label", "word", "margin"])
 
     found = sample.mapInPandas(run, "label int, word string, margin double")
@@ -175,23 +180,22 @@ def _surprise(counts: pd.DataFrame, n1: int, n0: int) -> np.ndarray:
 
 def train_round(seen: pd.DataFrame, counts: pd.DataFrame) -> tuple[np.ndarray, float] | None:
     """Weight and bias from the witnesses ``seen`` and the most common words that no sentence of class 1 stands for."""
-    positive = seen[seen["label"] == 1]
+    shared = set(counts.loc[counts["odds"] < ODDS, "word"])
+    positive = seen[(seen["label"] == 1) & ~seen["word"].isin(shared)]
     harmless = counts.loc[~counts["word"].isin(set(positive["word"])), ["word", "n0"]]
     harmless = harmless.sort_values(["n0", "word"], ascending=[False, True]).head(WORDS // 2)
     negative = pd.concat([seen.loc[seen["label"] == 0, ["word", "n"]], harmless.rename(columns={"n0": "n"})]).drop_duplicates("word")
-    # a word that sentences of both classes stand for is no insult
     if not len(positive) or not len(negative):
         return None
     half = LANDMARKS // 2
     marks = [*positive["word"].head(LANDMARKS), *negative["word"].head(half), *harmless["word"].head(half)]
     space = sk.Nystrom(sorted({sk.marked(w)[0] for w in marks}))
-    # words also with a foreign character in one place or between all letters, so that an insertion as such tells nothing
+    # words also with a foreign character in them, so that an insertion as such tells nothing
     own = [(w, n, 1.0) for w, n in zip(positive["word"], positive["n"])] + [(w, n, -1.0) for w, n in zip(negative["word"], negative["n"])]
     slips = []
     for i, (w, n, y) in enumerate(own):
-        inserted = [f"{w[:at]}\x04{w[at:]}" for at in range(1, len(w))] + ["\x04".join(w)]
-        chosen = inserted if y > 0 else [inserted[-1] if i % 2 else inserted[i // 2 % len(inserted)]]
-        slips += [(v, n, y / len(chosen)) for v in chosen if len(w) > 3]
+        places = range(1, len(w)) if y > 0 else [1 + i % (len(w) - 1)] if len(w) > 3 else []
+        slips += [(f"{w[:at]}\x04{w[at:]}", n, y / 2) for at in places if len(w) > 3]
     words = [w for w, *_ in own + slips]
     signed = np.array([y for *_, y in own + slips])
     many = np.log1p(np.array([n for _, n, _ in own + slips], float)) * np.abs(signed)
@@ -212,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return {"share": 1.0 if n1 else 0.0}
     counts = _word_counts(sample)
     counts["z"] = _surprise(counts, n1, n0)
-    sure = {w: z / SURE - 1 for w, z in zip(counts["word"], counts["z"]) if z > SURE}
+    counts["odds"] = (counts["n1"] / n1) / ((counts["n0"] + 0.5) / n0)
+    sure = {w: z / SURE - 1 for w, z, o in zip(counts["word"], counts["z"], counts["odds"]) if z > SURE and o >= ODDS}
     score = lambda words: np.array([sure.get(w, -1.0) for w in words])
     weight, bias = None, 0.0
     for _ in range(1 + ROUNDS):

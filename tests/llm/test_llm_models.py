@@ -127,7 +127,7 @@ def test_search_prunes_and_keeps_ties():
                 part = scores[leaf * 64 : leaf * 64 + 64]
                 assert lo[0][leaf] <= part.min() and part.max() <= hi[0][leaf]
         top = scores.max()
-        found, read = rtree.search(tree, bounds, q.astype(float), np.ones(2560, bool), [(-np.inf, np.inf), (0.3 * top, 0.9 * top)], 1, 10, tie)
+        found, read = rtree.search(tree, bounds, q.astype(float), np.ones(2560, bool), [(-np.inf, np.inf), (0.3 * top, 0.9 * top)], 10, tie)
         want = sorted(range(2560), key=lambda i: (-scores[i], tie[i]))
         assert sorted(i for _, i in found[0]) == sorted(want[:10])
         assert sorted(i for _, i in found[1]) == sorted([i for i in want if 0.3 * top <= scores[i] <= 0.9 * top][:10])
@@ -167,7 +167,10 @@ def test_kernel_and_folding():
     space = sk.Nystrom(words[:5])
     coefficients = np.arange(1.0, space.root.shape[1] + 1)
     direct = space.map(words) @ coefficients + 0.5
-    assert sk.scores(["idiot", "id-iot", "i.d.i.o.t", "patio", "worthless", "x", ""], space.fold(coefficients), 0.5) == pytest.approx(direct, abs=1e-4)
+    folded = sk.scores(["idiot", "id-iot", "i.d.i.o.t", "patio", "worthless", "x", ""], space.fold(coefficients), 0.5)
+    # words with marks inside are read without them as well
+    direct[1:3] = np.maximum(direct[1:3], direct[0])
+    assert folded == pytest.approx(direct, abs=1e-4)
 
 
 def test_subsequences_are_weighed_by_span():
@@ -189,7 +192,7 @@ def test_machine_and_curve():
     assert curve[0] > 1
 
 
-CLEAN = ["the garden was quiet in the morning", "they read a long book about rivers", "bread and cheese are on the table", "a small boat came home late", "we patiently wait for the tram"]
+CLEAN = ["the garden was quiet in the morning", "they read a long book about rivers", "bread and cheese are on the table", "a small boat came home late", "we patiently wait for the tram", "you can go now"]
 
 
 def corpus(rng, n):
@@ -206,7 +209,7 @@ def corpus(rng, n):
 
 def test_gapped_insults_are_found(spark):
     rows, marks = corpus(random.Random(4), 300)
-    planted = ["you blar.ghead", "you snork-wit, go", "what a d*understpate", "b l a r g h e a d", "he is a snorkxwit"]
+    planted = ["you blar.ghead", "you snork-wit, go", "what a d*underpate", "b l a r g h e a d", "he is a snorkxwit"]
     rows += [(1_000 + i, f"{CLEAN[0]}. {p}. {CLEAN[1]}") for i, p in enumerate(planted)]
     rows += [(2_000, None), (2_001, ""), (2_002, "  \n"), (None, "you blarghead"), (None, None), (2_003, "snow work with heads"), (2_004, f"{CLEAN[2]} " * 20_000 + "snorkwit"), (2_005, "a" * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("z") for c in ("score", "top", "hits", "kept", "toxic", "label", "word")})
