@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import CLASSES
-from .tables import first_per_key, union_rows
+from ..session import stored
+from .tables import first_per_key
 
 # Titles of the search codes.
 SEARCH_TITLES = {"BayesSearch": "Bayesian Optimization", "RandomSearch": "Random Search", "GridSearch": "Grid Search"}
@@ -86,20 +87,21 @@ def parse_log(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def log_events(events: DataFrame, bucket: str = "hour") -> DataFrame:
-    """Add the seconds since the previous event of the same logger.
+def log_events(events: DataFrame, rows_per_range: int = 1_000_000) -> DataFrame:
+    """Add the seconds since the previous event of the same logger, as a carry scan.
 
-    One logger may write a third of all lines. The lag therefore runs per
-    logger and ``bucket`` of time; only the first event of a bucket looks up the
-    last event before it, in a table with one row per logger and bucket.
+    One logger may write most lines, and most of them within an hour. Events are therefore dealt by ranges of (logger,
+    time), each of about ``rows_per_range`` rows whatever the loggers; the lag runs inside a range, and the first event
+    of a logger in a range takes the last one before it from a table with one row per range and logger.
     """
-    cut = events.withColumn("cut", F.date_trunc(bucket, "ts"))
-    inside = Window.partitionBy("logger", "cut").orderBy("ts", "message")
-    lagged = cut.withColumn("prev", F.lag("ts").over(inside))
-    last = cut.groupBy("logger", "cut").agg(F.max("ts").alias("last"))
-    earlier = last.select("logger", "cut", F.lag("last").over(Window.partitionBy("logger").orderBy("cut")).alias("before"))
-    first = lagged.filter(F.col("prev").isNull()).join(earlier, ["logger", "cut"], "left")
-    rest = lagged.filter(F.col("prev").isNotNull()).withColumn("before", F.col("prev"))
-    both = union_rows(rest, first)
-    micros = F.unix_micros("ts") - F.unix_micros("before")
-    return both.select("ts", "level", "logger", "message", (micros / 1e6).alias("seconds"))
+    given = stored(events.select("ts", "level", "logger", "message").withColumn("id", F.monotonically_increasing_id()), "log_lines")
+    ranges = max(1, -(-given.count() // rows_per_range))
+    # the id parts equal lines, so that no value makes a range of its own
+    dealt = given.repartitionByRange(ranges, "logger", "ts", "message", "id").withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "log_ranges")
+    lagged = dealt.withColumn("prev", F.lag("ts").over(Window.partitionBy("part", "logger").orderBy("ts", "message", "id")))
+    last = dealt.groupBy("part", "logger").agg(F.max("ts").alias("last"))
+    carry = last.select("part", "logger", F.lag("last").over(Window.partitionBy("logger").orderBy("part")).alias("before"))
+    joined = lagged.join(carry, ["part", "logger"])
+    micros = F.unix_micros("ts") - F.unix_micros(F.coalesce("prev", "before"))
+    return joined.select("ts", "level", "logger", "message", (micros / 1e6).alias("seconds"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import hash_int, hash_order
 from ..schemas import UNANNOTATED
-from .tables import lookup_join, union_rows
+from ..session import stored
+from .tables import join_hot_aware, lookup_join, union_rows
 
 
 def hash_at_rank(df: DataFrame, hashed: str, rank: int, digits: int = 4) -> str:
@@ -90,5 +91,55 @@ def balanced_sample(df: DataFrame, key: str, label: str, seed: int = 42) -> Data
     return drawn.withColumn("copy", F.explode_outer(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
 
 
+def _hash52(key: Column, seed: str) -> Column:
+    return F.conv(F.substring(hash_order(key, seed), 1, 13), 16, 10).cast("bigint")
+
+
+def numbered_rows(df: DataFrame, key: str, group: str, seed: int = 42, rows_per_range: int = 1_000_000) -> DataFrame:
+    """Add ``pos``: the place of a row in its group from 0, by the hash of its key and then the key.
+
+    Rows are numbered in ranges of the hash, each by its own task, and a range starts where the sizes of the ranges
+    before end; so a group of any size is spread.
+    """
+    rows = stored(df.withColumn("_h", _hash52(F.col(key), f"{seed}:order")), "numbered")
+    ranges = max(1, -(-rows.count() // rows_per_range))
+    parted = rows.withColumn("_range", F.floor(F.col("_h") / F.lit((1 << 52) / ranges)).cast("int"))
+    sizes = parted.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_g", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranked = parted.withColumn("_i", F.row_number().over(Window.partitionBy(group, "_range").orderBy("_h", key)) - 1)
+    at = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r"))
+    return ranked.join(offsets, at).withColumn("pos", (F.col("_offset") + F.col("_i")).cast("bigint")).drop("_h", "_range", "_g", "_r", "_n", "_offset", "_i")
+
+
+def weighted_draw(df: DataFrame, key: str, label: str, n: int | None = None, seed: int = 42) -> DataFrame:
+    """``draw`` and the columns of ``df``: exactly ``n`` rows (all as many as there are) drawn with replacement.
+
+    A row's chance is the inverse share of its class, so a draw is a class, each equally likely, and a row of it, each
+    equally likely; both come from hashes of the draw's number. Rows without a label are never drawn. Draws stay rows
+    of their own: the copies of one row, if its class is small, are spread and meet a broadcast of that row.
+    """
+    spark = df.sparkSession
+    rows = df.filter(F.col(label).isNotNull())
+    numbered = stored(numbered_rows(rows, key, label, seed), "numbered")
+    classes = [(r[label], r["n"]) for r in numbered.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()]
+    total = sum(c for _, c in classes) if n is None else n
+    if not classes:
+        return rows.select(F.lit(0).cast("bigint").alias("draw"), "*").limit(0)
+    names, sizes = F.array(*[F.lit(c) for c, _ in classes]), F.array(*[F.lit(c).cast("bigint") for _, c in classes])
+    unit = float(1 << 52)
+    at = F.floor(_hash52(F.col("draw"), f"{seed}:class") / unit * len(classes)).cast("int")
+    drawn = spark.range(total).select(F.col("id").alias("draw")).withColumn("_at", at)
+    drawn = drawn.select(
+        "draw",
+        F.struct(
+            F.get(names, F.col("_at")).alias("c"),
+            F.floor(_hash52(F.col("draw"), f"{seed}:row") / unit * F.get(sizes, F.col("_at"))).cast("bigint").alias("p"),
+        ).alias("_spot"),
+    )
+    spots = numbered.withColumn("_spot", F.struct(F.col(label).alias("c"), F.col("pos").alias("p"))).drop("pos")
+    return join_hot_aware(drawn, spots, "_spot", "inner").select("draw", *df.columns)
+
+
 def head_limit(df: DataFrame, key: str, n: int = 1_000) -> DataFrame:
     return df.orderBy(key).limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("catalog_tables", "catalog_clean", "catalog_text", "catalog_votes", "catalog_eval", "catalog_stream")
+MODULES = ("catalog_tables", "catalog_clean", "catalog_text", "catalog_votes", "catalog_eval", "catalog_models", "catalog_stream")
 
 
 def _merged(attribute: str) -> dict:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import tokenize, truncate_tokens
-from ..operators import clean as K, lang as L
-from .inputs import annotated, deletes, documents, segments, table
+from ..operators import gazetteer as G, clean as K, lang as L
+from .inputs import deletes, documents, segments, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -123,6 +123,38 @@ ORACLES["remove_gazetteer"] = f"""
 """
 
 
+# Names of one to four words: every fifth place of a benchmark text begins one.
+_WIDTH = "1 + place % 4"
+
+
+def remove_names(spark, d):
+    """Passages of the benchmark texts play the part of names of several words."""
+    toks = table(spark, d, "benchmark").select(tokenize(F.col("text")).alias("t"))
+    starts = toks.select("t", F.explode(F.sequence(F.lit(0), F.size("t") - 1, F.lit(5))).alias("place"))
+    names = starts.select(F.array_join(F.slice("t", F.col("place") + 1, F.expr(_WIDTH)), " ").alias("name"))
+    return G.remove_names(_tokens(spark, d), names, "doc_id", "tokens")
+
+
+QUERIES["remove_names"] = remove_names
+ORACLES["remove_names"] = f"""
+    WITH RECURSIVE {_EXPLODED_SQL},
+    toks AS (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents),
+    b AS (SELECT {_TOKENS_SQL} AS t FROM benchmark),
+    s AS (SELECT t, unnest(range(0, len(t), 5)) AS place FROM b),
+    g AS (SELECT DISTINCT t[place + 1:place + {_WIDTH}] AS name FROM s),
+    m AS MATERIALIZED (SELECT doc_id, pos, max(len(name)) AS width FROM tok JOIN toks USING (doc_id) JOIN g ON name[1] = token AND t[pos:pos + len(name) - 1] = name GROUP BY 1, 2),
+    cut AS (
+      SELECT doc_id, 0 AS pos, 1 AS until FROM toks
+      UNION ALL
+      SELECT doc_id, pos, until FROM (
+        SELECT m.doc_id, m.pos, m.pos + width AS until, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.pos) AS k
+        FROM cut JOIN m ON m.doc_id = cut.doc_id AND m.pos >= cut.until) x WHERE k = 1),
+    gone AS (SELECT doc_id, unnest(range(pos, until)) AS pos FROM cut WHERE pos > 0),
+    r AS (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM tok ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+    SELECT doc_id, coalesce(r.text, '') AS text FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
 def lemmatize_lookup(spark, d):
     """Dictionary derived from the benchmark words: a long word has its first five characters as lemma."""
     words = table(spark, d, "benchmark").select(F.explode_outer(tokenize(F.col("text"))).alias("token")).distinct()
@@ -140,9 +172,9 @@ ORACLES["lemmatize_lookup"] = f"""
 
 
 def detect_language(spark, d):
-    """Profiles from the annotated documents, applied to all documents."""
+    """Profiles from all documents with a language, applied to all documents."""
     docs = documents(spark, d).select("doc_id", "lang", "text")
-    model = L.train_language_model(docs.join(annotated(spark, d), "doc_id", "left_semi"), "text", "lang")
+    model = L.train_language_model(docs, "text", "lang")
     return model.detect(docs, "text").select("doc_id", "lang_pred", F.round("lang_score", 6).alias("lang_score"))
 
 
@@ -152,10 +184,10 @@ DETECT_SQL = """
       SELECT doc_id, lang, concat(' ', unnest(regexp_extract_all(lower(text), '\\p{L}+')), ' ') AS w FROM documents),
     g AS (SELECT doc_id, lang, substr(w, CAST(i AS BIGINT), 3) AS gram FROM (SELECT doc_id, lang, w, unnest(generate_series(1, length(w) - 2)) AS i FROM w) x),
     c AS (SELECT doc_id, lang, gram, count(*) AS n FROM g GROUP BY 1, 2, 3),
-    train AS (SELECT * FROM c WHERE doc_id IN (SELECT doc_id FROM labels)),
-    vocab AS (SELECT gram FROM train GROUP BY 1 ORDER BY sum(n) DESC, gram LIMIT 2000),
-    tl AS (SELECT lang, gram, sum(n) AS n FROM train JOIN vocab USING (gram) GROUP BY 1, 2),
-    langs AS (SELECT lang, count(*) AS docs FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1),
+    train AS (SELECT * FROM c WHERE lang IS NOT NULL),
+    vocab AS (SELECT DISTINCT gram FROM train),
+    tl AS (SELECT lang, gram, sum(n) AS n FROM train GROUP BY 1, 2),
+    langs AS (SELECT lang, count(*) AS docs FROM documents WHERE lang IS NOT NULL GROUP BY 1),
     prior AS (SELECT lang, ln((docs + 1.0) / ((SELECT sum(docs) FROM langs) + (SELECT count(*) FROM langs))) AS p FROM langs),
     tot AS (SELECT lang, coalesce(sum(n), 0) AS n FROM langs LEFT JOIN tl USING (lang) GROUP BY 1),
     theta AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import classify as C, labelmodel as M, metrics as E, reports as R, search as H, splits as S, votes as V
+from ..operators import brackets as H2, classify as C, labelmodel as M, metrics as E, reports as R, search as H, splits as S, votes as V
 from ..schemas import CARDINALITY, CLASSES, UNANNOTATED
 from ..session import scratch_path, stored
 from .catalog_votes import ANN_SQL, MAJORITY_SQL, REGISTRY, partial_model, total_votes, votes
@@ -75,6 +75,25 @@ ORACLES["balanced_sample"] = """
     SELECT doc_id, lang, round(weight, 6) AS weight, CAST(unnest(range(1, k + 1)) AS INT) AS copy FROM c WHERE k > 0"""
 
 
+def weighted_draw(spark, d):
+    """As many documents as there are, drawn with replacement, every language equally likely."""
+    return S.weighted_draw(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang")
+
+
+def _hash52(key: str, seed: str) -> str:
+    return f"CAST(concat('0x', substr(md5(concat('{seed}:', CAST({key} AS VARCHAR))), 1, 13)) AS BIGINT)"
+
+
+QUERIES["weighted_draw"] = weighted_draw
+ORACLES["weighted_draw"] = f"""
+    WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_hash52('doc_id', '42:order')}, doc_id) - 1 AS pos FROM documents WHERE lang IS NOT NULL),
+    c AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang) - 1 AS i FROM r GROUP BY 1),
+    d AS (SELECT unnest(range((SELECT count(*) FROM r))) AS draw),
+    s AS (SELECT draw, lang, CAST(floor({_hash52('draw', '42:row')} / 4503599627370496.0 * n) AS BIGINT) AS pos
+          FROM d JOIN c ON c.i = floor({_hash52('draw', '42:class')} / 4503599627370496.0 * (SELECT count(*) FROM c)))
+    SELECT draw, doc_id, lang FROM s JOIN r USING (lang, pos)"""
+
+
 def head_limit(spark, d):
     events = table(spark, d, "events").select("event_id", "event_type", "value")
     return S.head_limit(events, "event_id", 1_000)
@@ -181,16 +200,10 @@ QUERIES["search_random"] = search_random
 
 
 def search_halving(spark, d):
-    """Four classifier configurations, one survivor per round; the budget is the number of iterations."""
-    train, test = train_and_test(spark, d)
-
-    def fit_and_score(config: dict, budget: int) -> float:
-        model = C.clf_train(train, "text", "label", max_iter=budget, reg=config["reg"], n_features=config["n_features"])
-        return C.clf_evaluate(model, test, "label").first()["accuracy"]
-
-    configs = [{"reg": r, "n_features": n} for r in (1e-3, 1e-1) for n in (1 << 10, 1 << 12)]
-    records = H.search_halving(configs, fit_and_score, eta=4, budget=2, max_budget=8)
-    return spark.createDataFrame(records, "round int, config_id int, budget int, score double, reg double, n_features int")
+    """39 drawn classifier configurations in three brackets, trained in passes, the best third of each rung going on."""
+    docs = documents(spark, d).select("doc_id", "lang")
+    train, test = (H2.hashed_features(part.join(docs, "doc_id"), "doc_id", F.col("text"), F.col("lang"), "label") for part in train_and_test(spark, d))
+    return H2.search_brackets(train, test, H2.sampled_configs(spark, sum(b.start for b in H2.BRACKETS)))
 
 
 QUERIES["search_halving"] = search_halving

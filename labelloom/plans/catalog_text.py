@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import ngrams_1_2, remove_stopwords, tokenize, top_terms, unnest
-from ..operators import centroids as N, features as X, topics as P
+from ..operators import centroids as N, coherence as W, features as X, topicmodel as T, topics as P
 from ..operators.votes import LFRegistry, apply_lfs
 from ..schemas import CARDINALITY
 from ..session import stored
@@ -73,18 +73,79 @@ ORACLES["topic_terms_doc"] = f"""
     SELECT doc_id, coalesce(t, '') AS topic FROM documents LEFT JOIN r USING (doc_id)"""
 
 
-def topic_model_corpus(spark, d):
-    docs = kept_tokens(spark, d).select("doc_id", "tokens")
-    return P.topic_model_terms(P.fit_topic_model(docs, "tokens", k=2))
+# Corpus topics: two, after six iterations.
+TOPICS, TOPIC_ROUNDS, ALPHA, BETA = 2, 6, 0.1, 0.01
 
 
-def dominant_topic(spark, d):
-    docs = kept_tokens(spark, d).select("doc_id", "tokens")
-    return P.dominant_topic(P.fit_topic_model(docs, "tokens", k=2), docs).select("doc_id", "topic", F.array_max("mixture").alias("share"))
+def corpus_topics(spark, d) -> tuple[T.TopicModel, DataFrame]:
+    docs = stored(kept_tokens(spark, d).select("doc_id", "tokens"), "tokens")
+    return T.fit_topics(docs, "doc_id", "tokens", TOPICS, TOPIC_ROUNDS, ALPHA, BETA), docs
+
+
+def topic_model_corpus(spark, d):
+    return T.topic_terms(corpus_topics(spark, d)[0]).withColumn("weight", F.round("weight", 6))
 
 
+def dominant_topic(spark, d):
+    model, docs = corpus_topics(spark, d)
+    return T.dominant_topic(model, docs, "doc_id").withColumn("share", F.round("share", 6))
+
+
+def coherence_windows(spark, d):
+    """The corpus topics scored on windows of 110 tokens."""
+    model, docs = corpus_topics(spark, d)
+    scores = W.coherence_windows(T.topic_terms(model), docs, "doc_id", "tokens")
+    return scores.select("topic", "n_terms", F.round("npmi", 6).alias("npmi"), F.round("c_v", 6).alias("c_v"))
+
+
+def _topic_model_sql() -> str:
+    """CTEs ``tt`` (topic, rank, term, weight) and ``shares`` (doc_id, s0 ...): the same iterations in SQL."""
+    ks = range(TOPICS)
+    cols = lambda f: ", ".join(f(i) for i in ks)
+    draw = lambda i: f"1 + CAST(concat('0x', substr(md5(concat('42:{i}:', term)), 1, 8)) AS BIGINT) / 4294967296.0"
+    out = f"""{KEPT_SQL},
+    counted AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM kept GROUP BY 1, 2),
+    raw AS (SELECT term, {cols(lambda i: f"CAST({draw(i)} AS DOUBLE) AS r{i}")} FROM (SELECT DISTINCT term FROM counted) x),
+    t_0 AS MATERIALIZED (SELECT term, {cols(lambda i: f"r{i} / sum(r{i}) OVER () AS w{i}")} FROM raw),
+    d_0 AS MATERIALIZED (SELECT DISTINCT doc_id, {cols(lambda i: f"1.0::DOUBLE AS s{i}")} FROM counted)"""
+    for n in range(TOPIC_ROUNDS):
+        whole = " + ".join(f"w{i} * s{i}" for i in ks)
+        out += f""",
+    q_{n} AS MATERIALIZED (SELECT doc_id, term, {cols(lambda i: f"tf * w{i} * s{i} / ({whole}) AS q{i}")} FROM counted JOIN t_{n} USING (term) JOIN d_{n} USING (doc_id)),
+    d_{n + 1} AS MATERIALIZED (SELECT doc_id, {cols(lambda i: f"(sum(q{i}) + {ALPHA}) / (sum({' + '.join(f'q{j}' for j in ks)}) + {ALPHA * TOPICS}) AS s{i}")} FROM q_{n} GROUP BY 1),
+    m_{n} AS (SELECT term, {cols(lambda i: f"sum(q{i}) AS r{i}")} FROM q_{n} GROUP BY 1),
+    t_{n + 1} AS MATERIALIZED (SELECT term, {cols(lambda i: f"(r{i} + {BETA}) / (sum(r{i}) OVER () + {BETA} * count(*) OVER ()) AS w{i}")} FROM m_{n})"""
+    long = " UNION ALL ".join(f"SELECT {i} AS topic, term, w{i} AS weight FROM t_{TOPIC_ROUNDS}" for i in ks)
+    return out + f""",
+    tt AS MATERIALIZED (SELECT CAST(topic AS INT) AS topic, CAST(rank AS INT) AS rank, term, weight FROM (
+      SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, {T.DIGITS}) DESC, term) AS rank FROM ({long}) x) y WHERE rank <= 7)"""
+
+
+TOPIC_MODEL_SQL = _topic_model_sql()
+_SHARES = [f"s{i}" for i in range(TOPICS)]
 QUERIES["topic_model_corpus"] = topic_model_corpus
+ORACLES["topic_model_corpus"] = f"WITH {TOPIC_MODEL_SQL} SELECT topic, rank, term, round(weight, 6) AS weight FROM tt"
 QUERIES["dominant_topic"] = dominant_topic
+ORACLES["dominant_topic"] = f"""
+    WITH {TOPIC_MODEL_SQL}
+    SELECT doc_id, CASE WHEN s0 IS NOT NULL THEN CAST(list_position([{', '.join(_SHARES)}], greatest({', '.join(_SHARES)})) - 1 AS INT) END AS topic, round(coalesce(greatest({', '.join(_SHARES)}), 0), 6) AS share
+    FROM documents LEFT JOIN d_{TOPIC_ROUNDS} USING (doc_id)"""
+QUERIES["coherence_windows"] = coherence_windows
+ORACLES["coherence_windows"] = f"""
+    WITH {TOPIC_MODEL_SQL},
+    len AS (SELECT doc_id, max(p) AS n FROM kept GROUP BY 1),
+    spots AS (SELECT doc_id, topic, term, p - 1 AS p, greatest(n - 110, 0) AS last FROM kept JOIN tt USING (term) JOIN len USING (doc_id)),
+    held AS MATERIALIZED (SELECT DISTINCT doc_id, topic, term, unnest(range(greatest(p - 109, 0), least(p, last) + 1)) AS s FROM spots),
+    total AS (SELECT sum(greatest(n - 109, 1)) AS n FROM len),
+    single AS (SELECT topic, term, count(*) AS n FROM held GROUP BY 1, 2),
+    joint AS (SELECT a.topic, a.term AS t1, b.term AS t2, count(*) AS n FROM held a JOIN held b USING (doc_id, topic, s) GROUP BY 1, 2, 3),
+    cells AS (SELECT a.topic, a.term AS t1, b.term AS t2, coalesce(joint.n, 0) / total.n + 1e-12 AS j, a.n / total.n AS p1, b.n / total.n AS p2
+              FROM single a JOIN single b USING (topic) LEFT JOIN joint ON joint.topic = a.topic AND t1 = a.term AND t2 = b.term, total),
+    m AS (SELECT topic, t1, t2, ln(j / (p1 * p2)) / -ln(j) AS m FROM cells),
+    whole AS (SELECT topic, t2, sum(m) AS s FROM m GROUP BY 1, 2),
+    cos AS (SELECT topic, t1, sum(m * s) / sqrt(sum(m * m) * sum(s * s)) AS c FROM m JOIN whole USING (topic, t2) GROUP BY 1, 2)
+    SELECT topic, n_terms, round(npmi, 6) AS npmi, round(c_v, 6) AS c_v
+    FROM (SELECT topic, count(*) AS n_terms, avg(c) AS c_v FROM cos GROUP BY 1) JOIN (SELECT topic, avg(m) AS npmi FROM m WHERE t1 < t2 GROUP BY 1) USING (topic)"""
 
 QUERIES["class_text_concat"] = lambda spark, d: P.class_text_concat(documents(spark, d), "lang", "text", "doc_id", rows_per_part=1000)
 ORACLES["class_text_concat"] = """
@@ -143,22 +204,26 @@ ORACLES["coherence_pairwise"] = """
     FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id JOIN n ON n.label = a.label GROUP BY 1"""
 
 
+# Terms of a document and of a class document that centroids see, before short ones go: the most frequent are short.
+CENTROID_TERMS = 100
+
+
 def topiced(spark, d) -> DataFrame:
     """Documents with topic terms, their features, and the classes whose keywords they contain: a stored stage table."""
     docs = kept_tokens(spark, d)
     votes = apply_lfs(docs, LFRegistry.standard(KEYWORDS, "text"), ["doc_id", "lang", "tokens"])
-    return votes.select("doc_id", "lang", "tokens", top_terms(F.col("tokens")).alias("topic"), *KEYWORD_NAMES)
+    return stored(votes.select("doc_id", "lang", "tokens", top_terms(F.col("tokens"), CENTROID_TERMS).alias("topic"), *KEYWORD_NAMES), "stage")
 
 
 def centroid_parts(spark, d):
     """``(docs, idf, centroids)``: the class documents are the documents that contain a keyword of the class."""
     stage = topiced(spark, d)
     member = F.filter(F.array(*KEYWORD_NAMES), lambda v: v >= 0)
-    class_terms = P.class_topic_terms(stage, member, "tokens", "cluster")
+    class_terms = P.class_topic_terms(stage, member, "tokens", "cluster", CENTROID_TERMS)
     class_docs = class_terms.groupBy("cluster").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda e: e.term).alias("topic")
     )
-    # a few dozen rows: at most 14 terms per class
+    # a few hundred rows: at most CENTROID_TERMS terms per class, and their pairs
     class_tf = stored(X.term_table(class_docs.select("cluster", ngrams_1_2(F.col("topic")).alias("g")), "cluster", "g"))
     docs = stored(stage.select("doc_id", ngrams_1_2(F.col("topic")).alias("g"), *KEYWORD_NAMES))
     n_classes = class_tf.agg(F.count_distinct("cluster"))
@@ -167,11 +232,11 @@ def centroid_parts(spark, d):
 
 
 CENTROID_SQL = f"""
-    {KEPT_SQL}, {TOPIC_SQL},
+    {KEPT_SQL}, {TOPIC_SQL.replace('rk <= 14', f'rk <= {CENTROID_TERMS}')},
     votes AS ({VOTES_SQL}),
     member AS (SELECT doc_id, unnest([{', '.join(KEYWORD_NAMES)}]) AS cluster FROM votes),
     ctop AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, term) AS rk
-             FROM member JOIN kept USING (doc_id) WHERE cluster >= 0 GROUP BY 1, 2 QUALIFY rk <= 14),
+             FROM member JOIN kept USING (doc_id) WHERE cluster >= 0 GROUP BY 1, 2 QUALIFY rk <= {CENTROID_TERMS}),
     ctopics AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY rk) AS p FROM ctop WHERE length(term) > 3),
     dg AS (SELECT doc_id, term FROM topics
            UNION ALL SELECT a.doc_id, concat(a.term, ' ', b.term) FROM topics a JOIN topics b ON a.doc_id = b.doc_id AND b.p = a.p + 1),

@@ -110,3 +110,27 @@ def test_gazetteer_join_equals_inline(spark):
 def test_portable_keeps_classes():
     assert portable(r"[^\w.]+$") == r"[^\p{L}\p{N}_.]+\z"
     assert portable(r"a.b") == r"a[^\n]b"
+
+
+def test_names_of_several_words(spark):
+    from labelloom.operators.gazetteer import remove_names
+
+    rng = random.Random(3)
+    names = ["a", "b c", "b c d", "d a", "c c c c", "New  York", None, "", "--"]
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randrange(12))]) for i in range(300)] + [(900, ["in", "new", "york", "a"]), (901, None), (902, ["x"] * 20_000 + ["b", "c"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    lists = [["a"], ["b", "c"], ["b", "c", "d"], ["d", "a"], ["c"] * 4, ["new", "york"]]
+
+    def brute(tokens):
+        out, i = [], 0
+        while i < len(tokens):
+            width = max((len(n) for n in lists if tokens[i : i + len(n)] == n), default=0)
+            out += [] if width else [tokens[i]]
+            i += width or 1
+        return " ".join(out)
+
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["id"]: r["text"] for r in remove_names(df, table, "id", "tokens").collect()}
+    assert got == {i: brute(t or []) for i, t in rows}
+    many = table.unionByName(spark.range(120_000).select(F.concat(F.lit("zz"), F.col("id").cast("string"), F.lit(" yy")).alias("name")))
+    assert {r["id"]: r["text"] for r in remove_names(df, many, "id", "tokens").collect()} == got

@@ -73,8 +73,19 @@ def test_language_model(spark):
     got = train_language_model(df, "text", "lang").detect(df, "text").collect()
     assert all(r["lang_pred"] == r["lang"] for r in got if r["id"] != 99)
     assert [r["lang_pred"] for r in got if r["id"] == 99] == [None]
-    with pytest.raises(ValueError):
-        train_language_model(df, "text", "lang", max_languages=1)
+    many = spark.createDataFrame([(i, f"l{i:04d}", f"word{chr(97 + i % 26)}") for i in range(1_200)], "id int, lang string, text string")
+    assert len(train_language_model(many, "text", "lang").languages) == 1_200
+
+
+def test_language_profiles_keep_rare_trigrams(spark):
+    """A text whose only trigrams are rarer than thousands of others is still recognised."""
+    letters = "abcdefghijklmnop"
+    common = " ".join(a + b + c for a in letters for b in letters for c in letters)
+    rows = [(1, "xx", common), (2, "xx", common), (3, "yy", "qzq"), (4, None, "qzq qzq"), (5, None, "qzq qzq"), (6, "xx", None), (7, None, "ßßß")]
+    df = spark.createDataFrame(rows, "id int, lang string, text string")
+    got = {r["id"]: r for r in train_language_model(df, "text", "lang").detect(df, "text").collect()}
+    assert [got[i]["lang_pred"] for i in (3, 4, 5, 6, 7)] == ["yy", "yy", "yy", None, None]
+    assert got[4]["lang_score"] == got[5]["lang_score"] and len(got) == 7
 
 
 SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("clean", T.StringType())])

@@ -61,6 +61,7 @@ def test_search_tables(spark, sf_dir):
     assert all(0 <= r["accuracy"] <= r["coverage"] <= 1 for r in grid + drawn)
 
 
-def test_search_halving_keeps_one(spark, sf_dir):
+def test_search_halving_keeps_thirds(spark, sf_dir):
     rows = QUERIES["search_halving"](spark, sf_dir).collect()
-    assert [sum(r["round"] == i for r in rows) for i in (0, 1)] == [4, 1]
+    assert [sum((r["bracket"], r["rung"]) == x for r in rows) for x in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0))] == [27, 9, 3, 9, 3, 3]
+    assert all(0 <= r["score"] <= 1 for r in rows)
