@@ -115,10 +115,12 @@ class LabelModel:
 
     @classmethod
     def from_table(cls, table: DataFrame, sources: Sequence[Source], use_abstain: bool = False) -> LabelModel:
-        size = sum(len(s.outcomes) for s in sources) * CARDINALITY
         mu: dict = {s.name: {o: [FLOOR] * CARDINALITY for o in s.outcomes} for s in sources}
-        for r in table.limit(size).collect():
-            mu[r["source"]][r["outcome"]][r["label"]] = r["p"]
+        # the stored table may hold other sources as well; a row per outcome and class is read of these
+        own = table.filter(F.col("source").isin(*mu) & F.col("label").between(0, CARDINALITY - 1))
+        for r in own.groupBy("source", "outcome", "label").agg(F.max("p").alias("p")).collect():
+            if r["outcome"] in mu[r["source"]]:
+                mu[r["source"]][r["outcome"]][r["label"]] = r["p"]
         return cls(tuple(sources), mu, use_abstain)
 
 
@@ -174,7 +176,10 @@ def lm_fit(
         # the usual few hundred patterns: without a shuffle an iteration is one small task
         table = table.coalesce(1)
     base: dict = {s.name: {} for s in sources}
+    outcomes = {s.name: set(s.outcomes) for s in sources}
     for r in _outcome_sums(table, sources, [F.col("n").cast("double")]):
+        if r["outcome"] not in outcomes[r["source"]]:
+            raise ValueError(f"{r['source']} votes for {r['outcome']}, a class that it does not have")
         base[r["source"]][r["outcome"]] = r["w0"]
     mu = initial_parameters(base, sources, prior_acc)
     for _ in range(max_iter):

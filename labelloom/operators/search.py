@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import hash_int
 from ..schemas import ABSTAIN, CARDINALITY
 from .tables import union_rows
-from .labelmodel import FLOOR, TIE_TOLERANCE, initial_parameters, sources_of
+from .labelmodel import FLOOR, TIE_TOLERANCE, initial_parameters, lm_fit, sources_of
 
 # Values of the label-model grid: 4 * 3 * 3 * 3 * 3 = 324 configurations.
 GRID = {
@@ -172,12 +172,14 @@ def fold_patterns(votes: DataFrame, names: Sequence[str], key: str, label: str,
 def cross_validate(configs: DataFrame, patterns: DataFrame, names: Sequence[str], max_patterns: int = 500_000, tasks: int = 64) -> DataFrame:
     """Fit every configuration on the other folds and score it on the annotated rows of the fold.
 
-    ``patterns`` comes from ``fold_patterns``; its size does not depend on the
-    corpus and is checked. Each (fold, configuration) pair is a row of work.
+    ``patterns`` comes from ``fold_patterns``; its size does not depend on the corpus but on the functions. Up to
+    ``max_patterns`` rows travel with the tasks, and each (fold, configuration) pair is a row of work. A larger
+    table stays in Spark: every pair is then fitted by ``lm_fit``, one after the other.
     """
-    table = patterns.limit(max_patterns + 1).toPandas()
-    if len(table) > max_patterns:
-        raise ValueError(f"more than {max_patterns} fold patterns")
+    head = patterns.limit(max_patterns + 1).toPandas()
+    if len(head) > max_patterns:
+        return _cross_validate_in_spark(configs, patterns, names)
+    table = head
     shared = configs.sparkSession.sparkContext.broadcast((table, tuple(names)))
     ids = sorted(set(zip(table["k"].tolist(), table["fold"].tolist())))
     work = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("fold")) for k, f in ids])
@@ -203,6 +205,27 @@ def cross_validate(configs: DataFrame, patterns: DataFrame, names: Sequence[str]
     return todo.mapInPandas(run, schema)
 
 
+def _cross_validate_in_spark(configs: DataFrame, patterns: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The same results with the patterns left where they are; the driver holds configurations, folds and metrics."""
+    spark = patterns.sparkSession
+    folds = [(r["k"], r["fold"]) for r in patterns.select("k", "fold").distinct().orderBy("k", "fold").collect()]
+    fields = [f.split()[0] for f in RESULT_SCHEMA.split(", ")]
+    rows = []
+    for c in configs.collect():
+        params = {p: c[p] for p in GRID}
+        for k, fold in folds:
+            of_k = patterns.filter(F.col("k") == k)
+            train = of_k.filter(F.col("fold") != fold).groupBy(*names).agg(F.sum("n").alias("n"))
+            model = lm_fit(train, names, **params)
+            test = model.predict(of_k.filter((F.col("fold") == fold) & (F.col("label") >= 0)), "abstain", None, "pred")
+            table = np.zeros((CARDINALITY + 1, CARDINALITY + 1))
+            for r in test.groupBy("label", "pred").agg(F.sum("n").alias("n")).collect():
+                table[r["label"] + 1, r["pred"] + 1] = r["n"]
+            scored = {**c.asDict(), **table_scores(table)}
+            rows.append((k, fold, *[scored[f] for f in fields]))
+    return spark.createDataFrame(rows, "k int, fold int, " + RESULT_SCHEMA)
+
+
 def trial_results(stored: DataFrame, new: DataFrame, trial: Column) -> DataFrame:
     """Stored results and the new ones with their trial number."""
     return union_rows(stored, new.withColumn("Trial", trial).select(*stored.columns))

@@ -7,6 +7,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import remove_stopwords, term_counts, tokenize, top_terms, unnest
+from .coherence import window_counts
+
+# A window that no document fills.
+ENDLESS = 1 << 30
 
 
 def topic_terms_doc(text: Column, lang: Column, topics: int = 2, per_topic: int = 7) -> Column:
@@ -58,52 +62,35 @@ def class_topic_terms(df: DataFrame, classes: Column, tokens: str, out: str, k:
     return ranked.filter(F.length("term") >= min_length).select(out, "rank", "term")
 
 
-def _pair_counts(topic_terms: DataFrame, df: DataFrame, terms: str, max_terms: int) -> DataFrame:
-    """``(topic, r1, r2, d1, d2, d12, n)`` for the term pairs of every topic, ``r1 < r2``.
+def _pair_counts(topic_terms: DataFrame, df: DataFrame, terms: str) -> DataFrame:
+    """``(topic, r1, r2, d1, d2, d12, n)`` for the term pairs of every topic, ``r1 < r2``: documents with each and both.
 
-    The topic terms are few (checked), so their pairs are part of the plan and
-    a document only reports which of them it contains; counts combine before
-    the shuffle, and no pair of documents or of document terms is formed.
+    A document is one window of any length. It looks up its own terms, so lists of any length work, and no pair of
+    documents or of other terms is formed.
     """
-    rows = topic_terms.select("topic", "rank", "term").orderBy("topic", "rank").limit(max_terms + 1).collect()
-    if len(rows) > max_terms:
-        raise ValueError(f"more than {max_terms} topic terms")
-    pairs = [(a, b) for a in rows for b in rows if a["topic"] == b["topic"] and a["rank"] < b["rank"]]
-    if len(pairs) > 20_000:
-        raise ValueError("more than 20000 term pairs")
-    spark = df.sparkSession
-    words = sorted({r["term"] for r in rows})
-    present = df.select(F.array_distinct(F.filter(F.col(terms), lambda t: t.isin(*words))).alias("present"))
-    singles = unnest(present, [], F.col("present"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("d"))
-    literal = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(a["term"]).alias("a"), F.lit(b["term"]).alias("b")) for i, (a, b) in enumerate(pairs)]
-    )
-    both = F.filter(literal, lambda p: F.array_contains("present", p.a) & F.array_contains("present", p.b))
-    joint = unnest(present, [], both, "p").groupBy("p.i").agg(F.count(F.lit(1)).alias("d12"))
-    table = spark.createDataFrame(
-        [(i, a["topic"], a["rank"], b["rank"], a["term"], b["term"]) for i, (a, b) in enumerate(pairs)],
-        f"i int, topic {topic_terms.schema['topic'].dataType.simpleString()}, r1 int, r2 int, t1 string, t2 string",
-    )
+    rows = df.select(F.monotonically_increasing_id().alias("id"), F.array_distinct(terms).alias("terms"))
+    counted = window_counts(topic_terms, rows, "id", "terms", ENDLESS)
+    single = counted.filter("t1 = t2").select("topic", F.col("t1").alias("t"), F.col("n12").alias("d"))
+    one = topic_terms.select("topic", F.col("rank").alias("r1"), F.col("term").alias("a"))
+    two = topic_terms.select("topic", F.col("rank").alias("r2"), F.col("term").alias("b"))
+    pairs = one.join(two, "topic").filter("r1 < r2").withColumns({"t1": F.least("a", "b"), "t2": F.greatest("a", "b")})
     n = df.agg(F.count(F.lit(1))).scalar()
     zero = F.lit(0).cast("bigint")
     return (
-        table.join(singles.select(F.col("term").alias("t1"), F.col("d").alias("d1")), "t1", "left")
-        .join(singles.select(F.col("term").alias("t2"), F.col("d").alias("d2")), "t2", "left")
-        .join(joint, "i", "left")
-        .select(
-            "topic", "r1", "r2", F.coalesce("d1", zero).alias("d1"), F.coalesce("d2", zero).alias("d2"),
-            F.coalesce("d12", zero).alias("d12"), n.alias("n"),
-        )
+        pairs.join(counted.select("topic", "t1", "t2", F.col("n12").alias("d12")), ["topic", "t1", "t2"], "left")
+        .join(single.select("topic", F.col("t").alias("a"), F.col("d").alias("d1")), ["topic", "a"], "left")
+        .join(single.select("topic", F.col("t").alias("b"), F.col("d").alias("d2")), ["topic", "b"], "left")
+        .select("topic", "r1", "r2", *[F.coalesce(c, zero).alias(c) for c in ("d1", "d2", "d12")], n.alias("n"))
     )
 
 
-def coherence_umass(topic_terms: DataFrame, df: DataFrame, terms: str, max_terms: int = 500) -> DataFrame:
+def coherence_umass(topic_terms: DataFrame, df: DataFrame, terms: str) -> DataFrame:
     """Mean of ``ln((d12 + 1) / d1)`` over the pairs of a topic; ``d1`` belongs to the higher-ranked term."""
-    pairs = _pair_counts(topic_terms, df, terms, max_terms)
+    pairs = _pair_counts(topic_terms, df, terms)
     return pairs.groupBy("topic").agg(F.avg(F.log((F.col("d12") + 1) / F.col("d1"))).alias("umass"))
 
 
-def coherence_npmi(topic_terms: DataFrame, df: DataFrame, terms: str, max_terms: int = 500) -> DataFrame:
+def coherence_npmi(topic_terms: DataFrame, df: DataFrame, terms: str) -> DataFrame:
     """Mean normalised pointwise mutual information; a pair that never meets scores -1, one that is everywhere 1."""
     p12, p1, p2 = (F.col(c) / F.col("n") for c in ("d12", "d1", "d2"))
     score = (
@@ -111,7 +98,7 @@ def coherence_npmi(topic_terms: DataFrame, df: DataFrame, terms: str, max_terms:
         .when(F.col("d12") == F.col("n"), 1.0)
         .otherwise(F.log(p12 / (p1 * p2)) / -F.log(p12))
     )
-    return _pair_counts(topic_terms, df, terms, max_terms).groupBy("topic").agg(F.avg(score).alias("npmi"))
+    return _pair_counts(topic_terms, df, terms).groupBy("topic").agg(F.avg(score).alias("npmi"))
 
 
 def coherence_pairwise(df: DataFrame, topic: str, vector: str) -> DataFrame:

@@ -65,3 +65,11 @@ def test_search_halving_keeps_thirds(spark, sf_dir):
     rows = QUERIES["search_halving"](spark, sf_dir).collect()
     assert [sum((r["bracket"], r["rung"]) == x for r in rows) for x in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0))] == [27, 9, 3, 9, 3, 3]
     assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_centroids_have_terms_and_members(spark):
+    d = "/root/testdata/sf0.01"
+    terms = {r["cluster"]: r["n"] for r in QUERIES["fixed_centroids"](spark, d).groupBy("cluster").count().withColumnRenamed("count", "n").collect()}
+    assert sorted(terms) == list(range(7)) and min(terms.values()) >= 5
+    members = {r["cluster"] for r in QUERIES["nearest_centroid"](spark, d).select("cluster").distinct().collect()}
+    assert members == set(range(7))
