@@ -1,8 +1,9 @@
 """Corpus topics by expectation maximisation over tables: no vocabulary and no matrix ever reaches the driver.
 
-Topic weights of terms are a table by term, topic shares of documents a table by document. An iteration attaches both
-to the counted terms of the documents, shares every count out over the topics, and sums the shares by document and
-by term; sums combine before their shuffle, and frequent terms meet their weights without moving.
+Topic weights of terms are a table by term, topic shares of documents a table by document. A document row holds its
+counted terms. An iteration attaches the shares to the document and the weights to its terms, shares every count out
+over the topics, and sums by document and by term. Nothing of the size of all counts is written: both sums read the
+documents anew, combine before their shuffle, and frequent terms meet their weights without moving.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import hash_int
+from ..functions.text import hash_int, term_counts, unnest
 from ..session import stored
-from .features import attach_by_term, term_table
+from .features import attach_by_term
 
 # Digits of a weight that count when terms are ranked.
 DIGITS = 9
@@ -36,10 +37,10 @@ def _scaled(values: Column, totals: list[Column | float]) -> Column:
     return F.array(*[F.get(values, F.lit(i)) / t for i, t in enumerate(totals)])
 
 
-def _start(counted: DataFrame, k: int, seed: int) -> DataFrame:
+def _start(seen: DataFrame, k: int, seed: int) -> DataFrame:
     """Term weights between 1 and 2 from a hash of term and topic."""
     draws = [1 + hash_int(F.col("term"), f"{seed}:{i}") / float(1 << 32) for i in range(k)]
-    return counted.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", F.array(*draws).alias("w"))
+    return seen.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", F.array(*draws).alias("w"))
 
 
 def _normalised(raw: DataFrame, k: int, beta: float) -> DataFrame:
@@ -54,22 +55,22 @@ def fit_topics(df: DataFrame, id_col: str, tokens: str, k: int = 2, iterations:
 
     The start depends on terms and ``seed`` alone, so runs agree. A document without tokens has no shares.
     """
-    counted = stored(term_table(df, id_col, tokens).select(F.col(id_col).alias("id"), "term", "tf"), "topic_counts")
-    terms = stored(_normalised(_start(counted, k, seed), k, 0.0), "topic_terms")
-    docs = None
-    for _ in range(iterations):
-        joined = attach_by_term(counted, terms)
-        if docs is not None:
-            joined = joined.join(docs, "id")
-            parts = F.zip_with("weights", "shares", lambda a, b: a * b)
-        else:
-            parts = F.col("weights")
+    rows = df.select(F.col(id_col).alias("id"), F.explode_outer(F.array(term_counts(F.col(tokens)))).alias("e"))
+    rows = stored(rows.filter(F.size("e") > 0), "topic_counts")
+    seen = rows.select(F.explode("e.term").alias("term"))
+    terms = stored(_normalised(_start(seen, k, seed), k, 0.0), "topic_terms")
+    docs = rows.select("id", F.array(*[F.lit(1.0)] * k).alias("shares"))
+    for n in range(iterations):
+        base = rows.join(docs, "id") if n else rows.withColumn("shares", F.array(*[F.lit(1.0)] * k))
+        pairs = unnest(base, ["id", "shares"], F.col("e"), "x").select("id", "shares", F.col("x.term").alias("term"), F.col("x.n").alias("tf"))
+        joined = attach_by_term(pairs, terms).select("id", "term", "tf", F.zip_with("weights", "shares", lambda a, b: a * b).alias("p"))
         whole = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-        shared = joined.select("id", "term", "tf", parts.alias("p")).select("id", "term", F.transform("p", lambda x: F.col("tf") * x / whole).alias("q"))
-        shared = stored(shared, "topic_counts_shared")
-        sums = shared.groupBy("id").agg(_sums(F.col("q"), k).alias("s"), F.sum(F.aggregate("q", F.lit(0.0), lambda a, x: a + x)).alias("n"))
-        docs = stored(sums.select("id", F.transform("s", lambda x: (x + alpha) / (F.col("n") + alpha * k)).alias("shares")), "topic_docs")
-        terms = stored(_normalised(shared.groupBy("term").agg(F.count("*").alias("df"), _sums(F.col("q"), k).alias("w")), k, beta), "topic_terms")
+        parts = joined.select("id", "term", F.transform("p", lambda x: F.col("tf") * x / whole).alias("q"))
+        by_doc = parts.groupBy("id").agg(_sums(F.col("q"), k).alias("s"))
+        size = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+        docs = stored(by_doc.select("id", F.transform("s", lambda x: (x + alpha) / (size + alpha * k)).alias("shares")), "topic_docs")
+        by_term = parts.groupBy("term").agg(F.count("*").alias("df"), _sums(F.col("q"), k).alias("w"))
+        terms = stored(_normalised(stored(by_term, "topic_sums"), k, beta), "topic_terms")
     return TopicModel(k, terms, docs)
 
 
