@@ -8,7 +8,7 @@ folds into one weight for every place: a word is scored without going through th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -41,41 +41,50 @@ def marked(word: str) -> list[str]:
 
 def readings(word: str) -> list[str]:
     """What of a word is scored: the word, and its letters and digits alone if other characters stand between them."""
-    letters = "".join(filter(str.isalnum, word))
-    return marked(word) if letters == word else marked(word) + marked(letters)
+    return marked(word) if word.isalnum() else marked(word) + marked("".join(filter(str.isalnum, word)))
 
 
-def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and weights of all subsequences of words of one length: ``(words, subsequences)`` and ``(subsequences,)``."""
-    places, weights = [], []
+def _each_path(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """``(places, weight)`` of the subsequences along each path, ``(words, starts)``, for words of one length.
+
+    Paths that begin alike share the hashes of their beginning.
+    """
     length = codes.shape[1]
-    for path in PATHS:
-        starts = length - path[-1]
-        if starts <= 0:
-            continue
-        h = np.full((len(codes), starts), len(path), np.uint64)
-        for offset in path:
-            h = (h ^ codes[:, offset : offset + starts]) * np.uint64(0x9E3779B97F4A7C15)
+    known = {(0,): (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)}
+
+    def hashed(path: tuple[int, ...]) -> np.ndarray:
+        if path not in known:
+            starts = length - path[-1]
+            h = hashed(path[:-1])[:, :starts] ^ codes[:, path[-1] : path[-1] + starts]
+            h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        places.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-        weights.append(np.full(starts, DECAY ** (path[-1] + 1)))
-    if not places:
-        return np.zeros((len(codes), 0), np.int32), np.zeros(0)
-    return np.concatenate(places, axis=1), np.concatenate(weights)
+            known[path] = h
+        return known[path]
 
+    for path in PATHS:
+        if length > path[-1]:
+            yield (hashed(path) >> np.uint64(64 - BITS)).astype(np.int32), DECAY ** (path[-1] + 1)
 
-def _by_length(words: Sequence[str]):
-    """``(indices, places, weights)`` for the words of each length; weights have unit norm."""
+
+def _coded(words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(indices, code points)`` of the words of each length, in blocks that bound the memory of one step."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        # blocks bound the memory of one step
         for i in range(0, len(at), 4_096):
             part = at[i : i + 4_096]
-            codes = np.frombuffer("".join(words[j] for j in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n).astype(np.uint64)
-            places, weights = _places(codes)
-            norm = np.sqrt((weights**2).sum())
-            yield part, places, weights / norm if norm else weights
+            raw = "".join([words[j] for j in part.tolist()]).encode("utf-32-le", "surrogatepass")
+            yield part, np.frombuffer(raw, np.uint32).reshape(len(part), n).astype(np.uint64)
+
+
+def _by_length(words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(indices, places, weights)`` for the words of each length; weights have unit norm."""
+    for part, codes in _coded(words):
+        found = list(_each_path(codes))
+        places = np.concatenate([p for p, _ in found], axis=1) if found else np.zeros((len(part), 0), np.int32)
+        weights = np.concatenate([np.full(p.shape[1], w) for p, w in found]) if found else np.zeros(0)
+        norm = np.sqrt((weights**2).sum())
+        yield part, places, weights / norm if norm else weights
 
 
 def features(words: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -93,8 +102,12 @@ def scores(words: Sequence[str], weight: np.ndarray, bias: float) -> np.ndarray:
     pieces = [readings(w) for w in words]
     flat = [p for ps in pieces for p in ps]
     out = np.empty(len(flat))
-    for part, places, weights in _by_length(flat):
-        out[part] = weight[places] @ weights + bias
+    for part, codes in _coded(flat):
+        total, square = np.zeros(len(part)), 0.0
+        for places, w in _each_path(codes):
+            total += w * weight[places].sum(axis=1)
+            square += w * w * places.shape[1]
+        out[part] = total / np.sqrt(square) + bias if square else bias
     if len(flat) == len(words):
         return out
     ends = np.cumsum([len(p) for p in pieces])

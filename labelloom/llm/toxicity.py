@@ -81,12 +81,11 @@ class Memo:
             return [self.known[w] for w in words]
 
 
-def measures(text: str, memo: Memo) -> tuple[float, int]:
-    """Of a lower-cased text the largest margin of a word, and the number of sentences with a word of positive margin.
+def measures(text: str, words: list[str], memo: Memo) -> tuple[float, int]:
+    """Of a lower-cased text and its words the largest margin of a word, and the number of sentences with a word of positive margin.
 
     ``CLEAR`` and 0 without words.
     """
-    words = words_of(text)
     if not words:
         return CLEAR, 0
     top = max(memo.of(words))
@@ -95,17 +94,18 @@ def measures(text: str, memo: Memo) -> tuple[float, int]:
     return top, sum(max(memo.of(s)) > 0 for s in sentences(text))
 
 
-def in_chunks(texts: Iterable[str | None], memo: Memo) -> Iterator[str]:
-    """The texts again, lower-cased, in chunks whose words are learnt together: few large steps instead of many small ones."""
+def in_chunks(texts: Iterable[str | None], memo: Memo) -> Iterator[tuple[str, list[str]]]:
+    """The texts, lower-cased, with their words, in chunks whose words are learnt together: few large steps instead of many small ones."""
     chunk, size = [], 0
     for text in texts:
-        chunk.append((text or "").lower())
-        size += len(chunk[-1])
+        low = (text or "").lower()
+        chunk.append((low, words_of(low)))
+        size += len(low)
         if size > CHUNK_CHARS:
-            memo.learn({w for t in chunk for w in words_of(t)})
+            memo.learn(set().union(*[w for _, w in chunk]))
             yield from chunk
             chunk, size = [], 0
-    memo.learn({w for t in chunk for w in words_of(t)})
+    memo.learn(set().union(*[w for _, w in chunk]))
     yield from chunk
 
 
@@ -152,7 +152,7 @@ def _witnesses(sample: DataFrame, score: Callable[[list[str]], np.ndarray]) -> p
         memo = Memo(score)
         for f in frames:
             out = []
-            for text, label in zip(in_chunks(f["text"], memo), f["label"]):
+            for (text, _), label in zip(in_chunks(f["text"], memo), f["label"]):
                 for s in sentences(text):
                     margins = memo.of(s)
                     top = max(margins)
@@ -250,7 +250,7 @@ def _measured(df: DataFrame, kept: str, weight: np.ndarray, bias: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(_margin(weight, bias))
         for batch in batches:
-            found = [measures(t, memo) for t in in_chunks((t.as_py() for t in batch.column("text")), memo)]
+            found = [measures(t, w, memo) for t, w in in_chunks((t.as_py() for t in batch.column("text")), memo)]
             columns = [batch.column(kept), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [kept, "top", "hits"])
 

@@ -236,9 +236,10 @@ def test_labels_of_one_class_and_empty_tables(spark):
 def test_held_out_documents(spark):
     import labelloom.llm.queries_models as q
 
-    d = "/root/testdata/sf0.01"
+    # the smaller tables have some ten held-out documents of class 1
+    d = "/root/testdata/sf0.1"
     out = q.op11_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").filter("toxic IS NOT NULL"), "doc_id").filter("held_out").toPandas()
     ranks = out["score"].rank()
     n1 = (out["toxic"] == 1).sum()
     auc = (ranks[out["toxic"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(out) - n1))
-    assert auc > 0.85
+    assert auc > 0.93
