@@ -8,7 +8,7 @@ from compare import connect
 from pyspark.sql import functions as F
 from test_llm_queries import mixing_targets
 
-from labelloom.llm import decontaminate, mixing
+from labelloom.llm import decontaminate, mixing, url_filter
 from labelloom.llm.queries_corpus import op10_mixing
 
 
@@ -112,3 +112,15 @@ def test_rows_of_a_null_key_are_told_apart(spark):
     # the rows that meet for verification: each its own hits only
     suspects = decontaminate._suspects(df, bench, "doc_id", "text", "item_id", "text")
     assert suspects.count() == 151 and suspects.agg(F.max(F.size("__hits"))).first()[0] == 1
+
+
+def test_url_models_count_all_examples(spark, monkeypatch):
+    """300,000 accepted URLs: all but the held-out fold are in the counts, however many there are."""
+    seen = []
+    fit = url_filter.fit
+    monkeypatch.setattr(url_filter, "fit", lambda rows: (seen.append(rows.groupBy("accepted").count().collect()), fit(rows))[1])
+    n = 300_000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://s.com/"), F.md5(F.col("id").cast("string"))).alias("url"))
+    held = pages.filter(url_filter.draw52(F.concat(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))) % url_filter.FOLDS == 0).count()
+    assert url_filter.judge(pages).limit(1).count() == 1
+    assert [(r["accepted"], r["count"]) for r in seen[0]] == [(True, n - held)]
