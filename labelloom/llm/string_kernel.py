@@ -21,6 +21,8 @@ BITS = 20
 # Longer words are seen through overlapping windows of this many characters.
 WINDOW = 32
 START, END = "\x02", "\x03"
+# Rows of the training matrix that are worked on together.
+BLOCK = 2_048
 
 
 def _paths(letters: int, span: int) -> list[tuple[int, ...]]:
@@ -114,8 +116,8 @@ def scores(words: Sequence[str], weight: np.ndarray, bias: float) -> np.ndarray:
     return np.maximum.reduceat(out, np.concatenate(([0], ends[:-1]))) if len(words) else out
 
 
-def gram(words: Sequence[str], landmarks: Sequence[str]) -> np.ndarray:
-    """Kernel of each word with each landmark."""
+def gram(words: Sequence[str], landmarks: Sequence[str], root: np.ndarray | None = None) -> np.ndarray:
+    """Kernel of each word with each landmark; with ``root`` its product with that, in single precision and block by block."""
     marks = features(landmarks)
     used = np.unique(np.concatenate([p for p, _ in marks])) if marks else np.zeros(0, np.int32)
     # a row per place that a landmark has, and one of zeros for all others
@@ -124,10 +126,13 @@ def gram(words: Sequence[str], landmarks: Sequence[str]) -> np.ndarray:
         table[np.searchsorted(used, places), i] = values
     row = np.full(1 << BITS, len(used), np.int32)
     row[used] = np.arange(len(used))
-    out = np.zeros((len(words), len(landmarks)))
+    width = len(landmarks) if root is None else root.shape[1]
+    out = np.zeros((len(words), width), float if root is None else np.float32)
     for part, places, weights in _by_length(words):
-        for j, p in zip(part, places):
-            out[j] = weights @ table[row[p]]
+        here = np.empty((len(part), len(landmarks)))
+        for j, p in enumerate(places):
+            here[j] = weights @ table[row[p]]
+        out[part] = here if root is None else here @ root
     return out
 
 
@@ -141,7 +146,7 @@ class Nystrom:
         self.root = vectors[:, kept] / np.sqrt(values[kept])
 
     def map(self, words: Sequence[str]) -> np.ndarray:
-        return gram(words, self.landmarks) @ self.root
+        return gram(words, self.landmarks, self.root)
 
     def fold(self, coefficients: np.ndarray) -> np.ndarray:
         """One weight for every place from coefficients of the features."""
@@ -152,22 +157,36 @@ class Nystrom:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Newton steps; ``y`` is +1 or -1. Returns coefficients and bias."""
-    ones = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(ones.shape[1])
-    penalty = np.eye(ones.shape[1])
+    """Linear machine with squared hinge loss by Newton steps; ``y`` is +1 or -1. Returns coefficients and bias.
+
+    Rows are taken block by block: besides ``x`` only a block and matrices of the size of the coefficients are held.
+    """
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    penalty = np.eye(n)
     penalty[-1, -1] = 1e-6
-    loss = lambda w: 0.5 * w @ penalty @ w + c * (weight * np.maximum(0, 1 - y * (ones @ w)) ** 2).sum()
+
+    def slack(w: np.ndarray) -> np.ndarray:
+        return 1 - y * np.concatenate([x[i : i + BLOCK].astype(float) @ w[:-1] + w[-1] for i in range(0, len(x), BLOCK)])
+
+    def loss(w: np.ndarray, slack: np.ndarray) -> float:
+        return 0.5 * w @ penalty @ w + c * (weight * np.maximum(0, slack) ** 2).sum()
+
+    here = slack(w)
     for _ in range(steps):
-        slack = 1 - y * (ones @ w)
-        active = slack > 0
-        a, wa = ones[active], weight[active]
-        grad = penalty @ w - 2 * c * a.T @ (wa * y[active] * slack[active])
-        step = np.linalg.solve(penalty + 2 * c * (a.T * wa) @ a, grad)
-        rate, here = 1.0, loss(w)
-        while rate > 1e-6 and loss(w - rate * step) > here:
+        grad, hess = penalty @ w, penalty.copy()
+        for i in range(0, len(x), BLOCK):
+            at = i + np.flatnonzero(here[i : i + BLOCK] > 0)
+            a = np.column_stack([x[at].astype(float), np.ones(len(at))])
+            wa = 2 * c * weight[at]
+            grad -= a.T @ (wa * y[at] * here[at])
+            hess += (a.T * wa) @ a
+        step = np.linalg.solve(hess, grad)
+        rate, now = 1.0, loss(w, here)
+        while rate > 1e-6 and loss(w - rate * step, slack(w - rate * step)) > now:
             rate /= 2
         w = w - rate * step
+        here = slack(w)
         if np.abs(rate * step).max() < 1e-8:
             break
     return w[:-1], float(w[-1])

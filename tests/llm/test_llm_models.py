@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -192,6 +193,18 @@ def test_machine_and_curve():
     assert curve[0] > 1
 
 
+def test_machine_holds_little_besides_its_rows():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40_000, 100)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.1 * x[:, 1] > 0.2, 1.0, -1.0)
+    tracemalloc.start()
+    w, b = sk.train_svm(x, y, np.ones(len(x)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes
+    assert (np.sign(x @ w + b) == y).mean() > 0.97
+
+
 CLEAN = ["the garden was quiet in the morning", "they read a long book about rivers", "bread and cheese are on the table", "a small boat came home late", "we patiently wait for the tram", "you can go now"]
 
 
