@@ -7,12 +7,18 @@ occur in it, whatever the length of the list; which of them do occur, and where,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-from ..functions.text import let, tokenize, unnest
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..functions.text import tokenize, unnest
 from ..session import stored
 from .tables import lookup_join
 
+# Texts that a task holds as lists of words at a time.
+ROWS_AT_ONCE = 256
+
 
 def phrase_table(names: DataFrame) -> DataFrame:
     """``key, names``: for every first word or first pair of words the names, as word lists, that begin with it."""
@@ -27,35 +33,26 @@ def _heads(tokens: Column) -> Column:
     return F.array_distinct(F.concat(tokens, pairs))
 
 
-def _found(tokens: Column, names: Column) -> Column:
-    """``array<struct<at, width>>``: the longest name at every position that has one, in order."""
-    firsts = F.array_distinct(F.transform(names, lambda n: n[0]))
-
-    def longest(i: Column) -> Column:
-        here = F.filter(names, lambda n: F.slice(tokens, i + 1, F.size(n)) == n)
-        return F.coalesce(F.array_max(F.transform(here, lambda n: F.size(n))), F.lit(0))
-
-    starts = F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(firsts, t), i)), lambda i: i.isNotNull())
-    spots = F.transform(starts, lambda i: F.struct(i.alias("at"), longest(i).alias("width")))
-    return F.filter(spots, lambda s: s["width"] > 0)
-
-
-def _kept(tokens: Column, spots: Column) -> Column:
-    """Tokens outside of the names; a name begins where the one before has ended."""
-    none = F.array().cast("array<struct<at:int,width:int>>")
-    start = F.struct(F.lit(0).alias("until"), none.alias("cut"))
+def _without(tokens: list[str | None], names: list[list[str]]) -> str:
+    """The tokens outside of the names, joined by blanks: leftmost first, of the names at a place the longest."""
+    by_first: dict[str, list[list[str]]] = {}
+    for n in sorted(names, key=len, reverse=True):
+        by_first.setdefault(n[0], []).append(n)
+    kept, at = [], 0
+    while at < len(tokens):
+        width = next((len(n) for n in by_first.get(tokens[at], ()) if tokens[at : at + len(n)] == n), 0)
+        if not width and tokens[at] is not None:
+            kept.append(tokens[at])
+        at += width or 1
+    return " ".join(kept)
 
-    def step(acc: Column, s: Column) -> Column:
-        free = s["at"] >= acc["until"]
-        return F.struct(
-            F.when(free, s["at"] + s["width"]).otherwise(acc["until"]).alias("until"),
-            F.when(free, F.concat(acc["cut"], F.array(s))).otherwise(acc["cut"]).alias("cut"),
-        )
 
-    cut = F.aggregate(spots, start, step, lambda acc: acc["cut"])
-    gone = F.flatten(F.transform(cut, lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1)))
-    places = F.array_except(F.sequence(F.lit(0), F.size(tokens) - 1), gone)
-    return F.when(F.size(tokens) > 0, F.transform(places, lambda i: F.get(tokens, i))).otherwise(tokens)
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(i, ROWS_AT_ONCE)
+            texts = map(_without, batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [batch.schema.names[0], "text"])
 
 
 def remove_names(df: DataFrame, names: DataFrame, id_col: str, tokens: str) -> DataFrame:
@@ -69,6 +66,6 @@ def remove_names(df: DataFrame, names: DataFrame, id_col: str, tokens: str) -> D
     hits = lookup_join(unnest(rows, [id_col], _heads(F.col("toks")), "key"), table, "key", "inner")
     # a group holds the names of one text
     by_row = hits.groupBy(id_col).agg(F.flatten(F.collect_list("names")).alias("names"))
-    joined = rows.join(by_row, id_col, "left")
-    cleaned = let(F.struct("toks", "names"), lambda r: _kept(r["toks"], _found(r["toks"], r["names"])))
-    return joined.select(id_col, F.array_join(F.when(F.col("names").isNull(), F.col("toks")).otherwise(cleaned), " ").alias("text"))
+    none = F.array().cast("array<array<string>>")
+    joined = rows.join(by_row, id_col, "left").select(id_col, "toks", F.coalesce("names", none).alias("names"))
+    return joined.mapInArrow(_cleaned, T.StructType([df.schema[id_col], T.StructField("text", T.StringType())]))
