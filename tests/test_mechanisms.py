@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from labelloom.operators import reports as R, splits as S
@@ -81,3 +82,28 @@ def test_rows_are_numbered_over_ranges(spark):
     for g in range(3):
         mine = sorted(whole[i] for i in range(g, 1_000, 3))
         assert mine == list(range(len(mine)))
+
+
+def test_topic_counts_stay_with_their_documents(spark, monkeypatch):
+    """Iterations move shares and rare terms, no counts of frequent terms; where terms are parted changes no result."""
+    from labelloom.operators import topicmodel as T
+
+    rows = [(i, [f"w{i * j % 17}" for j in range(1, 12)] + [f"r{i}"]) for i in range(60)] + [(60, []), (61, None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    names, plans = [], []
+    by_document, summed = T._by_document, T._summed
+    monkeypatch.setattr(T, "_by_document", lambda p: (names.append(by_document(p)), names[-1])[1])
+    monkeypatch.setattr(T, "_summed", lambda j, k: (plans.append(j._jdf.queryExecution().executedPlan().toString()), summed(j, k))[1])
+
+    def model():
+        m = T.fit_topics(df, "id", "tokens", 2, 3)
+        return {r["term"]: r["weights"] for r in m.terms.collect()}, {r["id"]: r["shares"] for r in m.docs.collect()}
+
+    terms, docs = model()
+    assert len(names) == 1 and set(docs) == set(range(60))
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [0, 1, 1]
+    monkeypatch.setattr(T, "BROADCAST_TERMS", 9)
+    parted_terms, parted_docs = model()
+    assert len(names) == 3 and not any(spark.catalog.tableExists(n) for n in names)
+    assert parted_terms.keys() == terms.keys() and all(parted_terms[t] == pytest.approx(w) for t, w in terms.items())
+    assert all(parted_docs[i] == pytest.approx(s) for i, s in docs.items())
