@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import rules as R
 from ..functions.patterns import any_of, literal_core, portable
-from ..functions.text import let, unnest, unnest_with_position
+from ..functions.text import let, unnest
 
 # The same rule with a possessive run of plain characters: Java would otherwise
 # recurse once per character and overflow its stack on a long text without ">".
@@ -15,6 +18,8 @@ _JAVA_TAG = R.TAG_RULE.replace("[^'\">])", "[^'\">]++)")
 # stack; there a tag that ends only if a quote is read as the begin of another run stays.
 _LONG_TAG = r"""<(?:"[^"]*+"['"]*+|'[^']*+'['"]*+|[^'">]++)++>"""
 SAFE_QUOTES = 200
+# Texts that a task holds as lists of words at a time.
+ROWS_AT_ONCE = 256
 _SHORT_SEGMENT = portable(R.SHORT[0])
 
 
@@ -180,19 +185,6 @@ def whole_text_clean(text: Column) -> Column:
     return let(F.lower(text), clean)
 
 
-def _tokens_with_position(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
-    return unnest_with_position(df, [id_col], F.col(tokens), "pos", "token")
-
-
-def _regroup(tokens: DataFrame, id_col: str, token: Column) -> DataFrame:
-    """Tokens of each row back in order; a group holds the tokens of one text."""
-    return tokens.groupBy(id_col).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("pos", token.alias("token")))), lambda e: e.token), " "
-        ).alias("text")
-    )
-
-
 def remove_gazetteer(df: DataFrame, gazetteer: DataFrame, id_col: str, tokens: str, max_inline: int = 50_000) -> DataFrame:
     """Drop tokens that are names of the one-column gazetteer; returns ``(id, text)``.
 
@@ -228,14 +220,33 @@ def remove_gazetteer(df: DataFrame, gazetteer: DataFrame, id_col: str, tokens: s
     )
 
 
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the rows: each word, or its lemma if the entries of the row have one."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(i, ROWS_AT_ONCE)
+            texts = []
+            for words, entries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                lemma = {e["token"]: e["lemma"] for e in entries}
+                texts.append(" ".join([lemma.get(w, w) for w in words if w is not None]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [batch.schema.names[0], "text"])
+
+
 def lemmatize_lookup(df: DataFrame, lemmas: DataFrame, id_col: str, tokens: str) -> DataFrame:
-    """Replace tokens by the lemma of a ``(token, lemma)`` dictionary; returns ``(id, text)``."""
+    """Replace tokens by the lemma of a ``(token, lemma)`` dictionary; returns ``(id, text)``.
+
+    A row looks up its distinct tokens and gets back the entries it needs, so no token moves with its place.
+    """
     from .tables import lookup_join
 
-    exploded = _tokens_with_position(df, id_col, tokens)
-    joined = lookup_join(exploded, lemmas.select("token", "lemma"), "token", "left", max_rows=500_000)
-    texts = _regroup(joined, id_col, F.coalesce("lemma", "token"))
-    return df.select(id_col).join(texts, id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+    rows = df.select(id_col, F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("toks"))
+    entries = lemmas.select("token", F.struct("token", "lemma").alias("entry")).filter("entry.lemma IS NOT NULL")
+    found = lookup_join(unnest(rows, [id_col], F.array_distinct("toks"), "token"), entries, "token", "inner", max_rows=500_000)
+    # a group holds the entries of one text
+    by_row = found.groupBy(id_col).agg(F.collect_list("entry").alias("entries"))
+    none = F.array().cast("array<struct<token:string,lemma:string>>")
+    joined = rows.join(by_row, id_col, "left").select(id_col, "toks", F.coalesce("entries", none).alias("entries"))
+    return joined.mapInArrow(_replaced, T.StructType([df.schema[id_col], T.StructField("text", T.StringType())]))
 
 
 def filter_language(df: DataFrame, lang_col: str, lang: str | None) -> DataFrame:

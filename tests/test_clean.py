@@ -154,3 +154,14 @@ def test_names_of_a_text_are_looked_up_not_searched(spark):
         want += words[at : at + 1] * (not width)
         at += width or 1
     assert got == {1: " ".join(want), 2: "w1"}
+
+
+def test_lemmas_come_to_the_texts(spark):
+    """No token moves with its place: a row gets back the entries of its distinct tokens."""
+    rows = [(1, ["b", "a", "b", None, "c"]), (2, []), (3, None), (4, ["c"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    lemmas = spark.createDataFrame([("a", "x"), ("b", "c"), ("c", None), (None, "y")], "token string, lemma string")
+    out = K.lemmatize_lookup(df, lemmas, "id", "tokens")
+    assert {r["id"]: r["text"] for r in out.collect()} == {1: "c x c c", 2: "", 3: "", 4: "c"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "array_distinct" in plan
