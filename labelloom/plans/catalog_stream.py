@@ -19,12 +19,17 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def arriving(spark, d, files: int = 4, files_per_batch: int = 2) -> DataFrame:
-    """The documents as a stream over a few files."""
+# Rows of an arriving file at most, about: files grow in number with the documents, not in size.
+ROWS_PER_FILE = 20_000
+
+
+def arriving(spark, d, files: int = 4, batches: int = 2) -> DataFrame:
+    """The documents as a stream over at least ``files`` files of bounded size, which arrive in ``batches`` batches."""
     path = scratch_path(spark, "arriving")
     docs = table(spark, d, "documents").withColumn("url", F.md5("text"))
+    files = max(files, -(-docs.count() // ROWS_PER_FILE))
     docs.repartition(files, "doc_id").write.parquet(path)
-    return read_arriving(spark, path, docs.schema, files_per_batch)
+    return read_arriving(spark, path, docs.schema, -(-files // batches))
 
 
 def _incremental(spark, d, process, schema: str) -> DataFrame:

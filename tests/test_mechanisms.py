@@ -107,3 +107,17 @@ def test_topic_counts_stay_with_their_documents(spark, monkeypatch):
     assert len(names) == 3 and not any(spark.catalog.tableExists(n) for n in names)
     assert parted_terms.keys() == terms.keys() and all(parted_terms[t] == pytest.approx(w) for t, w in terms.items())
     assert all(parted_docs[i] == pytest.approx(s) for i, s in docs.items())
+
+
+def test_arriving_files_grow_in_number_not_in_size(spark, sf_dir, monkeypatch):
+    from labelloom.plans import catalog_stream as C
+
+    seen = []
+    monkeypatch.setattr(C, "ROWS_PER_FILE", 25, raising=False)
+    monkeypatch.setattr(C, "read_arriving", lambda spark, path, schema, per_batch: seen.append((path, per_batch)))
+    C.arriving(spark, sf_dir)
+    path, per_batch = seen[0]
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    rows = sum(sizes)
+    assert rows == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert per_batch == -(-(-(-rows // 25)) // 2) and max(sizes) < rows / 4
