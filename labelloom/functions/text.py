@@ -90,7 +90,12 @@ def term_counts(terms: Column) -> Column:
 
 def top_terms(terms: Column, k: int = 14, min_length: int = 4) -> Column:
     """The ``k`` most frequent terms of a row (ties by term), without the short ones."""
-    ranked = F.sort_array(F.transform(term_counts(terms), lambda e: F.struct((-e.n).alias("n"), e.term.alias("term"))))
+    return top_counted(term_counts(terms), k, min_length)
+
+
+def top_counted(counts: Column, k: int = 14, min_length: int = 4) -> Column:
+    """The same from the row's ``term_counts``."""
+    ranked = F.sort_array(F.transform(counts, lambda e: F.struct((-e.n).alias("n"), e.term.alias("term"))))
     return F.filter(F.transform(F.slice(ranked, 1, k), lambda e: e.term), lambda t: F.length(t) >= min_length)
 
 

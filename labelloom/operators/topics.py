@@ -44,21 +44,33 @@ def class_text_concat(
     return grouped.select(class_col, "part", F.array_join(F.transform("rows", lambda r: r.t), "|").alias("text"))
 
 
-def class_terms(df: DataFrame, classes: Column, tokens: str, out: str) -> DataFrame:
+def class_terms(df: DataFrame, classes: Column, tokens: str, out: str, counts: str | None = None, n_classes: int | None = None) -> DataFrame:
     """``(out, term, tf)``: term counts of the class documents, without building their texts.
 
     ``classes`` is the array of classes a row belongs to. A row counts its terms
-    once for all of them, and the counts combine before the shuffle.
+    once for all of them, and the counts combine before the shuffle. ``counts`` names a column
+    with the row's ``term_counts``. With ``n_classes``, classes are 0 to ``n_classes - 1``, each
+    at most once in a row: a counted term is then one row with a sum for every class.
     """
-    counted = unnest(df.select(classes.alias("cs"), tokens), ["cs"], term_counts(F.col(tokens)), "e")
-    rows = unnest(counted, [F.col("e.term").alias("term"), F.col("e.n").alias("n")], F.col("cs"), out)
-    return rows.groupBy(out, "term").agg(F.sum("n").alias("tf"))
-
-
-def class_topic_terms(df: DataFrame, classes: Column, tokens: str, out: str, k: int = 14, min_length: int = 4) -> DataFrame:
-    """Topic terms of every class document: ``(out, rank, term)``, at most ``k`` rows per class."""
+    counted = term_counts(F.col(tokens)) if counts is None else F.col(counts)
+    term, n = F.col("e.term").alias("term"), F.col("e.n").alias("n")
+    if n_classes is None:
+        needed = [tokens] if counts is None else [counts]
+        rows = unnest(unnest(df.select(classes.alias("cs"), *needed), ["cs"], counted, "e"), [term, n], F.col("cs"), out)
+        return rows.groupBy(out, "term").agg(F.sum("n").alias("tf"))
+    marks = [f"in_{c}" for c in range(n_classes)]
+    flags = [F.array_contains(classes, F.lit(c)).alias(m) for c, m in enumerate(marks)]
+    rows = unnest(df, flags, counted, "e").select(*marks, term, n)
+    sums = rows.groupBy("term").agg(F.array(*[F.sum(F.when(F.col(m), F.col("n"))) for m in marks]).alias("tfs"))
+    return sums.select(F.posexplode("tfs").alias(out, "tf"), "term").filter("tf IS NOT NULL").select(out, "term", "tf")
+
+
+def class_topic_terms(
+    df: DataFrame, classes: Column, tokens: str, out: str, k: int = 14, min_length: int = 4, counts: str | None = None, n_classes: int | None = None
+) -> DataFrame:
+    """Topic terms of every class document: ``(out, rank, term)``, at most ``k`` rows per class; see ``class_terms``."""
     w = Window.partitionBy(out).orderBy(F.desc("tf"), "term")
-    ranked = class_terms(df, classes, tokens, out).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = class_terms(df, classes, tokens, out, counts, n_classes).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.filter(F.length("term") >= min_length).select(out, "rank", "term")
 
 

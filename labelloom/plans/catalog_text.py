@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import ngrams_1_2, remove_stopwords, tokenize, top_terms, unnest
+from ..functions.text import compute_once, ngrams_1_2, remove_stopwords, term_counts, tokenize, top_counted, unnest
 from ..operators import centroids as N, coherence as W, features as X, topicmodel as T, topics as P
 from ..operators.votes import LFRegistry, apply_lfs
 from ..schemas import CARDINALITY
@@ -209,17 +209,18 @@ CENTROID_TERMS = 100
 
 
 def topiced(spark, d) -> DataFrame:
-    """Documents with topic terms, their features, and the classes whose keywords they contain: a stored stage table."""
+    """Documents with their counted terms, the topic terms, and votes for the classes whose keywords they contain: a stored stage table."""
     docs = kept_tokens(spark, d)
     votes = apply_lfs(docs, LFRegistry.standard(KEYWORDS, "text"), ["doc_id", "lang", "tokens"])
-    return stored(votes.select("doc_id", "lang", "tokens", top_terms(F.col("tokens"), CENTROID_TERMS).alias("topic"), *KEYWORD_NAMES), "stage")
+    counted = compute_once(votes, ["doc_id", *KEYWORD_NAMES], term_counts(F.col("tokens")), "counts")
+    return stored(counted.select("doc_id", "counts", top_counted(F.col("counts"), CENTROID_TERMS).alias("topic"), *KEYWORD_NAMES), "stage")
 
 
 def centroid_parts(spark, d):
     """``(docs, idf, centroids)``: the class documents are the documents that contain a keyword of the class."""
     stage = topiced(spark, d)
     member = F.filter(F.array(*KEYWORD_NAMES), lambda v: v >= 0)
-    class_terms = P.class_topic_terms(stage, member, "tokens", "cluster", CENTROID_TERMS)
+    class_terms = P.class_topic_terms(stage, member, "tokens", "cluster", CENTROID_TERMS, counts="counts", n_classes=CARDINALITY)
     class_docs = class_terms.groupBy("cluster").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda e: e.term).alias("topic")
     )

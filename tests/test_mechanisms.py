@@ -121,3 +121,17 @@ def test_arriving_files_grow_in_number_not_in_size(spark, sf_dir, monkeypatch):
     rows = sum(sizes)
     assert rows == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert per_batch == -(-(-(-rows // 25)) // 2) and max(sizes) < rows / 4
+
+
+def test_class_terms_are_one_row_for_all_classes(spark):
+    """Sums by class give the same counts as rows by class, from counts that the row brings."""
+    from labelloom.functions.text import term_counts
+    from labelloom.operators import topics as P
+
+    rows = [([0, 2], ["a", "b", "a"]), ([2], ["b", None, "c"]), ([], ["d"]), ([1], []), ([0], None)]
+    df = spark.createDataFrame(rows, "cs array<int>, tokens array<string>").withColumn("counts", term_counts(F.filter("tokens", lambda t: t.isNotNull())))
+    plain = P.class_terms(df.withColumn("tokens", F.filter("tokens", lambda t: t.isNotNull())), F.col("cs"), "tokens", "c")
+    summed = P.class_terms(df, F.col("cs"), "tokens", "c", counts="counts", n_classes=3)
+    assert sorted(map(tuple, summed.collect())) == sorted(map(tuple, plain.collect())) == [(0, "a", 2), (0, "b", 1), (2, "a", 2), (2, "b", 2), (2, "c", 1)]
+    grouped = summed._jdf.queryExecution().optimizedPlan().toString()
+    assert grouped.count("Aggregate [") == 1 and "explode_outer(cs" not in grouped.replace(" ", "")
