@@ -19,7 +19,7 @@ from .tables import union_rows
 # Digits of a weight that count when terms are ranked.
 DIGITS = 9
 # Weights of so many terms, the most frequent ones, are broadcast.
-BROADCAST_TERMS = 1_000_000
+BROADCAST_TERMS = 500_000
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
