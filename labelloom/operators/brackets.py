@@ -18,11 +18,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import hash_int, hash_order, remove_stopwords, term_counts, tokenize
+from ..functions.text import hash_int, hash_order, let, remove_stopwords, term_counts, tokenize
 from ..schemas import CARDINALITY
 from ..session import scratch_path, stored
 
 WIDTH = 1 << 12
+# Rows that are made dense at a time.
+STRETCH = 512
 RECORD_SCHEMA = "bracket int, rung int, config_id int, epochs int, score double, rank int, promoted boolean, rate double, l2 double, batch int"
 STATE_SCHEMA = "config_id int, label int, w array<double>"
 
@@ -55,18 +57,36 @@ def sampled_configs(spark: SparkSession, n: int, seed: int = 12) -> DataFrame:
 def hashed_features(df: DataFrame, key: str, text: Column, lang: Column, label: str, width: int = WIDTH) -> DataFrame:
     """``key, label, at, value``: damped term counts in hashed columns, rows of length one, without leaving the row."""
     counts = term_counts(remove_stopwords(tokenize(text), lang))
-    value = F.transform("e", lambda x: 1 + F.log(x.n.cast("double")))
-    length = F.sqrt(F.aggregate("value", F.lit(0.0), lambda a, x: a + x * x))
+    damped = F.transform("e", lambda x: 1 + F.log(x.n.cast("double")))
+
+    # the length is bound once: within the division it would be summed again for every term
+    def scaled(v: Column) -> Column:
+        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(v, lambda x: x / n))
+
     rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.explode_outer(F.array(counts)).alias("e"))
-    rows = rows.select("key", "label", F.transform("e", lambda x: F.pmod(F.xxhash64(x.term), F.lit(width)).cast("int")).alias("at"), value.alias("value"))
-    return rows.select("key", "label", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce(F.transform("value", lambda x: x / length), F.array().cast("array<double>")).alias("value"))
+    at = F.transform("e", lambda x: F.pmod(F.xxhash64(x.term), F.lit(width)).cast("int"))
+    empty = F.array()
+    return rows.select(
+        "key", "label", F.coalesce(at, empty.cast("array<int>")).alias("at"), F.coalesce(let(damped, scaled), empty.cast("array<double>")).alias("value")
+    )
+
+
+class _Rows:
+    """Hashed rows of a frame in three flat arrays; ``matrix`` makes a stretch of them dense, with a last column of ones."""
 
+    def __init__(self, frame: pd.DataFrame, width: int):
+        self.n, self.width = len(frame), width
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in frame["at"]])]).astype(int)
+        self.at = np.concatenate([np.asarray(x, int) for x in frame["at"]])
+        self.value = np.concatenate([np.asarray(x, float) for x in frame["value"]])
 
-def _matrix(frame: pd.DataFrame, width: int) -> np.ndarray:
-    out = np.zeros((len(frame), width))
-    for i, (at, value) in enumerate(zip(frame["at"], frame["value"])):
-        np.add.at(out[i], np.asarray(at, int), np.asarray(value, float))
-    return out
+    def matrix(self, first: int, last: int) -> np.ndarray:
+        out = np.zeros((last - first, self.width + 1))
+        row = np.repeat(np.arange(last - first), np.diff(self.ends[first : last + 1]))
+        part = slice(self.ends[first], self.ends[last])
+        np.add.at(out.reshape(-1), row * (self.width + 1) + self.at[part], self.value[part])
+        out[:, -1] = 1
+        return out
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -85,21 +105,55 @@ def sgd_pass(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ra
     return w
 
 
+def sgd_passes(w: np.ndarray, rows: _Rows, y: np.ndarray, weight: np.ndarray, configs: Sequence[dict]) -> np.ndarray:
+    """``sgd_pass`` of many configurations over the same rows; ``w``: configuration, class, column.
+
+    Within a stretch of rows the coefficients are those at its begin, scaled, plus the moves along the rows seen since.
+    So one product for all configurations gives the logits at the begin, the products of the rows with one another give
+    the rest, and the coefficients are moved once a stretch. Every configuration keeps its own mini-batches: one that a
+    stretch does not hold whole is left to the next stretch, which begins there.
+    """
+    m, k, columns = w.shape
+    w, place = w.copy(), np.zeros(m, int)
+    size = max(STRETCH, 4 * max(int(f["batch"]) for f in configs))
+    while (first := int(place.min())) < rows.n:
+        last = min(first + size, rows.n)
+        x = rows.matrix(first, last)
+        begin = (x @ w.reshape(m * k, columns).T).reshape(len(x), m, k)
+        inner, moves = x @ x.T, np.zeros((len(x), m, k))
+        for c, f in enumerate(configs):
+            batch, keep, scale = int(f["batch"]), 1 - f["rate"] * f["l2"], 1.0
+            z, move = np.ascontiguousarray(begin[:, c]), np.zeros((len(x), k))
+            start = i = int(place[c]) - first
+            while i < len(x) and (i + batch <= len(x) or last == rows.n):
+                part = slice(i, i + batch)
+                error = softmax(scale * z[part] + inner[part, start:i] @ move[start:i])
+                error[np.arange(len(error)), y[first:last][part]] -= 1
+                error *= weight[first:last][part, None] / len(error)
+                move[start:i] *= keep
+                move[part] = -f["rate"] * error
+                scale *= keep
+                i += len(error)
+            moves[:, c], place[c] = move, first + i
+            w[c] *= scale
+        w += (moves.reshape(len(x), m * k).T @ x).reshape(w.shape)
+    return w
+
+
 def _one_pass(train: DataFrame, state: dict[int, np.ndarray], configs: dict[int, dict], class_weight: np.ndarray, width: int) -> DataFrame:
     """``STATE_SCHEMA`` after one pass of all configurations in ``state``: averages over the tasks by their rows."""
+    ids = list(state)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, rows = dict(state), 0
+        own, n = np.stack([state[c] for c in ids]), 0
         for frame in frames:
             if not len(frame):
                 continue
-            x, y = _matrix(frame, width), frame["label"].to_numpy(int)
-            rows += len(frame)
-            for c in own:
-                f = configs[c]
-                own[c] = sgd_pass(own[c], x, y, class_weight[y], f["rate"], f["l2"], int(f["batch"]))
-        if rows:
-            yield pd.DataFrame([(c, k, float(rows), w[k].tolist()) for c, w in own.items() for k in range(len(w))], columns=["config_id", "label", "rows", "w"])
+            y = frame["label"].to_numpy(int)
+            n += len(frame)
+            own = sgd_passes(own, _Rows(frame, width), y, class_weight[y], [configs[c] for c in ids])
+        if n:
+            yield pd.DataFrame([(c, k, float(n), w[k].tolist()) for c, w in zip(ids, own) for k in range(len(w))], columns=["config_id", "label", "rows", "w"])
 
     moved = train.select("label", "at", "value").mapInPandas(run, "config_id int, label int, rows double, w array<double>")
     mean = Summarizer.mean(F.col("v"), F.col("rows"))
@@ -111,10 +165,18 @@ def _accuracy(test: DataFrame, state: dict[int, np.ndarray], width: int) -> dict
     """Share of right predictions of every configuration, ties to the lower class."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = np.stack(list(state.values()))
+        flat = w.reshape(-1, w.shape[2]).T
         for frame in frames:
-            x, y = _matrix(frame, width), frame["label"].to_numpy(int)
-            hits = [(c, int(((x @ w[:, :-1].T + w[:, -1]).argmax(axis=1) == y).sum()), len(y)) for c, w in state.items()]
-            yield pd.DataFrame(hits, columns=["config_id", "hits", "n"])
+            if not len(frame):
+                continue
+            rows, y = _Rows(frame, width), frame["label"].to_numpy(int)
+            hits = np.zeros(len(w), int)
+            for i in range(0, rows.n, STRETCH):
+                x = rows.matrix(i, min(i + STRETCH, rows.n))
+                best = (x @ flat).reshape(len(x), *w.shape[:2]).argmax(axis=2)
+                hits += (best == y[i : i + STRETCH, None]).sum(axis=0)
+            yield pd.DataFrame({"config_id": list(state), "hits": hits, "n": rows.n})
 
     found = test.select("label", "at", "value").mapInPandas(run, "config_id int, hits long, n long").groupBy("config_id").agg((F.sum("hits") / F.sum("n")).alias("score"))
     return {r["config_id"]: r["score"] for r in found.collect()}
@@ -148,13 +210,14 @@ def search_brackets(
     if len(given) < sum(b.start for b in brackets):
         raise ValueError(f"{len(given)} configurations for {sum(b.start for b in brackets)} places")
     by_id = {c["config_id"]: c for c in given}
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    class_weight = np.array([total / (len(counts) * counts[k]) if k in counts else 0.0 for k in range(CARDINALITY)])
     # the same rows in the same order in every pass
     tasks = spark.sparkContext.defaultParallelism
     train = stored(train.repartition(tasks, "key").sortWithinPartitions(hash_order(F.col("key"))), "bracket_train")
     test = stored(test, "bracket_test")
+    # counted in the stored rows: the features would be computed for it once more
+    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    class_weight = np.array([total / (len(counts) * counts[k]) if k in counts else 0.0 for k in range(CARDINALITY)])
     alive, at = [], 0
     for b in brackets:
         alive.append([c["config_id"] for c in given[at : at + b.start]])

@@ -109,7 +109,7 @@ def weak_labels(spark, d) -> DataFrame:
     """Documents with the label of the keyword label model."""
     docs = documents(spark, d)
     model = partial_model(votes(spark, d))
-    return M.label_corpus(docs, REGISTRY, model, ["doc_id", "text"])
+    return M.label_corpus(docs, REGISTRY, model, ["doc_id", "lang", "text"])
 
 
 def train_and_test(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -201,8 +201,7 @@ QUERIES["search_random"] = search_random
 
 def search_halving(spark, d):
     """39 drawn classifier configurations in three brackets, trained in passes, the best third of each rung going on."""
-    docs = documents(spark, d).select("doc_id", "lang")
-    train, test = (H2.hashed_features(part.join(docs, "doc_id"), "doc_id", F.col("text"), F.col("lang"), "label") for part in train_and_test(spark, d))
+    train, test = (H2.hashed_features(part, "doc_id", F.col("text"), F.col("lang"), "label") for part in train_and_test(spark, d))
     return H2.search_brackets(train, test, H2.sampled_configs(spark, sum(b.start for b in H2.BRACKETS)))
 
 

@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,29 @@ def test_brackets_resume_from_stored_passes(spark, monkeypatch):
     assert passes == []
     with pytest.raises(ValueError, match="configurations for"):
         B.search_brackets(train, test, configs.limit(2), few, width=512)
+
+
+def test_brackets_train_together_as_alone():
+    """Many configurations in one go over the rows end where each would end alone."""
+    rng = np.random.default_rng(3)
+    at = [rng.integers(0, 40, rng.integers(0, 12)) for _ in range(1300)]
+    frame = pd.DataFrame({"at": at, "value": [rng.random(len(x)) for x in at]})
+    rows, y = B._Rows(frame, 40), rng.integers(0, 3, len(at))
+    weight, w = rng.random(len(at)), rng.random((3, 3, 41))
+    configs = [{"rate": 0.5, "l2": 0.01, "batch": 7}, {"rate": 3.0, "l2": 1e-4, "batch": 127}, {"rate": 0.1, "l2": 0.5, "batch": 600}]
+    x = rows.matrix(0, len(at))
+    assert x[5, at[5]].sum() > 0 or not len(at[5])
+    together = B.sgd_passes(w, rows, y, weight, configs)
+    for c, f in enumerate(configs):
+        alone = B.sgd_pass(w[c], x[:, :-1], y, weight, f["rate"], f["l2"], f["batch"])
+        assert np.abs(together[c] - alone).max() < 1e-9
+
+
+def test_hashed_features_of_a_long_text_grow_with_it(spark):
+    """The length of a row is summed once, not once per term: thirty thousand different terms took minutes."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))))
+    df = spark.range(1).select(F.col("id").cast("int").alias("id"), text.alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("label"))
+    began = time.time()
+    row = B.hashed_features(df, "id", F.col("text"), F.col("lang"), "label").first()
+    assert time.time() - began < 15
+    assert len(row["value"]) == 30_000 and abs(sum(v * v for v in row["value"]) - 1) < 1e-9
