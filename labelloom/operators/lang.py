@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import term_counts, unnest
 from ..session import stored
-from .tables import join_hot_aware, lookup_join
+from .tables import join_hot_aware
+
+# A profile of so many trigrams is broadcast.
+BROADCAST_GRAMS = 100_000
 
 
 def trigrams(text: Column) -> Column:
@@ -38,6 +41,11 @@ def _counted(df: DataFrame, keep: list, text: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "e"], F.col("e.term").alias("gram"), F.col("e.n").alias("n"))
 
 
+def _occurring(df: DataFrame, keep: list, text: str) -> DataFrame:
+    """The same with a row for every trigram that occurs, ``n`` is 1: sums over it need no sort in the row."""
+    return unnest(df, keep, trigrams(F.col(text)), "gram").withColumn("n", F.lit(1))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """``profile``: ``gram, logs``, the log-probabilities in the order of ``languages``; ``priors``: theirs."""
@@ -50,7 +58,11 @@ class LanguageModel:
         """Add the best language (ties: the first) and its mean log-probability per known trigram; null without any."""
         k = len(self.languages)
         keyed = df.withColumn("_key", _text_key(F.col(text)))
-        known = lookup_join(_counted(keyed, ["_key"], text), self.profile, "gram", "inner")
+        if self.profile.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+            known = _occurring(keyed, [F.col("_key")], text).join(F.broadcast(self.profile), "gram")
+        else:
+            # rows that move are worth the sort that makes them few
+            known = join_hot_aware(_counted(keyed, ["_key"], text), self.profile, "gram", "inner")
         # a text's trigrams are in one task still, so its sums combine before the shuffle; copies add up alike
         sums = known.groupBy("_key").agg(
             F.array(*[F.sum(F.col("n") * F.get("logs", F.lit(i))) for i in range(k)]).alias("s"), F.sum("n").alias("grams")
@@ -74,7 +86,7 @@ def train_language_model(df: DataFrame, text: str, lang: str) -> LanguageModel:
     rows = df.filter(F.col(lang).isNotNull())
     docs = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(docs))
-    counts = stored(_counted(rows, [F.col(lang).alias("l")], text).groupBy("l", "gram").agg(F.sum("n").alias("n")), "language_counts")
+    counts = stored(_occurring(rows, [F.col(lang).alias("l")], text).groupBy("l", "gram").agg(F.sum("n").alias("n")), "language_counts")
     totals = {r["l"]: r["n"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     vocabulary = counts.select("gram").distinct().count()
     per_language = [F.coalesce(F.sum(F.when(F.col("l") == x, F.col("n"))), F.lit(0)) for x in languages]

@@ -159,3 +159,17 @@ def test_votes_outside_the_classes_fail(spark):
     registry = votes.LFRegistry.standard({0: ["x"]}, "t")
     df = spark.createDataFrame([("x",), (None,)], "t string")
     assert votes.apply_lfs(df, registry, []).count() == 2
+
+
+def test_small_profiles_count_without_a_sort(spark, monkeypatch):
+    """Training and detection took a sort of every text's trigrams; only rows that move need it, with the same result."""
+    from labelloom.operators import lang as L
+
+    rows = [(i, t, l) for i, (t, l) in enumerate([("the house and the river", "en"), ("das haus und der fluss", "de"), ("the end", None), ("", "en"), (None, "de"), ("the end", None)])]
+    df = spark.createDataFrame(rows, "id int, text string, lang string")
+    run = lambda: sorted((r["id"], r["lang_pred"], r["lang_score"] and round(r["lang_score"], 9)) for r in L.train_language_model(df, "text", "lang").detect(df, "text").collect())
+    with monkeypatch.context() as m:
+        m.setattr(L, "_counted", None)
+        small = run()
+    monkeypatch.setattr(L, "BROADCAST_GRAMS", 1)
+    assert run() == small and [x[1] for x in small[:3]] == ["en", "de", "en"]
