@@ -62,6 +62,15 @@ def literal_core(rule: str) -> str:
     return "" if re.search(r"[\\.\[\](){}^$|?+]|(?<!\\)\*", core(rule).replace("\\*", "")) else plain
 
 
+def needed_text(rule: str) -> str:
+    """The longest plain text that every match of the rule contains; the rule may ask for more. Empty if none is known."""
+    inner = re.sub(r"^\(([^()|?*+\[\]{}^$\\.]*)\)$", r"\1", core(rule))
+    parts = re.split(r"\\[wsd][*?]", inner)
+    if any(re.search(r"[\\.\[\](){}^$|?+*]", x) for x in parts):
+        return literal_core(rule)
+    return max(parts, key=len)
+
+
 def _trie(words: list[str]) -> str:
     """Alternation of literal words that shares their first characters."""
     heads: dict[str, list[str]] = {}

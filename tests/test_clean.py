@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions import rules as R
-from labelloom.functions.patterns import any_of, literal_core, portable
+from labelloom.functions.patterns import any_of, literal_core, needed_text, portable
 from labelloom.operators import clean as K
 
 
@@ -165,3 +165,18 @@ def test_lemmas_come_to_the_texts(spark):
     assert {r["id"]: r["text"] for r in out.collect()} == {1: "c x c c", 2: "", 3: "", 4: "c"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and "array_distinct" in plan
+
+
+def test_every_website_rule_has_a_text_it_needs():
+    """A rule without one ran over every text."""
+    assert needed_text(r"\w*recht\w* hinweis\w*") == " hinweis" and needed_text("(g/km)") == "g/km"
+    assert all(needed_text(r) for r in R.WEBSITES + R.DOMAIN)
+    assert needed_text(r"a|b") == needed_text(r"(a|b)") == needed_text("a.c") == ""
+
+
+def test_gap_rule_means_the_same_to_java(spark):
+    parts = ["a", "!", "~", " ", "\t", "\n", "\x1c", "\x85", "\xa0", " ", " ", " ", " ", "　", "é", "\x7f"]
+    df = spark.createDataFrame([("b" + x + y + z + "c",) for x in parts for y in parts for z in parts], "t string")
+    differs = F.regexp_replace("t", K._JAVA_GAP, "_") != F.regexp_replace("t", portable(K.GAP), "_")
+    assert df.filter(differs).count() == 0
+    assert df.filter(F.regexp_replace("t", K._JAVA_GAP, "_").contains("_")).count() > 1000
