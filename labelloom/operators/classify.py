@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.patterns import WORD
 from ..functions.text import stopwords_for
 from ..schemas import CLASSES
+from ..session import stored
 from .metrics import confusion, metrics
 from .splits import class_weights
 
@@ -33,12 +34,18 @@ def clf_features(df: DataFrame, text: str, lang: str = "en", n_features: int = 1
 def clf_train(
     train: DataFrame, text: str, label: str, lang: str = "en", max_iter: int = 20, reg: float = 1e-3, n_features: int = 1 << 14
 ) -> PipelineModel:
-    """Multinomial logistic regression; the weight of a row is the inverse share of its class."""
+    """Multinomial logistic regression; the weight of a row is the inverse share of its class.
+
+    Stages that learn nothing come first. Their term counts are stored, so that idf weights and regression do not read the texts again.
+    """
     weighted = class_weights(train.filter(F.col(label) >= 0), label)
     regression = LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", family="multinomial", maxIter=max_iter, regParam=reg
     )
-    return Pipeline(stages=feature_stages(text, lang, n_features) + [regression]).fit(weighted)
+    stages = feature_stages(text, lang, n_features)
+    fixed, learning = stages[:3], stages[3:] + [regression]
+    counts = stored(PipelineModel(fixed).transform(weighted).select(label, "weight", "_tf"), "clf_counts")
+    return PipelineModel(fixed + Pipeline(stages=learning).fit(counts).stages)
 
 
 def clf_predict(model: PipelineModel, df: DataFrame, class_names=CLASSES) -> DataFrame:

@@ -55,3 +55,23 @@ def test_label_and_classify(spark):
     assert right > 0.85 and labelled.count() > 1000
     model, scores = stages.classifier_run(labelled, "text", "label", n_features=1 << 10, max_iter=10)
     assert scores.first()["accuracy"] > 0.8
+
+
+def test_classifier_reads_texts_once(spark):
+    """Idf weights and every step of the regression that touched the rows tokenised the texts again."""
+    from pyspark.sql import functions as F
+
+    from labelloom.operators import classify as C
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(i):
+        seen.add(1)
+        return f"word{i % 3} thing{i % 7} other"
+
+    df = spark.range(90).repartition(3).select(F.col("id").cast("int").alias("id"), read("id").alias("text"), (F.col("id") % 3).cast("int").alias("label"))
+    model = C.clf_train(df, "text", "label", max_iter=5)
+    assert seen.value == 90
+    texts = spark.createDataFrame([(i, f"word{i} thing1") for i in range(3)], "id int, text string")
+    assert {r["id"]: r["pred"] for r in C.clf_predict(model, texts).collect()} == {0: 0, 1: 1, 2: 2}
