@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import term_counts, unnest
 from ..session import stored
 from .tables import union_rows
 
+# Terms that are broadcast, chosen on about so many documents: which they are decides what moves, never a result.
+BROADCAST_TERMS = 500_000
+SAMPLE_DOCS = 20_000
+# Documents that a task weighs at a time.
+ROWS_AT_ONCE = 256
+_ROW = "_row"
+
 
 def term_table(df: DataFrame, id_col: str, terms: str) -> DataFrame:
     """``(id, term, tf)``: counted inside each row, without a shuffle."""
@@ -35,24 +47,58 @@ def attach_by_term(tf: DataFrame, terms: DataFrame, max_hot: int = 10_000) -> Da
     return union_rows(common, rare)
 
 
-def idf_table(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """``(term, df, idf)`` with ``idf = ln((1+n)/(1+df)) + 1``; ``n_docs`` has one row with the number of documents."""
-    n = n_docs.scalar()
-    return document_frequency(tf).withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
+def least_frequency(counts: DataFrame, most: int) -> int:
+    """The ``df`` from which on at most ``most`` terms of ``counts(term, df)`` are left; 1 if all are."""
+    seen = 0
+    for r in counts.groupBy("df").count().orderBy(F.desc("df")).collect():
+        seen += r["count"]
+        if seen > most:
+            return r["df"] + 1
+    return 1
 
 
-def tfidf(df: DataFrame, id_col: str, terms: str) -> DataFrame:
-    """``(id, term, tf, tfidf)``, rows scaled to length one.
+def tfidf(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
+    """``(id, term, tf, tfidf)``, rows scaled to length one; ``terms`` is an array made of columns of ``df``.
 
-    The counts and the idf table feed several branches, so they are written
-    once instead of counting the texts again.
+    Documents are stored and move once; their counted terms do not. Frequent terms are chosen on a sample, counted on
+    all documents, and broadcast. A document sends its other terms out to be counted, and gets those back that
+    occur in other documents too: a term that does not come back occurs in no other. Weights and length are then taken in the row.
     """
-    tf = stored(term_table(df, id_col, terms), "tf")
-    return weigh(tf, stored(idf_table(tf, df.agg(F.count(F.lit(1)))), "idf"), id_col)
-
-
-def weigh(tf: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
-    """Apply an idf table and scale every document to length one; the window groups are single documents."""
-    raw = attach_by_term(tf, idf).select(id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", "tf", (F.col("w") / norm).alias("tfidf"))
+    spark = df.sparkSession
+    docs = stored(df.withColumn(_ROW, F.monotonically_increasing_id()), "documents")
+    n = docs.count()
+    every = unnest(docs, [_ROW], F.array_distinct(terms), "term")
+    sample = every if n <= SAMPLE_DOCS else every.filter(F.pmod(F.xxhash64(_ROW), F.lit(n // SAMPLE_DOCS)) == 0)
+    # a term that the sample has once may be in no other document
+    found = stored(document_frequency(sample).filter("df > 1"), "sampled_terms")
+    chosen = found.filter(F.col("df") >= least_frequency(found, BROADCAST_TERMS)).select("term")
+    frequent = stored(document_frequency(every.join(F.broadcast(chosen), "term")), "frequent_terms")
+
+    rest = every.join(F.broadcast(frequent.select("term")), "term", "left_anti")
+    counted = rest.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    back = counted.filter("df > 1").repartition(_ROW).groupBy(_ROW).agg(F.collect_list(F.struct("term", "df")).alias("_shared"))
+    rows = docs.join(back, _ROW, "left").select(id_col, term_counts(terms).alias("_counts"), "_shared")
+
+    known = frequent.toArrow()
+    table = spark.sparkContext.broadcast((known["term"].combine_chunks(), known["df"].to_numpy()))
+    out = T.StructType(
+        [df.schema[id_col], T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("tfidf", T.DoubleType())]
+    )
+    return rows.mapInArrow(lambda batches: _weighed(batches, n, *table.value), out)
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], n: int, known: pa.Array, known_df: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per counted term of a document, weighed and divided by the document's length."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(i, ROWS_AT_ONCE)
+            counts, shared = batch.column(1), batch.column(2).flatten()
+            row, (term, tf) = pc.list_parent_indices(counts), counts.flatten().flatten()
+            # a term's df is the same for all documents, so those of the batch look up in one list
+            terms = pa.chunked_array([known, shared.field("term").cast(known.type)])
+            place = pc.index_in(term, value_set=terms.combine_chunks()).fill_null(len(terms)).to_numpy(zero_copy_only=False)
+            df = np.concatenate([known_df, shared.field("df").to_numpy(zero_copy_only=False), [1]])[place]
+            weight = tf.to_numpy(zero_copy_only=False) * (np.log((1 + n) / (1 + df)) + 1)
+            length = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))
+            columns = [batch.column(0).take(row), term, tf, pa.array(weight / length[row])]
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "term", "tf", "tfidf"])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import hash_int, term_counts, unnest
 from ..session import scratch_path, stored
+from .features import least_frequency
 from .tables import union_rows
 
 # Digits of a weight that count when terms are ranked.
@@ -71,12 +72,7 @@ def _by_document(pairs: DataFrame) -> str:
 
 def _least_df(terms: DataFrame) -> int:
     """The document frequency from which on terms are broadcast: at most BROADCAST_TERMS have it. 1 if all terms are."""
-    seen = 0
-    for r in terms.groupBy("df").count().orderBy(F.desc("df")).collect():
-        seen += r["count"]
-        if seen > BROADCAST_TERMS:
-            return r["df"] + 1
-    return 1
+    return least_frequency(terms, BROADCAST_TERMS)
 
 
 def _with_shares(pairs: DataFrame, docs: DataFrame, n: int, k: int) -> DataFrame:

@@ -50,8 +50,10 @@ ORACLES["ngrams_1_2"] = f"WITH {KEPT_SQL}, {GRAMS_SQL} SELECT doc_id, term, coun
 
 
 def tfidf(spark, d):
-    grams = kept_tokens(spark, d).select("doc_id", ngrams_1_2(F.col("tokens")).alias("g"))
-    return X.tfidf(grams, "doc_id", "g").select("doc_id", "term", F.col("tf").cast("bigint").alias("tf"), F.round("tfidf", 6).alias("tfidf"))
+    # tokens contain no blank; as one text they take less room where they are stored and moved
+    docs = kept_tokens(spark, d).select("doc_id", F.array_join("tokens", " ").alias("kept"))
+    tokens = F.filter(F.split("kept", " "), lambda t: t != "")
+    return X.tfidf(docs, "doc_id", ngrams_1_2(tokens)).select("doc_id", "term", F.col("tf").cast("bigint").alias("tf"), F.round("tfidf", 6).alias("tfidf"))
 
 
 QUERIES["tfidf"] = tfidf

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,28 @@ def test_groups_after_union_come_out_once(spark):
     assert joined.groupBy("id").count().count() == 5000 and joined.count() == 5000 * 41
 
 
+@pytest.mark.parametrize("most, sampled", [(500_000, 20_000), (7, 20_000), (0, 20_000), (7, 10)])
+def test_tfidf_moves_no_counted_term_of_a_document(spark, monkeypatch, most, sampled):
+    """Whatever is broadcast or sampled, weights agree with brute force, and no row leaves its document to be scaled."""
+    monkeypatch.setattr(X, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(X, "SAMPLE_DOCS", sampled)
+    monkeypatch.setattr(X, "ROWS_AT_ONCE", 16)
+    draw = random.Random(1)
+    texts = {i: ["all"] + [draw.choice("abcdefgh") * draw.randint(1, 9) for _ in range(draw.randint(0, 30))] + [f"only{i}", "ä b"] for i in range(200)}
+    texts |= {200: [], 201: None, None: ["all", "none"]}
+    df = spark.createDataFrame(list(texts.items()), "id int, words array<string>").repartition(5)
+    got = X.tfidf(df, "id", F.col("words"))
+    assert "hashpartitioning(id" not in got._jdf.queryExecution().executedPlan().toString()
+    frequency = Counter(t for words in texts.values() for t in set(words or []))
+    want = {}
+    for i, words in texts.items():
+        raw = {t: c * (math.log((1 + len(texts)) / (1 + frequency[t])) + 1) for t, c in Counter(words).items()}
+        want |= {(i, t): (Counter(words)[t], w / math.hypot(*raw.values())) for t, w in raw.items()}
+    rows = got.collect()
+    assert len(rows) == len(want)
+    assert {(r["id"], r["term"]): (r["tf"], pytest.approx(r["tfidf"])) for r in rows} == want
+
+
 def test_first_per_key_with_hot_key(skewed):
     got = {r["key"]: r["i"] for r in T.first_per_key(skewed, ["key"], [-F.col("i")]).collect()}
     want = {}
