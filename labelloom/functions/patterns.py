@@ -49,11 +49,16 @@ def portable(pattern: str) -> str:
 
 _LEAD = re.compile(r"^(?:\\w\*|\\s\?)+")
 _TRAIL = re.compile(r"(?:\\w\*|\\s\*|\\s\?|\\d\*)+$")
+_GROUP = re.compile(r"^\(([^()|?*+\[\]{}^$\\.]*)\)$")
+# Characters by how rarely European prose has them; others are rarer still.
+_RARE_FIRST = "xjßöüäzwkvybpfgmhcdlutsaoren i"
+# Alternatives that are tried one by one before a test of one character stands for them.
+_AT_ONCE = 4
 
 
 def core(rule: str) -> str:
     """The part of a rule that decides whether it is found: optional material at its ends cannot."""
-    return _TRAIL.sub("", _LEAD.sub("", rule))
+    return _GROUP.sub(r"\1", _TRAIL.sub("", _LEAD.sub("", rule)))
 
 
 def literal_core(rule: str) -> str:
@@ -62,36 +67,60 @@ def literal_core(rule: str) -> str:
     return "" if re.search(r"[\\.\[\](){}^$|?+]|(?<!\\)\*", core(rule).replace("\\*", "")) else plain
 
 
+def _plain_parts(rule: str) -> list[str]:
+    """Plain texts that every match of the rule contains."""
+    parts = re.split(r"\\[wsd][*?]", core(rule))
+    if any(re.search(r"[\\.\[\](){}^$|?+*]", x) for x in parts):
+        return [literal_core(rule)]
+    return parts
+
+
 def needed_text(rule: str) -> str:
     """The longest plain text that every match of the rule contains; the rule may ask for more. Empty if none is known."""
-    inner = re.sub(r"^\(([^()|?*+\[\]{}^$\\.]*)\)$", r"\1", core(rule))
-    parts = re.split(r"\\[wsd][*?]", inner)
-    if any(re.search(r"[\\.\[\](){}^$|?+*]", x) for x in parts):
-        return literal_core(rule)
-    return max(parts, key=len)
+    return max(_plain_parts(rule), key=len)
 
 
-def _trie(words: list[str]) -> str:
-    """Alternation of literal words that shares their first characters."""
-    heads: dict[str, list[str]] = {}
-    for w in words:
-        heads.setdefault(w[0], []).append(w[1:])
-    parts = []
-    for head, tails in heads.items():
-        rest = "" if "" in tails else _trie(tails)
-        parts.append(re.sub(r"([.\\+*?()\[\]{}|^$])", r"\\\1", head) + rest)
+def _escaped(text: str) -> str:
+    return re.sub(r"([-.\\+*?()\[\]{}|^$])", r"\\\1", text)
+
+
+def _one_of(parts: list[str]) -> str:
     return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
+def _rest(words: list[tuple[str, str]]) -> str:
+    """What follows the rare character of the words, as ``(rest, word)``; the whole word must have been read at its end."""
+    heads: dict[str, list[tuple[str, str]]] = {}
+    for rest, word in sorted(words):
+        heads.setdefault(rest[:1], []).append((rest[1:], word))
+    return _one_of([p for head, tails in heads.items() for p in ([_escaped(head) + _rest(tails)] if head else [f"(?<={_escaped(w)})" for _, w in tails])])
+
+
+def _any_word(words: list[str]) -> str:
+    """Pattern that is found exactly if one of the words is; what it matches is a part of that word.
+
+    The search stops at few characters only: each word is looked for from its rarest character on, and a
+    test of one character decides whether a group of alternatives is tried.
+    """
+    by_rare: dict[str, list[tuple[str, str]]] = {}
+    for w in words:
+        at = min(range(len(w)), key=lambda i: _RARE_FIRST.find(w[i]))
+        by_rare.setdefault(w[at], []).append((w[at + 1 :], w))
+    found = sorted(by_rare, key=lambda c: (-_RARE_FIRST.find(c), c))
+    groups = [found[i : i + _AT_ONCE] for i in range(0, len(found), _AT_ONCE)]
+    any_char = lambda cs: "(?=[" + "".join(map(_escaped, cs)) + "])"
+    return any_char(found) + _one_of([any_char(g) + _one_of([_escaped(c) + _rest(by_rare[c]) for c in g]) for g in groups])
+
+
 def any_of(rules) -> str:
     """One pattern that is found in a text exactly if some rule is found in it.
 
-    Plain rules become a trie, and a plain rule that contains another adds nothing.
+    A rule that asks for a text with a plain rule inside adds nothing.
     """
     plain = sorted({literal_core(r) for r in rules} - {""}, key=len)
     plain = [w for i, w in enumerate(plain) if not any(v in w for v in plain[:i])]
-    others = dict.fromkeys(portable(core(r)) for r in rules if not literal_core(r))
-    return "|".join([_trie(sorted(plain))] * bool(plain) + [f"(?:{c})" for c in others])
+    others = [r for r in rules if not literal_core(r) and not any(w in part for w in plain for part in _plain_parts(r))]
+    return "|".join([_any_word(plain)] * bool(plain) + [f"(?:{c})" for c in dict.fromkeys(portable(core(r)) for r in others)])
 
 
 def any_literal(words) -> str:

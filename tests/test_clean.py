@@ -83,6 +83,20 @@ def test_any_of_is_exact():
         assert bool(test.search(word)) == any(s.search(word) for s in singles), word
 
 
+def test_any_of_looks_at_few_characters():
+    """All rules of the second word step are plain or contain a plain one, and a common letter starts no comparison."""
+    pattern = any_of(R.WEBSITES + R.DOMAIN)
+    test, plain = re.compile(pattern), [literal_core(r) for r in R.WEBSITES + R.DOMAIN if literal_core(r)]
+    assert "g/km" in plain and "hinweis" not in pattern and re.match(r"\(\?=\[([^]]*)\]\)", pattern)
+    assert not set(re.match(r"\(\?=\[([^]]*)\]\)", pattern)[1]) & set("aeinor ")
+    for word in plain:
+        assert test.search(word) and test.search(f"x{word}x") and test.search(f"{word[:-1]}{word}")
+        assert bool(test.search(word[:-1])) == any(w in word[:-1] for w in plain)
+        assert bool(test.search(word[1:])) == any(w in word[1:] for w in plain)
+    odd = re.compile(any_of(["a-b", "a]c", "^x", r"d\*", "a^"]))
+    assert [bool(odd.search(t)) for t in ("1a-b", "a]c", "x", "yx", "d*", "dd", "a^", "ab", "ac")] == [True, True, True, False, True, False, False, False, False]
+
+
 def test_long_tag_without_end(spark):
     text = "<" + "a" * 200_000
     assert apply(spark, K.strip_markup, text, text + ">rest of it") == [text, "rest of it"]
