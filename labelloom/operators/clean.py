@@ -24,6 +24,8 @@ ROWS_AT_ONCE = 256
 GAP = R.MARKUP[4]
 _JAVA_GAP = "(?![!-~])" + portable(GAP)
 _SHORT_SEGMENT = portable(R.SHORT[0])
+# What a rule of R.MARKUP needs to be found: one of its characters, its word, or a gap. Most characters fail the first test.
+_MARKED = r"(?![!-;=-ce-z|}~ß-áã-ÿ])(?:[<{\n\x{a0}\x{e2}\x{80}\x{8b}\x{9d}\x{200b}]|dbx707|" + _JAVA_GAP + ")"
 
 
 def _delete(text: Column, patterns) -> Column:
@@ -57,7 +59,13 @@ def _delete_markup(segment: Column, extra) -> Column:
 def strip_markup(text: Column, extra=()) -> Column:
     """Delete markup from every pipe-separated segment; drop short and repeated segments."""
     segments = F.filter(F.split(text, r"\|"), lambda s: (s != "") & (s != "\n"))
-    cleaned = F.transform(segments, lambda s: F.regexp_replace(_delete_markup(s, extra), _SHORT_SEGMENT, ""))
+
+    def marked(segment: Column) -> Column:
+        return F.when(segment.rlike(_MARKED), _delete_markup(segment, ())).otherwise(segment)
+
+    # without user rules the test looks at the segment itself
+    one = (lambda s: let(_delete(s, extra), marked)) if extra else marked
+    cleaned = F.transform(segments, lambda s: F.regexp_replace(one(s), _SHORT_SEGMENT, ""))
     return F.array_join(F.array_distinct(F.filter(cleaned, lambda s: s != "")), "|")
 
 

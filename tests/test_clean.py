@@ -97,6 +97,21 @@ def test_any_of_looks_at_few_characters():
     assert [bool(odd.search(t)) for t in ("1a-b", "a]c", "x", "yx", "d*", "dd", "a^", "ab", "ac")] == [True, True, True, False, True, False, False, False, False]
 
 
+def test_markup_rules_run_where_one_can_be_found(spark):
+    """A segment without mark is not touched by any rule; all others meet all rules, after the user's."""
+    rng = random.Random(5)
+    marks = ["<", ">", "<from>", "</from>", "@", ".", "{", "}", "{{..}}", "  ", "\t\u2003", "\n", "\xa0", "dbx707", "dbx", "707", "\xe2"]
+    bits = marks + ["\x80", "\x8b", "\x9d", "\u200b", "'", '"', " "] + ["word", "Ünlü", "é", "d", "ß", "zz", "~"] * 4
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) + " long end" for _ in range(3000)] + [m + " long end" for m in marks]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    quiet = ~F.col("t").rlike(K._MARKED)
+    for extra in ((), ("zz", r"^word")):
+        every = F.regexp_replace(K._delete_markup(F.col("t"), extra), K._SHORT_SEGMENT, "")
+        rows = df.select(every.alias("want"), K.strip_markup(F.col("t"), extra).alias("got"), quiet.alias("quiet"), "t").collect()
+        assert [r["got"] for r in rows] == [r["want"] for r in rows]
+        assert extra or all(r["want"] == r["t"] for r in rows if r["quiet"]) and 100 < sum(r["quiet"] for r in rows) < 2900
+
+
 def test_long_tag_without_end(spark):
     text = "<" + "a" * 200_000
     assert apply(spark, K.strip_markup, text, text + ">rest of it") == [text, "rest of it"]
