@@ -47,17 +47,18 @@ def readings(word: str) -> list[str]:
 
 
 def _each_path(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """``(places, weight)`` of the subsequences along each path, ``(words, starts)``, for words of one length.
+    """``(places, weight)`` of the subsequences along each path, ``(starts, words)``, for words of one length.
 
-    Paths that begin alike share the hashes of their beginning.
+    Paths that begin alike share the hashes of their beginning. A row per start, so that a shorter path's part of a
+    table is one stretch of memory.
     """
-    length = codes.shape[1]
+    length = len(codes)
     known = {(0,): (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)}
 
     def hashed(path: tuple[int, ...]) -> np.ndarray:
         if path not in known:
             starts = length - path[-1]
-            h = hashed(path[:-1])[:, :starts] ^ codes[:, path[-1] : path[-1] + starts]
+            h = hashed(path[:-1])[:starts] ^ codes[path[-1] : path[-1] + starts]
             h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             known[path] = h
@@ -65,26 +66,26 @@ def _each_path(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
 
     for path in PATHS:
         if length > path[-1]:
-            yield (hashed(path) >> np.uint64(64 - BITS)).astype(np.int32), DECAY ** (path[-1] + 1)
+            yield (hashed(path) >> np.uint64(64 - BITS)).view(np.int64), DECAY ** (path[-1] + 1)
 
 
 def _coded(words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(indices, code points)`` of the words of each length, in blocks that bound the memory of one step."""
+    """``(indices, code points)`` of the words of each length, a row per character, in blocks that bound the memory of one step."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
         for i in range(0, len(at), 4_096):
             part = at[i : i + 4_096]
             raw = "".join([words[j] for j in part.tolist()]).encode("utf-32-le", "surrogatepass")
-            yield part, np.frombuffer(raw, np.uint32).reshape(len(part), n).astype(np.uint64)
+            yield part, np.ascontiguousarray(np.frombuffer(raw, np.uint32).reshape(len(part), n).T, np.uint64)
 
 
 def _by_length(words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(indices, places, weights)`` for the words of each length; weights have unit norm."""
     for part, codes in _coded(words):
         found = list(_each_path(codes))
-        places = np.concatenate([p for p, _ in found], axis=1) if found else np.zeros((len(part), 0), np.int32)
-        weights = np.concatenate([np.full(p.shape[1], w) for p, w in found]) if found else np.zeros(0)
+        places = np.ascontiguousarray(np.concatenate([p for p, _ in found]).T, np.int32) if found else np.zeros((len(part), 0), np.int32)
+        weights = np.concatenate([np.full(len(p), w) for p, w in found]) if found else np.zeros(0)
         norm = np.sqrt((weights**2).sum())
         yield part, places, weights / norm if norm else weights
 
@@ -101,19 +102,22 @@ def features(words: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def scores(words: Sequence[str], weight: np.ndarray, bias: float) -> np.ndarray:
     """Margin of each word under one weight for every place: the largest of its readings and windows."""
-    pieces = [readings(w) for w in words]
-    flat = [p for ps in pieces for p in ps]
+    flat, more = [START + w + END for w in words], []
+    for i, w in enumerate(words):
+        if len(w) > WINDOW - 2 or not w.isalnum():
+            flat[i], *others = readings(w)
+            more += [(i, p) for p in others]
+    flat += [p for _, p in more]
     out = np.empty(len(flat))
     for part, codes in _coded(flat):
         total, square = np.zeros(len(part)), 0.0
         for places, w in _each_path(codes):
-            total += w * weight[places].sum(axis=1)
-            square += w * w * places.shape[1]
+            # a word's terms in one stretch: the order of the sum decides its last bits, and these may decide a label
+            total += w * np.ascontiguousarray(weight.take(places).T).sum(axis=1)
+            square += w * w * len(places)
         out[part] = total / np.sqrt(square) + bias if square else bias
-    if len(flat) == len(words):
-        return out
-    ends = np.cumsum([len(p) for p in pieces])
-    return np.maximum.reduceat(out, np.concatenate(([0], ends[:-1]))) if len(words) else out
+    np.maximum.at(out, np.array([i for i, _ in more], np.int64), out[len(words) :])
+    return out[: len(words)]
 
 
 def gram(words: Sequence[str], landmarks: Sequence[str], root: np.ndarray | None = None) -> np.ndarray:

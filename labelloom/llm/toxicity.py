@@ -10,7 +10,9 @@ sentences that hold one, by a logistic curve fitted on the same documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Collection, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,78 +37,120 @@ CHUNK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 _SPELT = re.compile(r"\b\w(?:\s\w){2,}\b")
+# Where one must be; begins with a class of characters, so that the search skips all others.
+_SPELT_HINT = re.compile(r"\s\w\s\w\b(?<=\b\w\s\w\s\w)")
+# Common characters around words, none of them a letter or digit.
+_EDGES = ".,;:!?()[]{}<>\"'*-_#|"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+# Where a sentence ends before white space other than a space or a line end.
+_ODD_END = re.compile(r"[.!?][^\S \n]")
 CLEAR = -3.0
 
 
+def spelt(text: str) -> list[str]:
+    """The text's runs of three or more single letters, as words."""
+    return ["".join(m.split()) for m in _SPELT.findall(text)] if _SPELT_HINT.search(text) else []
+
+
 def words_of(text: str) -> list[str]:
     """White-space parted words of a lower-cased text, and its runs of three or more single letters as words."""
-    out = text.split()
-    out += ["".join(m.split()) for m in _SPELT.findall(text)]
-    return out
+    return text.split() + spelt(text)
 
 
 def bare(word: str) -> str:
-    """The word from its first to its last letter or digit."""
+    """The word, without white space, from its first to its last letter or digit."""
+    word = word.strip(_EDGES)
+    if word and word[0].isalnum() and word[-1].isalnum():
+        return word
     m = _WORD.search(word)
     return m.group() if m else ""
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Words of the sentences of a lower-cased text."""
-    return [w for s in _SENTENCE.split(text) if (w := words_of(s))]
+def sentences(text: str, runs: bool = True) -> list[list[str]]:
+    """Words of the sentences of a lower-cased text; ``runs``: it may have runs of single letters."""
+    if _ODD_END.search(text):
+        parts = _SENTENCE.split(text)
+    else:
+        parts = text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+    return [w for s in parts if (w := words_of(s) if runs else s.split())]
 
 
 class Memo:
     """Margins of words, each computed once as long as it is remembered."""
 
     def __init__(self, score: Callable[[list[str]], np.ndarray]):
-        self.score, self.known = score, {}
+        # ``bad``: the known words of positive margin; ``before``: words of former chunks, which come back when they are met
+        self.score, self.known, self.bad, self.before = score, {}, set(), {}
 
-    def learn(self, words: set[str]) -> None:
+    def forget(self) -> None:
+        """Make room once there are too many words: those not met until the next time are dropped."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        cores = [bare(w) for w in new]
-        some = sorted({c for c in cores if c})
-        margin = dict(zip(some, np.clip(self.score(some), CLEAR, -CLEAR).tolist())) if some else {}
-        self.known.update((w, margin.get(c, CLEAR)) for w, c in zip(new, cores))
-
-    def of(self, words: list[str]) -> list[float]:
-        known = self.known
+            self.known, self.bad, self.before = {}, set(), self.known
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        margins = {w: self.before[w] for w in new if w in self.before} if self.before else {}
+        cores = {w: w if w.isalnum() else bare(w) for w in new.difference(margins)}
+        known = {c: m for c in set(cores.values()) if (m := self.known.get(c, margins.get(c))) is not None}
+        known[""] = CLEAR
+        some = [c for c in set(cores.values()) if c not in known]
+        if some:
+            known.update(zip(some, np.clip(self.score(some), CLEAR, -CLEAR).tolist()))
+        margins.update((w, known[c]) for w, c in cores.items())
+        self.known.update(margins)
+        self.bad.update(w for w, m in margins.items() if m > 0)
+
+    def of(self, words: Collection[str]) -> list[float]:
         try:
-            return [known[w] for w in words]
+            return list(map(self.known.__getitem__, words))
         except KeyError:
             self.learn(set(words))
-            return [self.known[w] for w in words]
+            return list(map(self.known.__getitem__, words))
 
 
-def measures(text: str, words: list[str], memo: Memo) -> tuple[float, int]:
-    """Of a lower-cased text and its words the largest margin of a word, and the number of sentences with a word of positive margin.
+class Chunked(NamedTuple):
+    """A lower-cased text whose distinct words are learnt; whether some are runs of single letters."""
+
+    text: str
+    words: set[str]
+    runs: bool
+
+
+def measures(found: Chunked, memo: Memo) -> tuple[float, int]:
+    """The largest margin of a word, and the number of sentences with a word of positive margin.
 
     ``CLEAR`` and 0 without words.
     """
+    text, words, runs = found
     if not words:
         return CLEAR, 0
-    top = max(memo.of(words))
-    if top <= 0:
-        return top, 0
-    return top, sum(max(memo.of(s)) > 0 for s in sentences(text))
+    bad = words & memo.bad
+    if not bad:
+        return max(memo.of(words)), 0
+    parts = sentences(text, runs)
+    # runs differ between a text and its sentences, where line ends part them
+    hits = sum(max(memo.of(s)) > 0 for s in parts) if runs else sum(not bad.isdisjoint(s) for s in parts)
+    return max(memo.of(bad)), hits
+
+
+def in_chunks(texts: Iterable[str | None], memo: Memo) -> Iterator[Chunked]:
+    """The texts in chunks whose words are learnt together: few large steps instead of many small ones."""
 
+    def learnt(chunk: list[Chunked]) -> list[Chunked]:
+        memo.forget()
+        memo.learn(set().union(*[c.words for c in chunk]))
+        return chunk
 
-def in_chunks(texts: Iterable[str | None], memo: Memo) -> Iterator[tuple[str, list[str]]]:
-    """The texts, lower-cased, with their words, in chunks whose words are learnt together: few large steps instead of many small ones."""
     chunk, size = [], 0
     for text in texts:
         low = (text or "").lower()
-        chunk.append((low, words_of(low)))
+        runs = spelt(low)
+        chunk.append(Chunked(low, {*low.split(), *runs}, bool(runs)))
         size += len(low)
         if size > CHUNK_CHARS:
-            memo.learn(set().union(*[w for _, w in chunk]))
-            yield from chunk
+            yield from learnt(chunk)
             chunk, size = [], 0
-    memo.learn(set().union(*[w for _, w in chunk]))
-    yield from chunk
+    yield from learnt(chunk)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, trained: str | None) -> tuple[DataFrame, dict[int, float]]:
@@ -136,12 +180,15 @@ def _word_counts(sample: DataFrame) -> pd.DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            n = {0: Counter(), 1: Counter()}
             for text, label in zip(f["text"], f["label"]):
-                found = {bare(w) for w in words_of((text or "").lower())} - {""}
-                yield pd.DataFrame({"word": sorted(found), "label": label})
+                n[label].update({bare(w) for w in set(words_of((text or "").lower()))})
+            # Arrow takes no strings from a frame without rows
+            if words := sorted({*n[0], *n[1]} - {""}):
+                yield pd.DataFrame({"word": words, "n1": [n[1][w] for w in words], "n0": [n[0][w] for w in words]})
 
-    seen = sample.mapInPandas(run, "word string, label int")
-    counted = seen.groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    seen = sample.mapInPandas(run, "word string, n1 long, n0 long")
+    counted = seen.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     return counted.filter("n1 + n0 > 1").orderBy("word").toPandas()
 
 
@@ -151,20 +198,23 @@ def _witnesses(sample: DataFrame, score: Callable[[list[str]], np.ndarray]) -> p
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(score)
         for f in frames:
-            out = []
-            for (text, _), label in zip(in_chunks(f["text"], memo), f["label"]):
-                for s in sentences(text):
+            seen: Counter = Counter()
+            for (text, words, runs), label in zip(in_chunks(f["text"], memo), f["label"]):
+                # every suspicious word speaks for class 1, the most suspicious one for class 0
+                if label and not runs and not words & memo.bad:
+                    continue
+                for s in sentences(text, runs):
                     margins = memo.of(s)
-                    top = max(margins)
-                    # every suspicious word speaks for class 1, the most suspicious one for class 0
-                    chosen = {w: m for w, m in zip(s, margins) if (m > 0 if label else m == top)}
-                    for w, m in list(chosen.items())[: None if label else 1]:
-                        if core := bare(w):
-                            out.append((label, core, m))
-            yield pd.DataFrame(out, columns=["label", "word", "margin"])
-
-    found = sample.mapInPandas(run, "label int, word string, margin double")
-    counted = stored(found.groupBy("label", "word").agg(F.count("*").alias("n"), F.max("margin").alias("margin")), "toxic_witnesses")
+                    if label:
+                        seen.update({(1, w, m) for w, m in zip(s, margins) if m > 0})
+                    else:
+                        top = max(margins)
+                        seen[0, s[margins.index(top)], top] += 1
+            if out := [(label, core, n, m) for (label, w, m), n in seen.items() if (core := bare(w))]:
+                yield pd.DataFrame(out, columns=["label", "word", "n", "margin"])
+
+    found = sample.mapInPandas(run, "label int, word string, n long, margin double")
+    counted = stored(found.groupBy("label", "word").agg(F.sum("n").alias("n"), F.max("margin").alias("margin")), "toxic_witnesses")
     positive = counted.filter("label = 1 AND margin > 0").orderBy(F.desc("n"), "word").limit(WORDS)
     hard = counted.filter("label = 0").orderBy(F.desc("margin"), F.desc("n"), "word").limit(WORDS // 2)
     drawn = counted.filter("label = 0").orderBy(draw52(F.lit("word"), F.col("word"))).limit(WORDS // 2)
@@ -250,7 +300,7 @@ def _measured(df: DataFrame, kept: str, weight: np.ndarray, bias: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(_margin(weight, bias))
         for batch in batches:
-            found = [measures(t, w, memo) for t, w in in_chunks((t.as_py() for t in batch.column("text")), memo)]
+            found = [measures(c, memo) for c in in_chunks((t.as_py() for t in batch.column("text")), memo)]
             columns = [batch.column(kept), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [kept, "top", "hits"])
 
